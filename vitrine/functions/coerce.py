@@ -2,6 +2,10 @@
 
 Raw rows arrive as VARIANT, so one value may be text, number, list or object.
 The expressions below look at the stored kind and never fail on odd input.
+
+They are put together as SQL text: ``*_sql`` functions take and return text, so
+that nested lambdas stay short to build, and the plain names return Columns for
+a column name or any other SQL text.
 """
 
 from __future__ import annotations
@@ -10,172 +14,224 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitrine import settings
-from vitrine.functions.text import blank_to_null, strip
 
+# Blanks at either end, Unicode ones included.
+ENDS = r"(?U)^\\s+|\\s+$"
+# A number written with a Java type suffix is not a number in the catalog.
+JAVA_SUFFIX = r"(?i)[0-9.][df]\\s*$"
 
-def field(v: Column, name: str) -> Column:
-    return F.try_variant_get(v, f"$.{name}", "variant")
 
+def strip_sql(t: str) -> str:
+    return f"regexp_replace({t}, '{ENDS}', '')"
 
-def as_list(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>")
 
+def field_sql(v: str, name: str) -> str:
+    return f"try_variant_get({v}, '$.{name}', 'variant')"
 
-def as_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>")
 
+def text_sql(v: str) -> str:
+    return f"try_variant_get({v}, '$', 'string')"
 
-def as_text(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "string")
 
+def list_sql(v: str) -> str:
+    return f"try_variant_get({v}, '$', 'array<variant>')"
 
-def kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
 
+def object_sql(v: str) -> str:
+    return f"try_variant_get({v}, '$', 'map<string,variant>')"
 
-def truthy(v: Column) -> Column:
-    """False for missing, null, empty text, zero, false and empty containers."""
-    k = kind(v)
-    return F.coalesce(
-        F.when(k == "STRING", as_text(v) != "")
-        .when(k == "BOOLEAN", as_text(v) == "true")
-        .when(k == "VOID", F.lit(False))
-        .when(k.startswith("ARRAY"), F.size(as_list(v)) > 0)
-        .when(k.startswith("OBJECT"), F.size(as_object(v)) > 0)
-        .otherwise(as_text(v).try_cast("double") != 0),
-        F.lit(False),
-    )
 
+def kind_sql(v: str) -> str:
+    return f"schema_of_variant({v})"
 
-def either(a: Column, b: Column) -> Column:
-    """``a`` when truthy, else ``b``."""
-    return F.when(truthy(a), a).otherwise(b)
 
+def is_container_sql(v: str) -> str:
+    return f"({kind_sql(v)} like 'ARRAY%' or {kind_sql(v)} like 'OBJECT%')"
 
-def display_text(v: Column) -> Column:
-    """Text form of one value, with None/True/False spelled as in Python."""
-    k = kind(v)
+
+def truthy_text_sql(v: str) -> str:
+    """Text form of a value that counts as present, else NULL.
+
+    Missing, null, empty text, zero, false and empty containers do not count.
+    """
+    t = text_sql(v)
     return (
-        F.when(v.isNull() | (k == "VOID"), "None")
-        .when(k == "BOOLEAN", F.initcap(as_text(v)))
-        .otherwise(as_text(v))
+        f"case when {kind_sql(v)} = 'STRING' then case when {t} <> '' then {t} end"
+        f" when {kind_sql(v)} = 'VOID' then null"
+        f" when {kind_sql(v)} = 'BOOLEAN' then case when {t} = 'true' then 'True' end"
+        f" when {is_container_sql(v)} then case when {t} not in ('[]', '{{}}') then {t} end"
+        f" when try_cast({t} as double) <> 0 then {t} end"
     )
 
 
-def join_first_parts(parts: Column, count: int = 3) -> Column:
-    """First ``count`` non-blank trimmed parts joined by a blank, NULL if none."""
-    clean = F.filter(F.transform(parts, strip), lambda p: p != "")
-    return blank_to_null(F.array_join(F.slice(clean, 1, count), " "))
+def truthy_sql(v: str) -> str:
+    return f"({truthy_text_sql(v)}) is not null"
+
+
+def either_sql(a: str, b: str) -> str:
+    return f"case when {truthy_sql(a)} then {a} else {b} end"
 
 
-def first_text(v: Column) -> Column:
-    k = kind(v)
+def display_text_sql(v: str) -> str:
+    """Text form of one value, with None/True/False spelled as in Python."""
     return (
-        F.when(v.isNull() | (k == "VOID"), F.lit(None).cast("string"))
-        .when(k.startswith("ARRAY"), join_first_parts(F.transform(as_list(v), display_text)))
-        .when(k.startswith("OBJECT"), join_first_parts(F.map_keys(as_object(v))))
-        .otherwise(blank_to_null(strip(display_text(v))))
+        f"case when {v} is null or {kind_sql(v)} = 'VOID' then 'None'"
+        f" when {kind_sql(v)} = 'BOOLEAN' then initcap({text_sql(v)})"
+        f" else {text_sql(v)} end"
     )
 
 
-# A number written with a Java type suffix is not a number in the catalog.
-JAVA_SUFFIX = r"(?i)[0-9.][df]\s*$"
+def joined_parts_sql(parts: str, count: int = 3) -> str:
+    """First ``count`` non-blank trimmed parts joined by a blank; may be empty text."""
+    clean = f"filter(transform({parts}, p -> {strip_sql('p')}), p -> p <> '')"
+    return f"array_join(slice({clean}, 1, {count}), ' ')"
 
 
-def number_from_text(c: Column) -> Column:
-    return F.when(~c.rlike(JAVA_SUFFIX), c.try_cast("double"))
+def first_text_sql(v: str) -> str:
+    shown = f"transform({list_sql(v)}, e -> {display_text_sql('e')})"
+    text = (
+        f"case when {v} is null or {kind_sql(v)} = 'VOID' then null"
+        f" when {kind_sql(v)} like 'ARRAY%' then {joined_parts_sql(shown)}"
+        f" when {kind_sql(v)} like 'OBJECT%' then {joined_parts_sql(f'map_keys({object_sql(v)})')}"
+        f" else {strip_sql(display_text_sql(v))} end"
+    )
+    return f"nullif({text}, '')"
 
 
-def float_from_text(c: Column) -> Column:
-    return number_from_text(F.translate(c, "$,", ""))
+def number_sql(t: str) -> str:
+    return f"case when not {t} rlike '{JAVA_SUFFIX}' then try_cast({t} as double) end"
 
 
-def int_from_text(c: Column) -> Column:
-    return number_from_text(F.translate(c, ",", "")).try_cast("bigint")
+def float_sql(t: str) -> str:
+    return number_sql(f"translate({t}, '$,', '')")
 
 
-def coerce_float(v: Column) -> Column:
-    return float_from_text(as_text(v))
+def int_sql(t: str) -> str:
+    return f"try_cast({number_sql(f'''translate({t}, ',', '')''')} as bigint)"
 
 
-def coerce_int(v: Column) -> Column:
-    return int_from_text(as_text(v))
+def first_present_sql(values: str) -> str:
+    return f"get(filter({values}, x -> x is not null), 0)"
 
 
-def _image_value(item: Column, key: str) -> Column:
-    value = field(item, key)
-    listed = F.get(F.filter(as_list(value), truthy), F.lit(0))
+def image_value_sql(item: str, key: str) -> str:
+    """Text under ``key`` of an object; of a list there, the first item that counts."""
+    value = field_sql(item, key)
+    listed = first_present_sql(f"transform({list_sql(value)}, u -> {truthy_text_sql('u')})")
     return (
-        F.when(kind(value).startswith("ARRAY"), display_text_or_null(listed))
-        .when(truthy(value), display_text(value))
+        f"case when {kind_sql(value)} like 'ARRAY%' then {listed}"
+        f" else {truthy_text_sql(value)} end"
     )
 
 
-def display_text_or_null(v: Column) -> Column:
-    return F.when(v.isNotNull(), display_text(v))
-
-
-def _first_present(values: Column) -> Column:
-    return F.get(F.filter(values, lambda x: x.isNotNull()), F.lit(0))
-
-
-def pick_image_url(v: Column, depth: int = 2) -> Column:
+def image_url_sql(v: str, depth: int = 2) -> str:
     """Best image url in text, an object, or a list of either.
 
     In a list each key is tried on every item before the next key. Lists inside
-    lists are followed ``depth`` levels down.
+    lists are followed ``depth`` levels down in all.
     """
-    k = kind(v)
-    from_object = F.coalesce(*[_image_value(v, key) for key in settings.IMAGE_KEYS])
-    items = as_list(v)
-    candidates = [
-        _first_present(F.transform(items, lambda it, key=key: _image_value(it, key)))
+    item = f"i{depth}"
+    per_key = [
+        first_present_sql(f"transform({list_sql(v)}, {item} -> {image_value_sql(item, key)})")
         for key in settings.IMAGE_KEYS
     ]
     if depth > 0:
-        candidates.append(
-            _first_present(F.transform(items, lambda it: pick_image_url(it, depth - 1)))
+        later = first_present_sql(
+            f"transform({list_sql(v)}, {item} -> {image_url_sql(item, depth - 1)})"
         )
+        in_list = f"coalesce({', '.join([*per_key, later])})"
+    else:
+        in_list = "null"
+    in_object = f"coalesce({', '.join(image_value_sql(v, key) for key in settings.IMAGE_KEYS)})"
     return (
-        F.when(k == "STRING", blank_to_null(as_text(v)))
-        .when(k.startswith("OBJECT"), from_object)
-        .when(k.startswith("ARRAY"), F.coalesce(*candidates))
+        f"case when {list_sql(v)} is not null then {in_list}"
+        f" when {kind_sql(v)} = 'STRING' then {truthy_text_sql(v)}"
+        f" when {kind_sql(v)} like 'OBJECT%' then {in_object} end"
     )
 
 
-def lenient_int(v: Column, default: int = 0) -> Column:
+def lenient_int_sql(v: str, default: int = 0) -> str:
     """Whole number of a stored value: numbers truncate, text must be whole."""
-    k = kind(v)
-    whole = F.when(as_text(v).rlike(r"^\s*[+-]?\d+\s*$"), as_text(v).try_cast("bigint"))
-    value = (
-        F.when(v.isNull() | k.isin("VOID", "BOOLEAN"), None)
-        .when(k == "STRING", whole)
-        .when(k.startswith("ARRAY") | k.startswith("OBJECT"), None)
-        .otherwise(as_text(v).try_cast("double").try_cast("bigint"))
+    t = text_sql(v)
+    whole = rf"case when {t} rlike '^\\s*[+-]?\\d+\\s*$' then try_cast({t} as bigint) end"
+    return (
+        f"coalesce(case when {v} is null or {kind_sql(v)} in ('VOID', 'BOOLEAN') then null"
+        f" when {kind_sql(v)} = 'STRING' then {whole}"
+        f" when {is_container_sql(v)} then null"
+        f" when {kind_sql(v)} = 'BIGINT' then try_cast({t} as bigint)"
+        f" else try_cast(try_cast({t} as double) as bigint) end, cast({default} as bigint))"
     )
-    return F.coalesce(value, F.lit(default).cast("bigint"))
 
 
-def lenient_float(v: Column, default: float = 0.0) -> Column:
-    k = kind(v)
-    value = (
-        F.when(v.isNull() | k.isin("VOID", "BOOLEAN"), None)
-        .when(k.startswith("ARRAY") | k.startswith("OBJECT"), None)
-        .otherwise(number_from_text(as_text(v)))
+def lenient_float_sql(v: str, default: float = 0.0) -> str:
+    return (
+        f"coalesce(case when {v} is null or {kind_sql(v)} in ('VOID', 'BOOLEAN') then null"
+        f" when {is_container_sql(v)} then null"
+        f" else {number_sql(text_sql(v))} end, cast({default} as double))"
     )
-    return F.coalesce(value, F.lit(default))
 
 
-def text_items(v: Column) -> Column:
+def text_items_sql(v: str) -> str:
     """Only the text items of a list; an empty list for anything else."""
-    texts = F.transform(
-        F.filter(as_list(v), lambda it: F.schema_of_variant(it) == "STRING"), as_text
-    )
-    return F.coalesce(texts, F.array().cast("array<string>"))
+    texts = f"filter({list_sql(v)}, e -> {kind_sql('e')} = 'STRING')"
+    return f"coalesce(transform({texts}, e -> {text_sql('e')}), cast(array() as array<string>))"
+
+
+def field(v: str, name: str) -> Column:
+    return F.expr(field_sql(v, name))
+
 
+def either(a: str, b: str) -> Column:
+    """``a`` when it counts as present, else ``b``."""
+    return F.expr(either_sql(a, b))
 
-def rating_number(c: Column) -> Column:
+
+def truthy(v: str) -> Column:
+    return F.expr(truthy_sql(v))
+
+
+def first_text(v: str) -> Column:
+    """Trimmed text; of a list its first three non-blank items joined; else NULL."""
+    return F.expr(first_text_sql(v))
+
+
+def coerce_float(v: str) -> Column:
+    """Number of a value with currency sign and thousands separators, else NULL."""
+    return F.expr(float_sql(text_sql(v)))
+
+
+def coerce_int(v: str) -> Column:
+    """Whole number, cut towards zero, of a value with separators, else NULL."""
+    return F.expr(int_sql(text_sql(v)))
+
+
+def pick_image_url(v: str) -> Column:
+    return F.expr(image_url_sql(v))
+
+
+def lenient_int(v: str, default: int = 0) -> Column:
+    return F.expr(lenient_int_sql(v, default))
+
+
+def lenient_float(v: str, default: float = 0.0) -> Column:
+    return F.expr(lenient_float_sql(v, default))
+
+
+def text_items(v: str) -> Column:
+    return F.expr(text_items_sql(v))
+
+
+def float_from_text(t: str) -> Column:
+    return F.expr(float_sql(t))
+
+
+def int_from_text(t: str) -> Column:
+    return F.expr(int_sql(t))
+
+
+def rating_number(t: str) -> Column:
     """Finite number in a text attribute, 0 otherwise."""
-    number = number_from_text(c)
-    finite = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
-    return F.coalesce(finite, F.lit(0.0))
+    n = f"({number_sql(t)})"
+    return F.expr(
+        f"coalesce(case when not isnan({n}) and abs({n}) <> double('Infinity') then {n} end, 0D)"
+    )

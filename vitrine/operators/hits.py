@@ -17,23 +17,27 @@ def hits_from_rows(rows: DataFrame, raw: str = "row") -> DataFrame:
     An ``attributes`` object in the row is used as it is. Otherwise every other
     key that is not part of the row itself counts as an attribute.
     """
-    v = F.try_parse_json(F.col(raw))
-    fields = C.as_object(v)
-    own = F.map_filter(
-        fields, lambda k, _x: ~k.isin(*ROW_KEYS) & ~k.startswith("$")
+    parsed = rows.select(F.try_parse_json(F.col(raw)).alias("v")).select(
+        C.field("v", "id").alias("doc_id"),
+        F.expr(C.object_sql("v")).alias("fields"),
+        F.expr(C.object_sql(C.field_sql("v", "attributes"))).alias("nested"),
     )
-    nested = C.as_object(C.field(v, "attributes"))
     # "$dist" wins over "dist" as soon as the key is there.
-    dist = F.when(
-        F.map_contains_key(fields, "$dist"), F.try_element_at(fields, F.lit("$dist"))
-    ).otherwise(C.field(v, "dist"))
-    shaped = rows.select(
-        F.when(C.truthy(C.field(v, "id")), C.as_text(C.field(v, "id"))).otherwise("").alias("id"),
-        F.when(~C.kind(dist).isin("STRING", "BOOLEAN", "VOID"), C.as_text(dist).try_cast("double")).alias("dist"),
-        F.coalesce(nested, own).alias("attributes"),
+    placed = parsed.withColumn(
+        "far",
+        F.expr(
+            "case when map_contains_key(fields, '$dist') then try_element_at(fields, '$dist')"
+            " else try_element_at(fields, 'dist') end"
+        ),
     )
-    return shaped.withColumn(
-        "attributes", F.transform_values("attributes", lambda _k, x: C.as_text(x))
+    own = F.map_filter("fields", lambda k, _x: ~k.isin(*ROW_KEYS) & ~k.startswith("$"))
+    number = f"case when {C.kind_sql('far')} not in ('STRING', 'BOOLEAN', 'VOID') then try_cast({C.text_sql('far')} as double) end"
+    return placed.select(
+        F.expr(f"coalesce({C.truthy_text_sql('doc_id')}, '')").alias("id"),
+        F.expr(number).alias("dist"),
+        F.coalesce("nested", own).alias("attributes"),
+    ).withColumn(
+        "attributes", F.expr(f"transform_values(attributes, (k, x) -> {C.text_sql('x')})")
     )
 
 

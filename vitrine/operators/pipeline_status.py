@@ -77,50 +77,36 @@ def counts_from_status(statuses: DataFrame, raw: str = "status") -> DataFrame:
     a status with none of them is itself read as stage to count. Only whole
     numbers count.
     """
-    v = F.try_parse_json(F.col(raw))
-
-    def container(name: str) -> Column:
-        return C.field(v, name)
-
-    def usable(name: str) -> Column:
-        k = F.coalesce(C.kind(container(name)), F.lit(""))
-        return k.startswith("ARRAY") | k.startswith("OBJECT")
-
-    names = ("stages", "stage_counts", "counts")
-    chosen = F.coalesce(*[F.when(usable(n), container(n)) for n in names], v)
-
-    def whole(x: Column) -> Column:
-        k = C.kind(x)
+    usable = {n: C.is_container_sql(C.field_sql("v", n)) for n in ("stages", "stage_counts", "counts")}
+    branches = " ".join(f"when {test} then {C.field_sql('v', n)}" for n, test in usable.items())
+    chosen = statuses.select(
+        "pipeline_id", F.try_parse_json(F.col(raw)).alias("v")
+    ).select("pipeline_id", F.expr(f"case {branches} else v end").alias("c"))
+
+    def whole(x: str) -> str:
+        # A true/false count is a whole number to the service.
         return (
-            F.when(k == "BIGINT", C.as_text(x).try_cast("bigint"))
-            # A true/false count is a whole number to the service.
-            .when(k == "BOOLEAN", F.when(C.as_text(x) == "true", 1).otherwise(0))
+            f"case when {C.kind_sql(x)} = 'BIGINT' then try_cast({C.text_sql(x)} as bigint)"
+            f" when {C.kind_sql(x)} = 'BOOLEAN' then if({C.text_sql(x)} = 'true', 1L, 0L) end"
         )
 
-    from_object = F.transform(
-        F.map_entries(C.as_object(chosen)),
-        lambda e: F.struct(e["key"].alias("stage"), whole(e["value"]).alias("doc_count")),
+    stage, count = C.field_sql("r", "stage"), C.field_sql("r", "count")
+    unfolded = chosen.select(
+        "pipeline_id",
+        F.expr(
+            f"transform({C.list_sql('c')}, r -> struct("
+            f"if({stage} is null or {C.kind_sql(stage)} = 'VOID', null, {C.display_text_sql(stage)}) as stage,"
+            f" {whole(count)} as doc_count))"
+        ).alias("listed"),
+        F.expr(
+            f"transform(map_entries({C.object_sql('c')}), e -> struct(e.key as stage, {whole('e.value')} as doc_count))"
+        ).alias("mapped"),
     )
+    good = "filter(coalesce(listed, mapped), r -> r.stage is not null and r.doc_count is not null)"
+    placed = unfolded.select("pipeline_id", F.expr(f"posexplode({good})").alias("at", "s"))
     # A later row of one stage replaces an earlier one.
-    listed = F.transform(
-        C.as_list(chosen),
-        lambda r: F.struct(
-            C.display_text_or_null(C.field(r, "stage")).alias("stage"),
-            whole(C.field(r, "count")).alias("doc_count"),
-        ),
-    )
-    usable_rows = F.filter(listed, lambda r: r["stage"].isNotNull() & r["doc_count"].isNotNull())
-    from_list = F.filter(
-        usable_rows,
-        lambda r, i: ~F.exists(
-            F.slice(usable_rows, i + 2, F.size(usable_rows)), lambda later: later["stage"] == r["stage"]
-        ),
-    )
-    is_list = F.coalesce(C.kind(chosen), F.lit("")).startswith("ARRAY")
-    return (
-        statuses.select("pipeline_id", F.explode(F.when(is_list, from_list).otherwise(from_object)).alias("s"))
-        .select("pipeline_id", "s.stage", "s.doc_count")
-        .filter(F.col("doc_count").isNotNull())
+    return placed.groupBy("pipeline_id", "s.stage").agg(
+        F.max_by("s.doc_count", "at").alias("doc_count")
     )
 
 

@@ -24,29 +24,61 @@ PRODUCT_SCHEMA = T.StructType(
 )
 
 
+# Fields read from a raw row, and the second name of those that have one.
+FALLBACKS = {
+    "parent_asin": "asin",
+    "description": "features",
+    "average_rating": "avg_rating",
+    "rating_number": "rating_count",
+}
+RAW_FIELDS = ("images", "title", "price", *FALLBACKS, *FALLBACKS.values())
+
+
 def normalize_products(rows: DataFrame, raw: str = "v", keep: list[str] | None = None) -> DataFrame:
     """Typed products of raw rows held in the VARIANT column ``raw``.
 
     ``category`` must already be a column. Rows without an id or an image are
     dropped. ``keep`` names further columns to carry along.
     """
-    v = F.col(raw)
-
-    def either(first: str, second: str) -> Column:
-        return C.either(C.field(v, first), C.field(v, second))
-
-    products = rows.select(
+    carried = [F.col(c) for c in [*(keep or []), "category"]]
+    # Steps are separate projections so that each value is worked out once.
+    fields = rows.select(*carried, *[C.field(raw, name).alias(name) for name in RAW_FIELDS])
+    chosen = fields.select(
+        *carried,
+        "images",
+        "title",
+        "price",
+        *[
+            C.either(first, second).alias(first)
+            for first, second in FALLBACKS.items()
+        ],
+    )
+    typed = chosen.select(
         *[F.col(c) for c in keep or []],
-        C.first_text(either("parent_asin", "asin")).alias("asin"),
-        F.col("category"),
-        C.pick_image_url(C.field(v, "images")).alias("image_url"),
-        C.first_text(C.field(v, "title")).alias("title"),
-        C.first_text(either("description", "features")).alias("description"),
-        C.coerce_float(C.field(v, "price")).alias("price"),
-        C.coerce_float(either("average_rating", "avg_rating")).alias("avg_rating"),
-        C.coerce_int(either("rating_number", "rating_count")).alias("rating_count"),
+        C.first_text("parent_asin").alias("asin"),
+        "category",
+        C.pick_image_url("images").alias("image_url"),
+        C.first_text("title").alias("title"),
+        C.first_text("description").alias("description"),
+        C.coerce_float("price").alias("price"),
+        C.coerce_float("average_rating").alias("avg_rating"),
+        C.coerce_int("rating_number").alias("rating_count"),
     )
-    return products.filter(F.col("asin").isNotNull() & F.col("image_url").isNotNull())
+    return drop_rows_without(typed, "asin", "image_url")
+
+
+def drop_rows_without(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows where all ``columns`` are set.
+
+    A plain filter would be pushed below the projection and evaluate the long
+    expressions behind the columns a second time; a generator that yields one
+    row or none stays where it is written.
+    """
+    present = F.lit(True)
+    for c in columns:
+        present = present & F.col(c).isNotNull()
+    once = F.explode(F.when(present, F.array(F.lit(1))))
+    return df.select(*df.columns, once.alias("_kept")).drop("_kept")
 
 
 def sparse_attributes(products: DataFrame) -> Column:
@@ -105,6 +137,6 @@ def cards(docs: DataFrame) -> DataFrame:
         *[text(c).alias(c) for c in ("title", "description", "category", "image_url")],
         blank_to_null(text("image_blob")).alias("image_blob"),
         F.lit(None).cast("double").alias("price"),
-        C.rating_number(F.col("avg_rating_txt")).alias("rating"),
-        C.rating_number(F.col("rating_cnt_txt")).alias("rating_count"),
+        C.rating_number("avg_rating_txt").alias("rating"),
+        C.rating_number("rating_cnt_txt").alias("rating_count"),
     )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,20 @@ def build_session(
         builder = builder.master(master)
     for key, value in (options or {}).items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per Spark application."""
+    context = spark.sparkContext
+    if getattr(context, "_vitrine_shipped", False):
+        return spark
+    package = Path(__file__).resolve().parent
+    stem = Path(tempfile.mkdtemp(prefix="vitrine-package-")) / package.name
+    archive = shutil.make_archive(str(stem), "zip", package.parent, package.name)
+    context.addPyFile(archive)
+    context._vitrine_shipped = True
+    return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
