@@ -186,6 +186,7 @@ def _partials(
     request_blocks = max(1, math.ceil(requests.count() / block_requests))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.rename_columns([c.removeprefix("r_") for c in right.column_names])
         parts = list(
             _scan(scorer, right.combine_chunks(), iter([_as_table(left)]), k, radius, out)
         )
@@ -194,12 +195,15 @@ def _partials(
     spread_docs = docs.withColumn(
         "_db", F.pmod(F.xxhash64("id"), F.lit(doc_blocks))
     ).withColumn("_rb", F.explode(F.sequence(F.lit(0), F.lit(request_blocks - 1))))
-    spread_requests = requests.withColumn(
-        "_rb", F.pmod(F.xxhash64("request_id"), F.lit(request_blocks)).cast("int")
-    ).withColumn("_db", F.explode(F.sequence(F.lit(0), F.lit(doc_blocks - 1))).cast("long"))
+    # Renamed columns keep the two sides apart when both come from one table.
+    spread_requests = requests.select(
+        *[F.col(c).alias(f"r_{c}") for c in requests.columns],
+        F.pmod(F.xxhash64("request_id"), F.lit(request_blocks)).cast("int").alias("r_rb"),
+        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(doc_blocks - 1).cast("long"))).alias("r_db"),
+    )
     return (
         spread_docs.groupBy("_db", "_rb")
-        .cogroup(spread_requests.groupBy("_db", "_rb"))
+        .cogroup(spread_requests.groupBy("r_db", "r_rb"))
         .applyInArrow(meet, schema)
     )
 

@@ -82,7 +82,7 @@ def _block_top_k(k: int):
         out = pa.schema([("request_id", pa.string()), ("id", pa.string()), ("dist", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return out.empty_table()
-        wanted = matrix(right.column("vector"))
+        wanted = matrix(right.column("r_vector"))
         wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
         names = right.column("request_id").to_pylist()
         place = {name: row for row, name in enumerate(names)}
@@ -132,15 +132,15 @@ def _meet(placed: DataFrame, probes: DataFrame, k: int, block_docs: int, block_r
     right = (
         probes.join(blocks, "cell")
         .select(
-            "cell",
+            F.col("cell").alias("r_cell"),
             "request_id",
-            "vector",
-            F.pmod(F.xxhash64("request_id"), F.col("request_blocks")).alias("rb"),
-            F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_blocks") - 1)).alias("db"),
+            F.col("vector").alias("r_vector"),
+            F.pmod(F.xxhash64("request_id"), F.col("request_blocks")).alias("r_rb"),
+            F.explode(F.sequence(F.lit(0).cast("long"), F.col("doc_blocks") - 1)).alias("r_db"),
         )
     )
-    keys = ["cell", "db", "rb"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+    wanted = right.groupBy("r_cell", "r_db", "r_rb")
+    return left.groupBy("cell", "db", "rb").cogroup(wanted).applyInArrow(
         _block_top_k(k), "request_id string, id string, dist double"
     )
 
