@@ -37,7 +37,11 @@ def hits_from_rows(rows: DataFrame, raw: str = "row") -> DataFrame:
         F.expr(number).alias("dist"),
         F.coalesce("nested", own).alias("attributes"),
     ).withColumn(
-        "attributes", F.expr(f"transform_values(attributes, (k, x) -> {C.text_sql('x')})")
+        "attributes",
+        F.expr(
+            f"coalesce(transform_values(attributes, (k, x) -> {C.text_sql('x')}),"
+            " cast(map() as map<string,string>))"
+        ),
     )
 
 

@@ -10,7 +10,9 @@ from vitrine.functions import coerce as C
 from vitrine.functions import text as X
 from vitrine.operators import embedding, products, slices, tables
 from vitrine.queries.registry import query
+from vitrine.session import settle
 from vitrine.sources import catalog, events
+from vitrine.sources.versioned import VersionedTable
 
 
 def raw_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -369,7 +371,6 @@ def embedding_triage(spark: SparkSession, folder: str) -> DataFrame:
 def embedded_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """Every staged product with a vector from its (stand-in) image bytes."""
     from vitrine.operators import blobs
-    from vitrine.session import settle
 
     chunks = staged(spark, folder)
     images = chunks.select("id", F.col("metadata.image_url").cast("binary").alias("content"))
@@ -478,3 +479,87 @@ def patched_columns(spark: SparkSession, folder: str) -> DataFrame:
     )
     docs = view(spark, folder, "products")
     return tables.patch_columns(docs, patch).select("id", "title", "image_blob")
+
+
+def written_catalog(spark: SparkSession, folder: str) -> str:
+    """The raw catalog written as JSON lines, one file set per category."""
+    from vitrine.streaming.runner import scratch_folder
+
+    target = scratch_folder(spark, "catalog")
+    rows = raw_rows(spark, folder).select(
+        F.concat(F.lit("meta_"), "category", F.lit(".main.jsonl")).alias("file"),
+        F.to_json("v").alias("value"),
+    )
+    rows.write.partitionBy("file").text(target)
+    return target
+
+
+@query(
+    "catalog_scan",
+    covers="S1 S2 S3",
+    sql=with_views("raw_catalog", extra=NORMALIZED)
+    + "select asin, category, image_url, title, description, price, avg_rating, rating_count from normalized",
+)
+def catalog_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """All categories read back from JSON lines in one scan and normalised."""
+    target = written_catalog(spark, folder)
+    names = table(spark, folder, "part").select(F.col("p_type").alias("category")).distinct()
+    # A handful of category names; they are paths of one scan.
+    wanted = [r["category"] for r in names.collect()]
+    rows = catalog.read_categories(spark, target, wanted, layout="file={file}")
+    return products.normalize_products(rows)
+
+
+def scratch_tables(spark: SparkSession) -> tuple[VersionedTable, VersionedTable]:
+    from vitrine.streaming.runner import scratch_folder
+
+    root = scratch_folder(spark, "refresh")
+    return VersionedTable(spark, f"{root}/products"), VersionedTable(spark, f"{root}/checkpoints")
+
+
+@query(
+    "refresh_runs",
+    covers="T3 T4 A10 R16 J1 K1 K4",
+    sql=with_views("raw_catalog", extra=NORMALIZED)
+    + """, placed as (select *, row_number() over (order by row_no)-1 as n, count(*) over () as total from normalized)
+    select asin as id, category, title, 1000*(1+n//(total//2+1)) as upserted_at,
+    'catalog-2024-01-0'||(1+n//(total//2+1)) as label from placed""",
+)
+def refresh_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Two nightly runs over the whole catalog; the first one is tried twice."""
+    from vitrine.operators import drops
+    from vitrine.streaming.refresh import refresh_once
+
+    valid = settle(normalized(spark, folder))
+    size = valid.count() // 2 + 1
+    stored, marks = scratch_tables(spark)
+    for run in (1, 1, 2):
+        refresh_once(
+            valid, ["row_no"], stored, marks, f"catalog-2024-01-0{run}", 1000 * run, size
+        )
+    members = drops.drop_membership(stored.read(), marks.read())
+    return members.select("id", "category", "title", "upserted_at", "label")
+
+
+@query(
+    "refresh_stream",
+    covers="T3 T4",
+    sql=with_views("raw_catalog", extra=NORMALIZED) + "select asin as id, category, title, cast(1000 as bigint) as upserted_at from normalized",
+)
+def refresh_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The written catalog drained as a stream of files."""
+    from vitrine.streaming.refresh import catalog_stream, run_refresh
+    from vitrine.streaming.runner import scratch_folder
+
+    source = catalog_stream(spark, written_catalog(spark, folder) + "/*")
+    category = F.regexp_extract(F.input_file_name(), r"meta_([^/]*)\.main\.jsonl", 1)
+    stored, marks = scratch_tables(spark)
+    run_refresh(
+        source.select("v", category.alias("category")),
+        stored,
+        marks,
+        scratch_folder(spark, "progress"),
+        lambda batch: f"run-{batch}",
+        lambda batch: 1000 * (batch + 1),
+    )
+    return stored.read().select("id", "category", "title", "upserted_at")

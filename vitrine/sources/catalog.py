@@ -55,17 +55,24 @@ def read_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_categories(
-    spark: SparkSession, folder: str, categories: list[str], revision: str = "main"
+    spark: SparkSession,
+    folder: str,
+    categories: list[str],
+    revision: str = "main",
+    layout: str = "{file}",
 ) -> DataFrame:
     """One scan over the files of several categories, tagged with ``category``.
 
-    ``category`` is spelled as requested; the file name only tells which it was.
+    ``category`` is spelled as requested; the path only tells which it was.
+    ``layout`` says where below ``folder`` the file or folder of a category lies.
     """
     if not categories:
         raise ValueError("at least one category is required")
     names = {domain_name(c): c.strip() for c in categories}
-    paths = [f"{folder.rstrip('/')}/{file_name(c, revision)}" for c in names.values()]
-    ending = safe_token(revision).replace(".", r"\.") + r"\.jsonl$"
+    paths = [
+        f"{folder.rstrip('/')}/{layout.format(file=file_name(c, revision))}" for c in names.values()
+    ]
+    ending = safe_token(revision).replace(".", r"\.") + r"\.jsonl(?:/|$)"
     rows = read_catalog(spark, paths).withColumn(
         "_domain", F.regexp_extract(F.url_decode(F.input_file_name()), rf"meta_([^/]*)\.{ending}", 1)
     )
