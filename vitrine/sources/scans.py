@@ -29,16 +29,17 @@ def scan_page(numbered: DataFrame, offset: int = 0, limit: int | None = None) ->
     )
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``(id, content, error)`` of files; an empty file is a failure.
+def read_files(
+    spark: SparkSession, folder: str, pattern: str = "*", wanted: DataFrame | None = None
+) -> DataFrame:
+    """``(id, content, error)`` of files, ``id`` being the name without its ending.
 
-    ``id`` is the file name without its extension.
+    Spark passes over files without content, so a failure only shows against the
+    ids in ``wanted``: each of those has a row, with an error if nothing was read.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     name = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-    empty = F.length("content") == 0
-    return files.select(
-        name.alias("id"),
-        F.when(~empty, F.col("content")).alias("content"),
-        F.when(empty, F.lit("empty body")).alias("error"),
-    )
+    found = files.select(name.alias("id"), "content")
+    if wanted is not None:
+        found = wanted.select("id").distinct().join(found, "id", "left")
+    return found.withColumn("error", F.when(F.col("content").isNull(), "empty or absent"))
