@@ -98,7 +98,7 @@ def test_quality_reorders(spark, rows):
 def test_last_position_and_repeated_clicks(spark, rows):
     found = searches(spark, ("t", "a", ["X", "Y", "X"], 1), ("t", "a", ["Y"], 2))
     clicked = clicks(spark, ("t", "X", 3), ("t", "Y", 4), ("t", "Y", 5))
-    ranked = trending.ranked_clicks(trending.keyed_searches(found), clicked)
+    ranked = trending.ranked_clicks(trending.search_groups(trending.keyed_searches(found)), clicked)
     seen = sorted(rows(ranked.select("group_id", "doc_id", "rank", "clicks")))
     assert seen == [(0, "X", 2, 1), (0, "Y", 1, 2), (1, "Y", 0, 2)]
     first = 1 / math.log2(4) + 2 / math.log2(3)
@@ -143,8 +143,9 @@ def test_samples_match_list_form(spark, data):
         ).alias("sample")
     )
     wanted = {r["query"]: r["sample"] for r in lists.collect()}
-    got = {r["query"]: r["sample_top_ids"] for r in trending.sample_ids(keyed).collect()}
-    assert got == wanted
+    groups = trending.search_groups(keyed)
+    sampled = trending.with_sample_ids(groups.select("query").distinct(), groups)
+    assert {r["query"]: r["sample_top_ids"] for r in sampled.collect()} == wanted
 
 
 def test_one_hot_trace(spark):
@@ -161,7 +162,7 @@ def test_one_hot_trace(spark):
         F.when(F.col("id") % 4 == 0, "A").otherwise("Z").alias("doc_id"),
         F.col("id").alias("timestamp_ms"),
     )
-    ranked = trending.ranked_clicks(trending.keyed_searches(found), clicked)
+    ranked = trending.ranked_clicks(trending.search_groups(trending.keyed_searches(found)), clicked)
     assert ranked.count() == 3
     got = trending.trending(found, clicked, quality_weight=1.0).first()
     ideal = math.fsum(1 / math.log2(i + 2) for i in range(5000))

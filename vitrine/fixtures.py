@@ -7,6 +7,7 @@ checks. ``view`` builds a DataFrame, ``with_views`` the WITH clause of a check.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # First upsert time of the derived products and the step between products.
 BASE_MS = 1704067200000
@@ -127,8 +128,15 @@ DUCKDB_WORDS = {
 }
 
 
+# Schemas seen so far, so that a table read again needs no job to infer it.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def view(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -14,7 +14,7 @@ def strip(c: Column) -> Column:
 
 
 def blank_to_null(c: Column) -> Column:
-    return F.when(c != "", c)
+    return F.nullif(c, F.lit(""))
 
 
 def collapse(c: Column) -> Column:

@@ -122,23 +122,23 @@ def embed_images(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder()
+        step = max(1, batch)
         for frame in frames:
-            for start in range(0, len(frame), max(1, batch)):
-                part = frame.iloc[start : start + max(1, batch)]
-                contents = part["content"].tolist()
+            contents = frame["content"].tolist()
+            vectors: list[np.ndarray | None] = []
+            outcomes: list[str] = []
+            for start in range(0, len(contents), step):
+                part = contents[start : start + step]
                 try:
-                    if any(not c for c in contents):
+                    if any(not c for c in part):
                         raise ValueError("image without content")
-                    vectors = _unit(
-                        np.asarray(encode([bytes(c) for c in contents]), dtype=np.float64)
-                    )
-                    found = [v.astype(np.float32) for v in vectors]
-                    outcome = OK
+                    found = _unit(np.asarray(encode([bytes(c) for c in part]), dtype=np.float64))
+                    vectors.extend(found.astype(np.float32))
+                    outcomes.extend([OK] * len(part))
                 except Exception:  # noqa: BLE001 - a model error is an outcome
-                    found, outcome = [None] * len(part), RETRY
-                yield pd.DataFrame(
-                    {"id": part["id"].tolist(), "vector": found, "outcome": outcome}
-                )
+                    vectors.extend([None] * len(part))
+                    outcomes.extend([RETRY] * len(part))
+            yield pd.DataFrame({"id": frame["id"], "vector": vectors, "outcome": outcomes})
 
     return rows.select("id", "content").mapInPandas(
         run, "id string, vector array<float>, outcome string"

@@ -9,6 +9,7 @@ from vitrine import settings
 from vitrine.functions import gain
 from vitrine.functions.text import normalize_query, trending_row_id
 from vitrine.operators.topk import top_k_per_key
+from vitrine.session import settle
 
 # Searches: event_id, trace_id, raw_query, top_result_ids, timestamp_ms.
 # Clicks: trace_id, doc_id.
@@ -21,25 +22,27 @@ def keyed_searches(searches: DataFrame) -> DataFrame:
     )
 
 
-def query_counts(keyed: DataFrame) -> DataFrame:
-    return keyed.groupBy("query").agg(F.count(F.lit(1)).alias("count"))
+def search_groups(keyed: DataFrame) -> DataFrame:
+    """Searches that share query, trace and result list, as one row.
+
+    ``searches`` counts them, ``group_id`` is one of their event ids and ``first``
+    the time and event of the earliest. All that follows works on these rows.
+    """
+    return keyed.groupBy("query", "trace_id", "top_result_ids").agg(
+        F.count(F.lit(1)).alias("searches"),
+        F.min("event_id").alias("group_id"),
+        F.min(F.struct("timestamp_ms", "event_id")).alias("first"),
+    )
 
 
-def ranked_clicks(keyed: DataFrame, clicks: DataFrame) -> DataFrame:
-    """Clicks attributed to result positions, counted per search group.
+def ranked_clicks(groups: DataFrame, clicks: DataFrame) -> DataFrame:
+    """Clicks attributed to result positions of each search group.
 
-    Searches that share query, trace and result list are one group of ``searches``
-    members (``group_id`` is one of their event ids), and repeated clicks on one
-    document are one row with ``clicks``. Both sides shrink before the join and
-    a search meets only the documents it listed, so a trace that holds a large
-    share of the log yields no product of its searches and clicks. A document
-    listed twice counts at its last position.
+    Repeated clicks on one document are one row with ``clicks``. Both sides are
+    shrunk before the join and a group meets only the documents it listed, so a
+    trace that holds a large share of the log yields no product of its searches
+    and clicks. A document listed twice counts at its last position.
     """
-    groups = (
-        keyed.filter(F.coalesce("trace_id", F.lit("")) != "")
-        .groupBy("query", "trace_id", "top_result_ids")
-        .agg(F.count(F.lit(1)).alias("searches"), F.min("event_id").alias("group_id"))
-    )
     ids = F.col("top_result_ids")
     placed = F.transform(
         F.array_distinct(ids),
@@ -48,9 +51,11 @@ def ranked_clicks(keyed: DataFrame, clicks: DataFrame) -> DataFrame:
             (F.size(ids) - F.array_position(F.reverse(ids), d)).alias("rank"),
         ),
     )
-    listed = groups.select(
-        "query", "trace_id", "searches", "group_id", F.explode(placed).alias("p")
-    ).select("query", "trace_id", "searches", "group_id", "p.doc_id", "p.rank")
+    listed = (
+        groups.filter(F.coalesce("trace_id", F.lit("")) != "")
+        .select("query", "trace_id", "searches", "group_id", F.explode(placed).alias("p"))
+        .select("query", "trace_id", "searches", "group_id", "p.doc_id", "p.rank")
+    )
     clicked = (
         clicks.filter((F.coalesce("trace_id", F.lit("")) != "") & F.col("doc_id").isNotNull())
         .groupBy("trace_id", "doc_id")
@@ -72,17 +77,20 @@ def search_quality(ranked: DataFrame) -> DataFrame:
 
 
 def scored_queries(
-    searches: DataFrame,
+    groups: DataFrame,
     clicks: DataFrame | None = None,
     quality_weight: float = 0.0,
     min_count: int = settings.TRENDING_MIN_COUNT,
 ) -> DataFrame:
-    """Every query at or above the floor with ``count``, ``ndcg`` and ``score``."""
-    keyed = keyed_searches(searches)
-    counts = query_counts(keyed).filter(F.col("count") >= min_count)
+    """Every query at or above the floor with ``count``, ``score`` and ``ndcg``."""
+    counts = (
+        groups.groupBy("query")
+        .agg(F.sum("searches").alias("count"))
+        .filter(F.col("count") >= min_count)
+    )
     if quality_weight > 0 and clicks is not None:
         quality = (
-            search_quality(ranked_clicks(keyed, clicks))
+            search_quality(ranked_clicks(groups, clicks))
             .groupBy("query")
             .agg(F.sum(F.col("searches") * F.col("ndcg")).alias("total"))
         )
@@ -93,31 +101,32 @@ def scored_queries(
         )
     else:
         counts = counts.withColumn("ndcg", F.lit(0.0))
-    return counts.withColumn(
-        "score", F.col("count") * (F.lit(1.0) + F.lit(float(quality_weight)) * F.col("ndcg"))
-    )
+    score = F.col("count") * (F.lit(1.0) + F.lit(float(quality_weight)) * F.col("ndcg"))
+    return counts.select("query", "count", score.alias("score"), "ndcg")
 
 
-def sample_ids(keyed: DataFrame, size: int = settings.SAMPLE_TOP_IDS) -> DataFrame:
-    """First ``size`` distinct result ids of every query.
+def with_sample_ids(
+    entries: DataFrame, groups: DataFrame, size: int = settings.SAMPLE_TOP_IDS
+) -> DataFrame:
+    """Entries with the first ``size`` distinct result ids of their query.
 
-    Order is search time, event id, position. Equal result lists of a query are
-    merged before they are unfolded, and ids are ranked before they are
+    Order is search time, event id, position. Ids are ranked before they are
     collected, so no query builds more than ``size`` entries.
     """
-    lists = keyed.groupBy("query", "top_result_ids").agg(
-        F.min(F.struct("timestamp_ms", "event_id")).alias("first")
-    )
+    carried = entries.columns
     seen = (
-        lists.select("query", "first", F.posexplode("top_result_ids").alias("pos", "doc_id"))
-        .groupBy("query", "doc_id")
-        .agg(F.min(F.struct("first.timestamp_ms", "first.event_id", "pos")).alias("at"))
+        groups.join(entries, "query")
+        .select(*carried, "first", F.posexplode_outer("top_result_ids").alias("pos", "doc_id"))
+        .groupBy(*carried, "doc_id")
+        .agg(F.min(F.struct("first.timestamp_ms", "first.event_id", "pos")).alias("met"))
     )
-    kept = top_k_per_key(seen, ["query"], [F.col("at"), F.col("doc_id")], size, "place")
-    return kept.groupBy("query").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda s: s["doc_id"]
-        ).alias("sample_top_ids")
+    order = [F.col("doc_id").isNull(), F.col("met"), F.col("doc_id")]
+    kept = top_k_per_key(seen, ["query"], order, size, "place")
+    listed = F.when(F.col("doc_id").isNotNull(), F.struct("place", "doc_id"))
+    return kept.groupBy(*carried).agg(
+        F.transform(F.array_sort(F.collect_list(listed)), lambda s: s["doc_id"]).alias(
+            "sample_top_ids"
+        )
     )
 
 
@@ -130,29 +139,19 @@ def trending(
 ) -> DataFrame:
     """``(query, count, score, ndcg, sample_top_ids)`` by score, then query.
 
-    ``top_n=None`` keeps every query above the floor. With a bound, samples are
-    only worked out for the winners.
+    ``top_n=None`` keeps every query above the floor. The log is read once: its
+    groups are settled, and counts, click quality and samples work on them. With
+    ``top_n``, samples are only worked out for the winners.
     """
-    scored = scored_queries(searches, clicks, quality_weight, min_count)
-    keyed = keyed_searches(searches).select(
-        "query", "top_result_ids", "timestamp_ms", "event_id"
-    )
+    groups = settle(search_groups(keyed_searches(searches)))
+    entries = scored_queries(groups, clicks, quality_weight, min_count)
     order = [F.col("score").desc(), F.col("query")]
     if top_n is not None:
-        # A limit inside the broadcast: at most top_n short rows.
-        scored = scored.orderBy(*order).limit(max(top_n, 0))
-        winners = scored.select("query")
+        entries = entries.orderBy(*order).limit(max(top_n, 0))
         if top_n <= settings.BROADCAST_LOOKUP_ROWS:
-            winners = F.broadcast(winners)
-        keyed = keyed.join(winners, "query", "left_semi")
-    result = scored.join(sample_ids(keyed), "query", "left").select(
-        "query",
-        "count",
-        "score",
-        "ndcg",
-        F.coalesce("sample_top_ids", F.array().cast("array<string>")).alias("sample_top_ids"),
-    )
-    return result.orderBy(*order)
+            # At most top_n short rows.
+            entries = F.broadcast(entries)
+    return with_sample_ids(entries, groups).orderBy(*order)
 
 
 def trending_rows(entries: DataFrame, as_of_ms: int, source: str, job: str) -> DataFrame:

@@ -27,7 +27,8 @@ def stage(
     keep = [c for c in order if isinstance(c, str)]
     valid = products.normalize_products(rows, raw, keep)
     if offset > 0 or limit >= 0:
-        valid = slices.take_slice(slices.numbered(valid, order), offset, limit)
+        # Range partitioning reads its input twice; normalising is worth doing once.
+        valid = slices.take_slice(slices.numbered(settle(valid), order), offset, limit)
     chunks = products.stage_chunks(valid)
     return chunks if indexed is None else tables.skip_existing(chunks, indexed)
 

@@ -240,7 +240,7 @@ def category_totals(spark: SparkSession, folder: str) -> DataFrame:
     select asin, ordinal, (ordinal-60)//100 as slice from placed where ordinal>=60""",
 )
 def valid_row_slices(spark: SparkSession, folder: str) -> DataFrame:
-    placed = slices.numbered(normalized(spark, folder), ["row_no"])
+    placed = slices.numbered(settle(normalized(spark, folder)), ["row_no"])
     return slices.assign_slices(placed, 60, 100).select("asin", "ordinal", "slice")
 
 
@@ -253,7 +253,7 @@ def valid_row_slices(spark: SparkSession, folder: str) -> DataFrame:
     select asin, ordinal from placed where ordinal>=n//4 and ordinal<n//4+n//2""",
 )
 def offset_limit_rows(spark: SparkSession, folder: str) -> DataFrame:
-    placed = slices.numbered(normalized(spark, folder), ["row_no"])
+    placed = slices.numbered(settle(normalized(spark, folder)), ["row_no"])
     total = placed.count()
     return slices.take_slice(placed, total // 4, total // 2).select("asin", "ordinal")
 
@@ -372,7 +372,7 @@ def embedded_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """Every staged product with a vector from its (stand-in) image bytes."""
     from vitrine.operators import blobs
 
-    chunks = staged(spark, folder)
+    chunks = settle(staged(spark, folder))
     images = chunks.select("id", F.col("metadata.image_url").cast("binary").alias("content"))
     embedded = settle(embedding.embed_images(images, embedding.hashed_bytes_encoder()))
     stored = blobs.addressed(images, "products")

@@ -132,7 +132,7 @@ def trending_all_queries(spark: SparkSession, folder: str) -> DataFrame:
 )
 def click_attribution(spark: SparkSession, folder: str) -> DataFrame:
     keyed = trending.keyed_searches(searches(spark, folder))
-    ranked = trending.ranked_clicks(keyed, clicks(spark, folder))
+    ranked = trending.ranked_clicks(trending.search_groups(keyed), clicks(spark, folder))
     return ranked.groupBy("query", "trace_id", "doc_id", F.col("rank").cast("long").alias("rank")).agg(
         F.sum(F.col("searches") * F.col("clicks")).alias("clicks")
     )
@@ -176,8 +176,9 @@ def search_gain(spark: SparkSession, folder: str) -> DataFrame:
     sql=with_views("search_history", extra=f"{KEYED}, {SAMPLES}") + "select query, sample from samples",
 )
 def query_sample_ids(spark: SparkSession, folder: str) -> DataFrame:
-    keyed = trending.keyed_searches(searches(spark, folder))
-    return trending.sample_ids(keyed).select(
+    groups = trending.search_groups(trending.keyed_searches(searches(spark, folder)))
+    every = groups.select("query").distinct()
+    return trending.with_sample_ids(every, groups).select(
         "query", F.array_join("sample_top_ids", ",").alias("sample")
     )
 

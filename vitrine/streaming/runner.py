@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import LongType, StructField, StructType
 
+from vitrine.fixtures import table
 from vitrine.session import ensure_checkpoint_dir
 
 BATCH = "batch_id"
@@ -13,8 +15,7 @@ BATCH = "batch_id"
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """Parquet files called ``name`` in ``folder`` as a stream."""
-    path = f"{folder.rstrip('/')}/{name}"
-    schema = spark.read.parquet(path).schema
+    schema = table(spark, folder, name.removesuffix(".parquet")).schema
     return (
         spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
     )
@@ -46,5 +47,5 @@ def run_to_end(stream: DataFrame, mode: str = "append", folder: str | None = Non
         .start()
     )
     running.awaitTermination()
-    whole = spark.createDataFrame([], schema).schema.add(BATCH, "long")
+    whole = StructType([*schema.fields, StructField(BATCH, LongType())])
     return spark.read.schema(whole).parquet(f"{folder}/out")
