@@ -121,6 +121,12 @@ def test_samples_keep_first_seen_order(spark):
     assert got == ["B", "A", "C", "D", "E"]
 
 
+def test_query_without_results_keeps_its_row(spark, rows):
+    found = searches(spark, ("t1", "q", [], 1), ("t2", "q", [], 2))
+    for top_n in (5, None):
+        assert rows(trending.trending(found, top_n=top_n)) == [("q", 2, 2.0, 0.0, [])]
+
+
 def test_samples_match_list_form(spark, data):
     """The ranked form equals flattening every list of a query in order."""
     from vitrine.queries.trending import searches as logged
@@ -144,8 +150,7 @@ def test_samples_match_list_form(spark, data):
     )
     wanted = {r["query"]: r["sample"] for r in lists.collect()}
     groups = trending.search_groups(keyed)
-    sampled = trending.with_sample_ids(groups.select("query").distinct(), groups)
-    assert {r["query"]: r["sample_top_ids"] for r in sampled.collect()} == wanted
+    assert {r["query"]: r["sample_top_ids"] for r in trending.sample_ids(groups).collect()} == wanted
 
 
 def test_one_hot_trace(spark):

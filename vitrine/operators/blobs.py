@@ -26,10 +26,13 @@ def addressed(contents: DataFrame, namespace: str) -> DataFrame:
 
 
 def distinct_blobs(contents: DataFrame) -> DataFrame:
-    """One row per digest. Copies are dropped before any bytes are shuffled twice:
-    the representative is chosen on ``(sha, id)`` and only then joined back."""
+    """One row per digest, the one with the smallest id.
+
+    The row is chosen on digest and id alone. The contents then meet the choice on
+    both, so even a digest that a large share of the rows has is spread by id.
+    """
     chosen = contents.groupBy("sha").agg(F.min("id").alias("id"))
-    return contents.join(chosen, ["sha", "id"], "left_semi").dropDuplicates(["sha"])
+    return contents.join(chosen, ["sha", "id"], "left_semi").dropDuplicates(["sha", "id"])
 
 
 def blob_state(image_blob: Column, image_url: Column) -> Column:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine import settings
+from vitrine.operators.neighbours import all_neighbours
 from vitrine.operators.topk import top_k_per_key
 from vitrine.operators.vector_search import nearest_to_id
+from vitrine.session import row_count_up_to
 
 
 def request_seeds(seeds: DataFrame, max_seeds: int = settings.FUSION_MAX_SEEDS) -> DataFrame:
@@ -67,18 +69,23 @@ def multi_seed(
     top_k: int = settings.FUSION_TOP_K,
     per_seed: int = settings.FUSION_PER_SEED,
     max_seeds: int = settings.FUSION_MAX_SEEDS,
-    **limits: int,
+    broadcast_limit: int = settings.BROADCAST_REQUESTS,
 ) -> DataFrame:
     """Fused neighbours of several seeds per request.
 
-    Each distinct seed is searched once, however many requests share it.
+    Each distinct seed is searched once, however many requests share it. Seeds
+    too many to broadcast are answered through clustered cells.
     """
     legs = request_seeds(seeds, max_seeds)
-    distinct = legs.select("seed_id").distinct().withColumn("request_id", F.col("seed_id"))
-    hits = nearest_to_id(docs, distinct, per_seed, **limits).select(
-        F.col("request_id").alias("seed_id"), "id", "rank"
-    )
-    return fuse(legs, hits, top_k)
+    distinct = legs.select("seed_id").distinct()
+    if row_count_up_to(distinct, broadcast_limit) <= broadcast_limit:
+        asked = distinct.withColumn("request_id", F.col("seed_id"))
+        hits = nearest_to_id(docs, asked, per_seed, broadcast_limit=broadcast_limit)
+    else:
+        asked = distinct.select(F.col("seed_id").alias("id"))
+        hits = all_neighbours(docs, per_seed, seeds=asked)
+    ranked = hits.select(F.col("request_id").alias("seed_id"), "id", "rank")
+    return fuse(legs, ranked, top_k)
 
 
 def featured(

@@ -197,14 +197,19 @@ def all_neighbours(
     probes: int | None = None,
     block_docs: int = settings.BLOCK_DOCS,
     block_requests: int = settings.BLOCK_REQUESTS,
+    seeds: DataFrame | None = None,
 ) -> DataFrame:
-    """``(request_id, id, dist, rank)``: the ``k`` nearest others of every document."""
+    """``(request_id, id, dist, rank)``: the ``k`` nearest others of every document.
+
+    With ``seeds`` (a table with ``id``) only for those documents.
+    """
     stored = docs.filter(F.col("vector").isNotNull()).select("id", "vector")
     centroids = fit_centroids(stored, cells)
     placed = settle(assign_cells(stored, centroids))
     order = [F.col("dist"), F.col("id")]
 
-    own = placed.select(F.col("id").alias("request_id"), "vector", "cell")
+    asked = placed if seeds is None else placed.join(seeds.select("id"), "id", "left_semi")
+    own = asked.select(F.col("id").alias("request_id"), "vector", "cell")
     near = settle(
         top_k_per_key(
             _meet(placed, own, k, block_docs, block_requests), ["request_id"], order, k

@@ -105,25 +105,27 @@ def scored_queries(
     return counts.select("query", "count", score.alias("score"), "ndcg")
 
 
-def with_sample_ids(
-    entries: DataFrame, groups: DataFrame, size: int = settings.SAMPLE_TOP_IDS
+def sample_ids(
+    groups: DataFrame,
+    carried: list[str] | None = None,
+    size: int = settings.SAMPLE_TOP_IDS,
 ) -> DataFrame:
-    """Entries with the first ``size`` distinct result ids of their query.
+    """First ``size`` distinct result ids of every query, as ``sample_top_ids``.
 
     Order is search time, event id, position. Ids are ranked before they are
-    collected, so no query builds more than ``size`` entries.
+    collected, so no query builds more than ``size`` entries. ``carried`` names
+    further columns that depend on the query alone.
     """
-    carried = entries.columns
+    keys = carried or ["query"]
     seen = (
-        groups.join(entries, "query")
-        .select(*carried, "first", F.posexplode_outer("top_result_ids").alias("pos", "doc_id"))
-        .groupBy(*carried, "doc_id")
+        groups.select(*keys, "first", F.posexplode_outer("top_result_ids").alias("pos", "doc_id"))
+        .groupBy(*keys, "doc_id")
         .agg(F.min(F.struct("first.timestamp_ms", "first.event_id", "pos")).alias("met"))
     )
     order = [F.col("doc_id").isNull(), F.col("met"), F.col("doc_id")]
     kept = top_k_per_key(seen, ["query"], order, size, "place")
     listed = F.when(F.col("doc_id").isNotNull(), F.struct("place", "doc_id"))
-    return kept.groupBy(*carried).agg(
+    return kept.groupBy(*keys).agg(
         F.transform(F.array_sort(F.collect_list(listed)), lambda s: s["doc_id"]).alias(
             "sample_top_ids"
         )
@@ -146,12 +148,16 @@ def trending(
     groups = settle(search_groups(keyed_searches(searches)))
     entries = scored_queries(groups, clicks, quality_weight, min_count)
     order = [F.col("score").desc(), F.col("query")]
-    if top_n is not None:
+    if top_n is None:
+        # Samples are one short row per query by the time they are joined.
+        sampled = entries.join(sample_ids(groups), "query")
+    else:
         entries = entries.orderBy(*order).limit(max(top_n, 0))
         if top_n <= settings.BROADCAST_LOOKUP_ROWS:
             # At most top_n short rows.
             entries = F.broadcast(entries)
-    return with_sample_ids(entries, groups).orderBy(*order)
+        sampled = sample_ids(groups.join(entries, "query"), entries.columns)
+    return sampled.orderBy(*order)
 
 
 def trending_rows(entries: DataFrame, as_of_ms: int, source: str, job: str) -> DataFrame:

@@ -207,13 +207,16 @@ def table_metadata(spark: SparkSession, folder: str) -> DataFrame:
     covers="R13 P12",
     sql=with_views("checkpoints", extra=MEMBERS + """,
     newest as (select label from checkpoints order by watermark_ms desc limit 1),
-    page as (select id, title, row_number() over (order by id) as n from members where label=(select label from newest) and id>'V2')""")
+    page as (select id, title, row_number() over (order by id) as n from members where label=(select label from newest)
+             and id>(select min(id) from members where label=(select label from newest)))""")
     + "select id, title, case when n=7 then 'id:'||id end as next_cursor from page where n<=7",
 )
 def browse_page(spark: SparkSession, folder: str) -> DataFrame:
-    """Second and later pages of the newest drop start after a cursor."""
+    """A page of the newest drop, after its first id."""
     newest = drops.checkpoint_windows(checkpoints(spark, folder)).orderBy(F.col("hi").desc()).first()
-    page = drops.browse_page(stored(spark, folder), (newest["lo"], newest["hi"]), 7, "id:V2")
+    window = (newest["lo"], newest["hi"])
+    first = drops.browse_page(stored(spark, folder), window, 1).first()
+    page = drops.browse_page(stored(spark, folder), window, 7, first["next_cursor"])
     return page.select("id", "title", "next_cursor")
 
 

@@ -41,10 +41,7 @@ def recent_searches(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("place", F.col("place").cast("long"))
 
 
-@query(
-    "personal_rails",
-    covers="R12 R10 R3",
-    sql=with_views("products", "user_views", extra=VIEWS + """,
+RAILS_SQL = with_views("products", "user_views", extra=VIEWS + """,
     seeds as (select user_id as request_id, place-1 as leg, doc_id as seed_id from recent where place<=6),
     legs as (select * from seeds where request_id in (select request_id from seeds group by request_id having count(*)>=2)),
     wanted as (select id, vector from products where id in (select seed_id from legs)),
@@ -52,15 +49,27 @@ def recent_searches(spark: SparkSession, folder: str) -> DataFrame:
               from wanted r, products d where r.id<>d.id),
     hits as (select *, row_number() over (partition by seed_id order by dist, id)-1 as place from pairs qualify place<8),
     fused as (select request_id, id, round(sum(1.0/(61+place)),12) as score, min((leg, place)) as met from legs join hits using (seed_id)
-              where not exists (select 1 from legs o where o.request_id=legs.request_id and o.seed_id=hits.id) group by request_id, id)""")
-    + """select request_id as user_id, id, round(score,9) as score, row_number() over (partition by request_id order by score desc, met) as rank
-    from fused qualify rank<=8""",
-)
-def personal_rails_query(spark: SparkSession, folder: str) -> DataFrame:
-    rails = personal_rails(view(spark, folder, "products"), view(spark, folder, "user_views"))
-    return rails.select(
+              where not exists (select 1 from legs o where o.request_id=legs.request_id and o.seed_id=hits.id) group by request_id, id)""") + """
+select request_id as user_id, id, round(score,9) as score, row_number() over (partition by request_id order by score desc, met) as rank
+    from fused qualify rank<=8"""
+
+
+def rails(spark: SparkSession, folder: str, **options: int) -> DataFrame:
+    docs, views = view(spark, folder, "products"), view(spark, folder, "user_views")
+    return personal_rails(docs, views, **options).select(
         F.col("request_id").alias("user_id"),
         "id",
         F.round("score", 9).alias("score"),
         F.col("rank").cast("long").alias("rank"),
     )
+
+
+@query("personal_rails", covers="R12 R10 R3", sql=RAILS_SQL)
+def personal_rails_query(spark: SparkSession, folder: str) -> DataFrame:
+    return rails(spark, folder)
+
+
+@query("personal_rails_cells", covers="R12 R4", sql=RAILS_SQL)
+def personal_rails_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with seeds taken as too many to broadcast."""
+    return rails(spark, folder, broadcast_limit=0)

@@ -177,8 +177,7 @@ def search_gain(spark: SparkSession, folder: str) -> DataFrame:
 )
 def query_sample_ids(spark: SparkSession, folder: str) -> DataFrame:
     groups = trending.search_groups(trending.keyed_searches(searches(spark, folder)))
-    every = groups.select("query").distinct()
-    return trending.with_sample_ids(every, groups).select(
+    return trending.sample_ids(groups).select(
         "query", F.array_join("sample_top_ids", ",").alias("sample")
     )
 
