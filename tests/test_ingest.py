@@ -256,6 +256,13 @@ def test_upsert_and_replace(spark, rows):
         tables.upsert(target, new, mode="append")
 
 
+def test_merge_needs_a_capable_table(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "id string, n int")
+    rows.createOrReplaceTempView("plain_rows")
+    with pytest.raises(Exception, match="(?i)merge|not supported|unsupported"):
+        tables.merge_into(rows, "plain_rows")
+
+
 def test_patch_sets_null_too(spark, rows):
     target = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "id string, n int, s string")
     patch = spark.createDataFrame([("b", None), ("z", 9)], "id string, n int")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from vitrine import settings
 from vitrine.functions.predicates import between
 from vitrine.functions.text import rotation_seed
-from vitrine.operators.ordinals import with_ordinals
-from vitrine.operators.topk import top_k_per_key
+from vitrine.operators.ordinals import with_ordinals, with_running_total
 from vitrine.session import row_count_up_to
 
 # Checkpoints: label, watermark_ms, row_count.
@@ -180,28 +179,51 @@ def browse_page(
     )
 
 
-def browse_pages(
-    docs: DataFrame, requests: DataFrame, page_size: int
-) -> DataFrame:
-    """A page for each request row ``(request_id, label, lo, hi, after_id)``.
+def browse_pages(docs: DataFrame, requests: DataFrame, page_size: int) -> DataFrame:
+    """``(request_id, label, id, place, next_cursor)``: a page for every request.
 
-    Requests of the table meet the documents of their drop through the label, so
-    ``docs`` must come from ``drop_membership``.
+    ``docs`` holds ``label`` and ``id`` (see ``drop_membership``); ``requests`` holds
+    ``request_id``, ``label`` and ``after_id``, NULL for the first page. Documents
+    and requests are put into one order by label and id. That gives each request
+    the position its page starts at, and the page is fetched by position: work
+    grows with the pages asked for, not with requests times documents.
     """
-    wanted = requests.select("request_id", "label", "after_id")
-    rows = docs.join(wanted, "label").filter(
-        F.col("after_id").isNull() | (F.col("id") > F.col("after_id"))
+    spots = docs.filter(F.col("label").isNotNull()).select(
+        "label", "id", F.lit(0).alias("turn"), F.lit(None).cast("string").alias("request"), F.lit(1).alias("is_doc")
+    )
+    # A request stands right behind the id it continues from, or before all ids.
+    asked = requests.select(
+        "label",
+        F.coalesce("after_id", F.lit("")).alias("id"),
+        F.lit(1).alias("turn"),
+        F.col("request_id").cast("string").alias("request"),
+        F.lit(0).alias("is_doc"),
+    )
+    ordered = with_running_total(
+        spots.unionByName(asked), ["label", "id", "turn", "request"], "is_doc", "upto"
+    )
+    numbered = ordered.filter(F.col("is_doc") == 1).select(
+        F.col("upto").alias("spot"), F.col("label").alias("held"), "id"
     )
-    probe = top_k_per_key(rows, ["request_id"], [F.col("id")], page_size + 1, "place")
-    more = Window.partitionBy("request_id").orderBy("place")
+    wanted = ordered.filter(F.col("is_doc") == 0).select(
+        F.col("request").alias("request_id"),
+        "label",
+        F.posexplode(F.sequence(F.col("upto") + 1, F.col("upto") + page_size + 1)).alias("step", "spot"),
+    )
+    found = wanted.join(numbered, "spot").filter(F.col("held") == F.col("label"))
+    more = Window.partitionBy("request_id").orderBy("step")
     return (
-        probe.withColumn("_more", F.lead("id").over(more).isNotNull())
-        .filter(F.col("place") <= page_size)
-        .withColumn(
-            "next_cursor",
-            F.when((F.col("place") == page_size) & F.col("_more"), F.concat(F.lit("id:"), "id")),
+        found.withColumn("_more", F.lead("id").over(more).isNotNull())
+        .filter(F.col("step") < page_size)
+        .select(
+            "request_id",
+            "label",
+            "id",
+            (F.col("step") + 1).alias("place"),
+            F.when(
+                (F.col("step") + 1 == page_size) & F.col("_more"), F.concat(F.lit("id:"), "id")
+            ).alias("next_cursor"),
         )
-        .drop("_more", "after_id")
     )
 
 

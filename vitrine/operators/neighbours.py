@@ -47,7 +47,8 @@ def fit_centroids(docs: DataFrame, cells: int | None = None, seed: int = 7) -> n
         return np.eye(1, size["n"] if size else 1)
     sample = docs if total <= FIT_ROWS else docs.sample(FIT_ROWS / total, seed=seed)
     unit = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10, distanceMeasure="cosine").fit(unit)
+    fit = KMeans(k=cells, seed=seed, maxIter=5, initMode="random", distanceMeasure="cosine")
+    model = fit.fit(unit)
     centres = np.asarray(model.clusterCenters(), dtype=np.float64)
     return centres / np.linalg.norm(centres, axis=1, keepdims=True)
 

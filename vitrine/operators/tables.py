@@ -33,6 +33,23 @@ def upsert(
     return kept.unionByName(rows, allowMissingColumns=True)
 
 
+def merge_into(rows: DataFrame, table: str, key: str = "id") -> None:
+    """Upsert ``rows`` into a catalog table whose format supports MERGE.
+
+    Formats with row-level writes rewrite only the files they touch; ``upsert``
+    is the form for plain Parquet.
+    """
+    (
+        rows.alias("fresh")
+        .mergeInto(table, F.col(f"{table}.{key}") == F.col(f"fresh.{key}"))
+        .whenMatched()
+        .updateAll()
+        .whenNotMatched()
+        .insertAll()
+        .merge()
+    )
+
+
 def patch_columns(target: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
     """Set the columns of ``patch`` on the ids it names; leave all else alone."""
     columns = [c for c in patch.columns if c != key]

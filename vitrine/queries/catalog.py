@@ -359,3 +359,25 @@ def hit_shapes(spark: SparkSession, folder: str) -> DataFrame:
     entries = F.array_sort(F.map_entries("attributes"))
     shown = F.array_join(F.transform(entries, lambda e: F.concat_ws("=", e["key"], e["value"])), " ")
     return hits.all_hits(rows, results).select("id", "dist", shown.alias("attributes"))
+
+
+@query(
+    "browse_following_pages",
+    covers="R13 J6",
+    sql=with_views("checkpoints", "user_views", extra=MEMBERS + """,
+    asked as (select cast(user_id as varchar)||'/'||v.doc_id as request_id, m.label, v.doc_id as after_id
+              from (select distinct user_id, doc_id from user_views) v join members m on m.id=v.doc_id where m.label is not null),
+    placed as (select request_id, a.label, m.id, row_number() over (partition by request_id order by m.id) as n,
+               count(*) over (partition by request_id) as total from asked a join members m on m.label=a.label and m.id>a.after_id)""")
+    + "select request_id, label, id, cast(n as integer) as place, case when n=5 and total>5 then 'id:'||id end as next_cursor from placed where n<=5",
+)
+def browse_following_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Each user pages on from each item viewed, within its drop."""
+    members = drops.drop_membership(stored(spark, folder), checkpoints(spark, folder)).select("id", "label")
+    views = view(spark, folder, "user_views").select("user_id", F.col("doc_id").alias("id")).distinct()
+    requests = views.join(members, "id").filter(F.col("label").isNotNull()).select(
+        F.concat_ws("/", F.col("user_id").cast("string"), "id").alias("request_id"),
+        "label",
+        F.col("id").alias("after_id"),
+    )
+    return drops.browse_pages(members, requests, 5)

@@ -367,6 +367,9 @@ def embedding_triage(spark: SparkSession, folder: str) -> DataFrame:
 @query(
     "embedded_catalog",
     covers="U1 K4 K5 S9",
+    sql=with_views("raw_catalog", extra=STAGED)
+    + """select id, title, cast(avg_rating as varchar) as avg_rating_txt, 'blob://products/'||sha256(image_url) as image_blob,
+    64 as dims, cast(1704067200000 as bigint) as upserted_at from staged""",
 )
 def embedded_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """Every staged product with a vector from its (stand-in) image bytes."""

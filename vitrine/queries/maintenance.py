@@ -101,7 +101,7 @@ def status_encodings(spark: SparkSession, folder: str) -> DataFrame:
         F.concat("doc_id", F.lit("-list")), F.to_json(F.struct(F.lit(7).alias("stages"), F.col("l").alias("stage_counts")))
     )
     as_flat = grouped.select(
-        F.concat("doc_id", F.lit("-flat")), F.to_json(F.map_concat(F.col("m").cast("map<string,string>").cast("map<string,long>"), F.create_map().cast("map<string,long>")))
+        F.concat("doc_id", F.lit("-flat")), F.to_json("m")
     )
     statuses = as_object.unionAll(as_list).unionAll(as_flat).withColumnRenamed("doc_id", "pipeline_id")
     return pipeline_status.counts_from_status(statuses)

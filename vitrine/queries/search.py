@@ -282,7 +282,12 @@ def text_search(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query("document_vectors", covers="U2")
+@query(
+    "document_vectors",
+    covers="U2",
+    sql=r"""select doc_id, 64 as dims, case when regexp_matches(text,'[\p{L}\p{N}_]') then cast(1 as double) else 0 end as norm
+    from documents""",
+)
 def document_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Whole texts through the text encoder."""
     docs = embed_texts(table(spark, folder, "documents"), hashed_tokens_encoder())
