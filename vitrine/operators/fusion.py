@@ -9,7 +9,7 @@ from vitrine import settings
 from vitrine.operators.neighbours import all_neighbours
 from vitrine.operators.topk import top_k_per_key
 from vitrine.operators.vector_search import nearest_to_id
-from vitrine.session import row_count_up_to
+from vitrine.session import row_count_up_to, settle
 
 
 def request_seeds(seeds: DataFrame, max_seeds: int = settings.FUSION_MAX_SEEDS) -> DataFrame:
@@ -76,7 +76,8 @@ def multi_seed(
     Each distinct seed is searched once, however many requests share it. Seeds
     too many to broadcast are answered through clustered cells.
     """
-    legs = request_seeds(seeds, max_seeds)
+    # The legs are wanted three times: to size, to search and to fuse.
+    legs = settle(request_seeds(seeds, max_seeds))
     distinct = legs.select("seed_id").distinct()
     if row_count_up_to(distinct, broadcast_limit) <= broadcast_limit:
         asked = distinct.withColumn("request_id", F.col("seed_id"))
