@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import blob_ref, blob_ref_digest, blob_ref_status, strip
 from vitrine.operators.ordinals import with_running_total
-from vitrine.operators.tables import fetch_by_ids, patch_columns
+from vitrine.operators.tables import fetch_by_ids, patch_columns, side_by_side
 
 ALREADY, MISSING_URL, CANDIDATE, ABSENT = "already", "missing_url", "candidate", "absent"
 
@@ -81,9 +81,7 @@ def backfill_statistics(states: DataFrame, stored: DataFrame | None = None) -> D
         F.count_if(F.col("size").isNull()).alias("failed"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes_stored"),
     )
-    return (
-        inspected.withColumn("_k", F.lit(1)).join(outcome.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    )
+    return side_by_side(inspected, outcome)
 
 
 def fetch_contents(rows: DataFrame, fetch: Callable[[str], bytes]) -> DataFrame:
@@ -141,7 +139,7 @@ def reference_audit(docs: DataFrame, blobs: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("size").isNull(), F.col("refs"))), F.lit(0)).alias("missing"),
         F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"),
     )
-    return totals.withColumn("_k", F.lit(1)).join(matched.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return side_by_side(totals, matched)
 
 
 def budget_prefix(docs: DataFrame, blobs: DataFrame, budget: int) -> DataFrame:

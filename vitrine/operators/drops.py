@@ -9,7 +9,6 @@ from vitrine import settings
 from vitrine.functions.predicates import between
 from vitrine.functions.text import rotation_seed
 from vitrine.operators.ordinals import with_ordinals, with_running_total
-from vitrine.session import row_count_up_to
 
 # Checkpoints: label, watermark_ms, row_count.
 

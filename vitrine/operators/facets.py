@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine import settings
+from vitrine.operators.tables import side_by_side
 
 
 def facet_counts(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -58,8 +59,5 @@ def table_metadata(docs: DataFrame, stability: DataFrame | None = None) -> DataF
     )
     if stability is None:
         return summary.withColumn("is_stable", F.lit(False))
-    # One aggregated row meets one aggregated row on a constant key.
     gate = stability.agg(F.coalesce(F.bool_and("stable"), F.lit(False)).alias("is_stable"))
-    return (
-        summary.withColumn("_k", F.lit(1)).join(gate.withColumn("_k", F.lit(1)), "_k").drop("_k")
-    )
+    return side_by_side(summary, gate)

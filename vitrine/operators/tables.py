@@ -92,3 +92,11 @@ def fetch_by_ids(
     return wanted.join(stored, key, "left").withColumn(
         "found", F.coalesce("found", F.lit(False))
     )
+
+
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row with the columns of several one-row tables, without joining them."""
+    stacked = rows[0]
+    for row in rows[1:]:
+        stacked = stacked.unionByName(row, allowMissingColumns=True)
+    return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])

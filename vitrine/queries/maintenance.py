@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.fixtures import table, view, with_views
-from vitrine.functions import text as X
 from vitrine.operators import blobs, pipeline_status
 from vitrine.plans.backfill_job import backfill
 from vitrine.queries.registry import query

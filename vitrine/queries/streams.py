@@ -105,8 +105,15 @@ def stream_stage_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.settled_stages(updates).select("pipeline_id", "doc_id", "stage", "ts_ms")
 
 
-def with_state_store(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", history.STATE_PROVIDER)
+def finished_lists(updates: DataFrame) -> DataFrame:
+    """Drain a stream of live lists with the state store it needs."""
+    spark, name = updates.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, history.STATE_PROVIDER)
+    try:
+        return history.current_lists(runner.run_to_end(updates, "update"))
+    finally:
+        spark.conf.set(name, before)
 
 
 @query(
@@ -117,11 +124,7 @@ def with_state_store(spark: SparkSession) -> None:
     cast(row_number() over (partition by user_id order by met desc, doc_id) as integer) as place from latest qualify place<=12""",
 )
 def stream_recent_views(spark: SparkSession, folder: str) -> DataFrame:
-    with_state_store(spark)
-    updates = runner.run_to_end(
-        history.live_views(stream_view(spark, folder, "user_views")), "update"
-    )
-    return history.current_lists(updates)
+    return finished_lists(history.live_views(stream_view(spark, folder, "user_views")))
 
 
 @query(
@@ -134,8 +137,4 @@ def stream_recent_views(spark: SparkSession, folder: str) -> DataFrame:
     cast(row_number() over (partition by user_id order by met desc) as integer) as place from latest qualify place<=8""",
 )
 def stream_recent_searches(spark: SparkSession, folder: str) -> DataFrame:
-    with_state_store(spark)
-    updates = runner.run_to_end(
-        history.live_searches(stream_view(spark, folder, "search_history")), "update"
-    )
-    return history.current_lists(updates)
+    return finished_lists(history.live_searches(stream_view(spark, folder, "search_history")))
