@@ -164,3 +164,21 @@ def test_refresh_stream(spark, tmp_path, restart):
     got = {r["id"] for r in docs.read().collect()}
     assert got == {"A1", "A2", "A3"}
     assert {r["label"] for r in marks.read().collect()} == {"run-0", "run-1"}
+
+
+def test_derived_rows_follow_writes(spark, tmp_path):
+    from vitrine.streaming.derived import derive_on_write
+
+    feed = Feed(spark, tmp_path / "in", "id string, title string")
+    feed.add(("a", "x"), ("b", "yy"))
+    feed.add(("b", "yyy"))
+    target = VersionedTable(spark, str(tmp_path / "derived"))
+
+    def lengths(batch):
+        return batch.select("id", F.length("title").alias("n"))
+
+    derive_on_write(feed.stream(), lengths, target, str(tmp_path / "progress"))
+    assert {r["id"]: r["n"] for r in target.read().collect()} == {"a": 1, "b": 3}
+    feed.add(("c", "z"))
+    derive_on_write(feed.stream(), lengths, target, str(tmp_path / "progress"))
+    assert {r["id"]: r["n"] for r in target.read().collect()} == {"a": 1, "b": 3, "c": 1}

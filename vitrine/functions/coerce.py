@@ -75,7 +75,8 @@ def either_sql(a: str, b: str) -> str:
 def display_text_sql(v: str) -> str:
     """Text form of one value, with None/True/False spelled as in Python."""
     return (
-        f"case when {v} is null or {kind_sql(v)} = 'VOID' then 'None'"
+        f"case when {kind_sql(v)} = 'STRING' then {text_sql(v)}"
+        f" when {v} is null or {kind_sql(v)} = 'VOID' then 'None'"
         f" when {kind_sql(v)} = 'BOOLEAN' then initcap({text_sql(v)})"
         f" else {text_sql(v)} end"
     )
@@ -89,8 +90,10 @@ def joined_parts_sql(parts: str, count: int = 3) -> str:
 
 def first_text_sql(v: str) -> str:
     shown = f"transform({list_sql(v)}, e -> {display_text_sql('e')})"
+    # Plain text is by far the commonest and is tried first.
     text = (
-        f"case when {v} is null or {kind_sql(v)} = 'VOID' then null"
+        f"case when {kind_sql(v)} = 'STRING' then {strip_sql(text_sql(v))}"
+        f" when {v} is null or {kind_sql(v)} = 'VOID' then null"
         f" when {kind_sql(v)} like 'ARRAY%' then {joined_parts_sql(shown)}"
         f" when {kind_sql(v)} like 'OBJECT%' then {joined_parts_sql(f'map_keys({object_sql(v)})')}"
         f" else {strip_sql(display_text_sql(v))} end"
