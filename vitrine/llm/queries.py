@@ -11,9 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm.archives import read_packages, resolved, write_packages
+from vitrine.llm.byteconv import languages
 from vitrine.llm.cube import mix, word_count
 from vitrine.llm.frames import table
+from vitrine.llm.fuzzy_lines import dedupe_lines
 from vitrine.llm.golay import near_duplicates
+from vitrine.llm.personal import KINDS, count_of, personal_spans, written
 from vitrine.llm.quality import line_quality
 from vitrine.llm.repeats import repeat_digests
 from vitrine.llm.winnowing import contamination
@@ -41,6 +44,17 @@ def op2_cube_mixing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op3_weak_supervision(spark: SparkSession, folder: str) -> DataFrame:
+    spans = personal_spans(table(spark, folder, "documents"))
+    return spans.select(
+        F.col("id").alias("doc_id"),
+        *(count_of(i).alias(f"n_{kind}") for i, kind in enumerate(KINDS)),
+        F.sha2(written(F.filter("found", lambda f: f.base)), 256).alias("base_sha256"),
+        written(F.col("kept")).alias("spans"),
+    )
+
+
 @query
 def op4_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
     return line_quality(table(spark, folder, "documents")).select(
@@ -99,6 +113,18 @@ from w left join covered c on w.r = c.r left join named n on w.r = n.r where w.k
 """
 
 
+@query
+def op6_byte_convolution(spark: SparkSession, folder: str) -> DataFrame:
+    rest = F.crc32(F.col("id").cast("string")) % 3
+    found = languages(table(spark, folder, "documents"), rest != 1)
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.coalesce(rest == 1, F.lit(False)).alias("held_out"),
+        "lang_pred",
+        "score",
+    )
+
+
 @query
 def op7_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select(
@@ -108,6 +134,17 @@ def op7_golay_simhash(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_fuzzy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    kept = dedupe_lines(table(spark, folder, "documents"))
+    return kept.select(
+        "doc_id",
+        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("kept_bytes"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op9_prefix_doubling(spark: SparkSession, folder: str) -> DataFrame:
     return repeat_digests(table(spark, folder, "documents")).select(
