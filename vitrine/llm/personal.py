@@ -5,7 +5,7 @@ Looser forms (spelled-out addresses, local telephone numbers, other card and
 address formats) are candidates, and so are the strict ones: regular-expression,
 gazetteer and context labelers vote on each for, against or not at all.
 Expectation-maximisation over the vote patterns estimates how reliable each
-labeler is, and its posteriors train a logistic span classifier that decides on
+labeler is when it votes, and its posteriors train a logistic span classifier that decides on
 the looser candidates.
 
 A vote pattern has three values for each of six labelers, so the counts that
@@ -32,7 +32,8 @@ from vitrine.llm.texts import byte_class, per_row, text_slices
 from vitrine.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
-THRESHOLD = 0.9
+THRESHOLD = 0.85
+PRIOR = 2.0
 NEAR = 40
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -193,33 +194,36 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Reliability:
-    """Chance of each vote (against, none, for) of each labeler, given personal or not."""
+    """How often each labeler, when it votes, is right: (not personal, personal) x labelers."""
 
-    prior: float
-    table: np.ndarray  # (2 classes, labelers, 3)
+    right: np.ndarray
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        which = patterns + 1
-        at = np.arange(patterns.shape[1])
-        log = np.log(self.table[:, at, which]).sum(2) + np.log([[1 - self.prior], [self.prior]])
-        log -= log.max(0)
-        return np.exp(log[1]) / np.exp(log).sum(0)
+        """Chance of personal from even odds; a labeler without an opinion says nothing."""
+        wrong = 1 - self.right
+        for_it = np.log(self.right[1] / wrong[0])
+        against = np.log(wrong[1] / self.right[0])
+        log_odds = (patterns > 0) @ for_it + (patterns < 0) @ against
+        return 1 / (1 + np.exp(-log_odds))
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> Reliability:
-    """Dawid-Skene over vote patterns with counts; smoothed towards better than chance."""
-    n = patterns.shape[1]
-    pseudo = np.array([[2.0, 4.0, 0.5], [0.5, 4.0, 2.0]])[:, None, :].repeat(n, 1)
-    model = Reliability(0.5, pseudo / pseudo.sum(2, keepdims=True))
+    """Dawid-Skene over vote patterns with counts.
+
+    Many labelers only ever vote one way, so each is tied to a rightness of 3 in 4
+    by ``PRIOR`` times the votes it has cast; without that, one-sided votes would
+    explain themselves away.
+    """
+    model = Reliability(np.full((2, patterns.shape[1]), 0.75))
+    prior = PRIOR * ((patterns != 0) * counts[:, None]).sum(0) + 1
     for _ in range(rounds):
         good = model.posterior(patterns)
-        table = pseudo.copy()
-        for value in (-1, 0, 1):
-            hit = (patterns == value) * counts[:, None]
-            table[1, :, value + 1] += (hit * good[:, None]).sum(0)
-            table[0, :, value + 1] += (hit * (1 - good)[:, None]).sum(0)
-        prior = ((counts * good).sum() + 1) / (counts.sum() + 2)
-        model = Reliability(float(prior), table / table.sum(2, keepdims=True))
+        right = np.empty_like(model.right)
+        for label, share, vote in ((1, good, 1), (0, 1 - good, -1)):
+            weight = (counts * share)[:, None]
+            agreed = ((patterns == vote) * weight).sum(0)
+            right[label] = (agreed + 0.75 * prior) / (((patterns != 0) * weight).sum(0) + prior)
+        model = Reliability(right)
     return model
 
 
@@ -229,13 +233,13 @@ def features(kinds: np.ndarray, patterns: np.ndarray) -> np.ndarray:
     ).astype(float)
 
 
-def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 500) -> np.ndarray:
+def logistic(x: np.ndarray, target: np.ndarray, weight: np.ndarray, rounds: int = 4000) -> np.ndarray:
     """Weighted logistic regression on soft targets with a small ridge."""
     w = np.zeros(x.shape[1])
     share = weight / weight.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-x @ w))
-        w -= 2.0 * (x.T @ (share * (p - target)) + 1e-3 * w)
+        w -= 2.0 * (x.T @ (share * (p - target)) + 1e-4 * w)
     return w
 
 

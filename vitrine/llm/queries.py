@@ -16,6 +16,7 @@ from vitrine.llm.cube import mix, word_count
 from vitrine.llm.frames import table
 from vitrine.llm.fuzzy_lines import dedupe_lines
 from vitrine.llm.golay import near_duplicates
+from vitrine.llm.lm_scoring import language_scores
 from vitrine.llm.personal import KINDS, count_of, personal_spans, written
 from vitrine.llm.quality import line_quality
 from vitrine.llm.repeats import repeat_digests
@@ -31,6 +32,22 @@ def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessi
     return run
 
 
+@query
+def op1_recurrent_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    rest = F.crc32(F.col("id").cast("string")) % 7
+    trains = F.coalesce(rest != 2, F.lit(True))
+    scores = language_scores(table(spark, folder, "documents"), trains)
+    return scores.select(
+        F.col("id").alias("doc_id"),
+        (~trains).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 @query
 def op2_cube_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix(table(spark, folder, "documents"), word_count("text"))
