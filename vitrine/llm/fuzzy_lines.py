@@ -6,7 +6,7 @@ are no evidence of copying and are never touched. Equal normal forms are one
 row before any join. Fingerprints within ``distance`` bits agree in at least
 one of ``distance + 1`` blocks; a pair is looked at only in the first block in
 which it agrees. Of a line only its fingerprint travels until a partner within
-reach is known; then the text follows and the edit similarity is verified.
+reach is known; then the text follows and the edit similarity, over words, is verified.
 Buckets give spanning forests (see ``buckets``), groups follow from them.
 
 The kept line of a group is its first in (id, line number) order. Defined
@@ -60,22 +60,30 @@ class Lines:
         self.hashes = span_hashes(prefix_sums(self.word_hashes), self.low, self.high)
 
     def marks(self) -> np.ndarray:
-        """Majority bits of the word hashes of each line."""
+        """Majority bits of the hashes of each line's distinct words.
+
+        Repeats would let the commonest words of a language decide, and bring
+        unrelated long lines together.
+        """
         out = np.zeros(len(self.low), np.uint64)
         for a in range(0, len(self.low), CHUNK):
             low, high = self.low[a : a + CHUNK], self.high[a : a + CHUNK]
             own = np.concatenate([self.word_hashes[x:y] for x, y in zip(low.tolist(), high.tolist())])
+            line = np.repeat(np.arange(len(low)), high - low)
+            order = np.lexsort((own, line))
+            own, line = own[order], line[order]
+            new = np.ones(len(own), bool)
+            new[1:] = (own[1:] != own[:-1]) | (line[1:] != line[:-1])
+            own, size = own[new], np.bincount(line[new], minlength=len(low))
             bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            size = high - low
             counts = np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int32)
             majority = counts * 2 > size[:, None]
             out[a : a + CHUNK] = np.packbits(majority, axis=1, bitorder="little").view(np.uint64).ravel()
         return out
 
     def sizes(self) -> np.ndarray:
-        """Bytes of the normal form."""
-        upto = np.append(0, np.cumsum(self.words.ends - self.words.starts))
-        return upto[self.high] - upto[self.low] + self.high - self.low - 1
+        """Words of each line."""
+        return self.high - self.low
 
     def normal(self, whole: bytes, i: int) -> bytes:
         a, b = int(self.low[i]), int(self.high[i])
@@ -156,7 +164,8 @@ def partnered(distance: int, similarity: float) -> Callable[[Iterator[pa.RecordB
                 block = int(keys[low]) & 255
                 for a in range(low, high, CHUNK):
                     b = min(a + CHUNK, high)
-                    end = low + int(np.searchsorted(sizes[low:high], sizes[b - 1] / similarity, "right"))
+                    most = sizes[b - 1] / similarity + 1e-9
+                    end = low + int(np.searchsorted(sizes[low:high], most, "right"))
                     for c in range(a, end, 8 * CHUNK):
                         d = min(c + 8 * CHUNK, end)
                         near = within_reach(marks[a:b, None], marks[None, c:d], block, distance)
@@ -170,24 +179,12 @@ def partnered(distance: int, similarity: float) -> Callable[[Iterator[pa.RecordB
     return find
 
 
-def common(a: bytes, b: bytes) -> int:
-    """Length of the common prefix."""
-    low, high = 0, min(len(a), len(b))
-    while low < high:
-        middle = (low + high + 1) // 2
-        if a[low:middle] == b[low:middle]:
-            low = middle
-        else:
-            high = middle - 1
-    return low
-
-
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, one column of the table per step as bits of an integer."""
+def edit_distance(a: list[bytes], b: list[bytes]) -> int:
+    """Levenshtein distance of two word lists, one column of the table per step as bits of an integer."""
     if not a or not b:
         return len(a) + len(b)
     full = (1 << len(a)) - 1
-    where: dict[str, int] = {}
+    where: dict[bytes, int] = {}
     for i, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << i
     up, down, score, top = full, 0, len(a), 1 << (len(a) - 1)
@@ -203,18 +200,16 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
-def similar(a: bytes, b: bytes, similarity: float) -> bool:
-    """Edit similarity 1 - distance / longer length, in code points, of at least ``similarity``."""
-    x, y = a.decode("utf-8", "replace"), b.decode("utf-8", "replace")
-    longer = max(len(x), len(y))
-    allowed = (1 - similarity) * longer + 1e-9
-    if abs(len(x) - len(y)) > allowed:
+def similar(a: list[bytes], b: list[bytes], similarity: float) -> bool:
+    """Edit similarity, 1 - word edits / longer length, of at least ``similarity``."""
+    allowed = (1 - similarity) * max(len(a), len(b)) + 1e-9
+    if abs(len(a) - len(b)) > allowed:
         return False
-    head = common(x, y)
-    x, y = x[head:], y[head:]
-    tail = common(x[::-1], y[::-1])
-    x, y = x[: len(x) - tail], y[: len(y) - tail]
-    return max(len(x), len(y)) <= allowed or edit_distance(x, y) <= allowed
+    shorter = min(len(a), len(b))
+    head = next((i for i in range(shorter) if a[i] != b[i]), shorter)
+    tail = next((i for i in range(shorter - head) if a[-1 - i] != b[-1 - i]), shorter - head)
+    a, b = a[head : len(a) - tail], b[head : len(b) - tail]
+    return max(len(a), len(b)) <= allowed or edit_distance(a, b) <= allowed
 
 
 def verified(distance: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -229,7 +224,7 @@ def verified(distance: int, similarity: float) -> Callable[[Iterator[pa.RecordBa
             pairs = []
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 own = marks[low:high]
-                texts = run.column("normal").slice(low, high - low).to_pylist()
+                texts = [x.split(b" ") for x in run.column("normal").slice(low, high - low).to_pylist()]
                 block = int(keys[low]) & 255
 
                 def near(i: int, others: np.ndarray) -> np.ndarray:
