@@ -7,13 +7,15 @@ of neighbouring windows shares one position. Names stand for ranks: a name is a
 64-bit hash of the string, equal for equal strings.
 
 Round 1 sorts the sampled positions by the name of their gram; a position whose
-gram is unique takes its windows out. Round 2, in the same sort, looks at the
-pair (gram, all bytes of the stretch's windows): if that pair is repeated, all
-windows of the stretch are. Only stretches at the ends of matches stay. Round 3
-takes every byte position of those, and one stretch for each repeated pair they
-could meet, and sorts the pairs (name of the first half, name of the second
-half), the doubling step from half the length to the whole. A window is repeated
-if its pair is next to an equal one.
+gram is unique takes its windows out. In the same sort the pair (gram, all bytes
+of the stretch's windows) decides: if it is repeated, all windows of the stretch
+are. Only stretches at the ends of matches stay undecided. Round 2 does the same
+for aligned blocks of 16 windows of those, with the bytes that all windows of
+the block share in place of the gram. Round 3 takes every window of the blocks
+that are left and sorts the pairs (name of the first half, name of the second
+half), the doubling step from half the length to the whole: a window is repeated
+if its pair is next to an equal one. In rounds 2 and 3 one stretch or block of
+each repeated kind stands in for the others that undecided ones could meet.
 
 Sorted rows are compared with their neighbours only, so a string that a third
 of all documents share is streamed, never gathered.
@@ -34,17 +36,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.buckets import by_key
-from vitrine.llm.texts import prefix_sums, signed, span_hashes, text_slices
-from vitrine.session import settle
+from vitrine.llm.texts import mixed, prefix_sums, signed, span_hashes, text_slices
+from vitrine.session import row_count_up_to, settle
+
+Scan = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 LENGTH = 200
-GRAM = 50
 POSITION_BITS = np.uint64(30)
 
-STRETCH = "key long, gram long, whole long, start int, stop int"
+# Aligned windows of one block of round 2.
+BLOCK = 16
+# Documents known by key on every node; beyond that their texts meet the keys in a shuffle.
+BROADCAST_KEYS = 1 << 20
+LONGEST = 1 << 12
+
+NAMED = "key long, gram long, whole long, place long"
+CLASSED = "key long, gram long, place long"
 SPANS = "key long, starts array<int>, stops array<int>"
 
 
+def packed(start: np.ndarray, size: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    """Windows ``start`` to ``start + size`` sampled at ``anchor`` as one long; the low two bits are the state."""
+    return (start << 26) | (size << 14) | ((anchor - start) << 2)
+
+
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, size, anchor and state."""
+    start = place >> 26
+    return start, (place >> 14) & (LONGEST - 1), start + ((place >> 2) & (LONGEST - 1)), place & 3
+
+
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values, by block prefixes and suffixes."""
     n = len(values)
@@ -56,7 +77,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(since[: n - width + 1], upto[width - 1 : n])
 
 
-def stretches(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def stretches(length: int) -> Scan:
     """Stretches of windows that share their sampled position."""
     gram = max(1, length // 4)
     width = length - gram + 1
@@ -68,8 +89,8 @@ def stretches(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
             prefix = prefix_sums(data)
             at = np.arange(len(data) - gram + 1)
             names = span_hashes(prefix, at, at + gram)
-            packed = (names >> POSITION_BITS << POSITION_BITS) | at.astype(np.uint64)
-            chosen = sliding_least(packed, width)
+            marked = (names >> POSITION_BITS << POSITION_BITS) | at.astype(np.uint64)
+            chosen = sliding_least(marked, width)
             sample = (chosen & np.uint64((1 << 30) - 1)).astype(np.int64)
             # Windows that lie inside one row.
             room = np.maximum(np.diff(offsets) - length + 1, 0)
@@ -93,10 +114,9 @@ def stretches(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     rows.column(0).take(pa.array(row)),
                     pa.array(signed(names[own[first]])),
                     pa.array(signed(whole)),
-                    pa.array((start - offsets[row]).astype(np.int32)),
-                    pa.array((stop - offsets[row]).astype(np.int32)),
+                    pa.array(packed(start - offsets[row], stop - start, own[first] - offsets[row])),
                 ],
-                ["key", "gram", "whole", "start", "stop"],
+                ["key", "gram", "whole", "place"],
             )
 
     return scan
@@ -137,42 +157,83 @@ def agreement(rows: pa.Table, keys: tuple[str, ...]) -> tuple[list[np.ndarray],
 
 
 def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stretches whose gram is repeated: ``state`` 0 undecided, 1 the first of those
+    """Rows whose gram is repeated, with a state: 0 undecided, 1 the first of those
     with the same bytes, 2 the others of them."""
     for rows, (gram_before, whole_before), (gram_after, whole_after) in beside(batches, "gram", "whole"):
-        repeated = whole_before | whole_after
-        state = np.where(repeated, np.where(whole_before, 2, 1), 0).astype(np.int32)
-        kept = pa.array(gram_before | gram_after)
-        out = rows.append_column("state", pa.array(state)).filter(kept)
-        yield from out.select(["key", "gram", "start", "stop", "state"]).to_batches()
+        kept = gram_before | gram_after
+        state = np.where(whole_before, 2, np.where(whole_after, 1, 0))[kept]
+        rows = rows.filter(pa.array(kept))
+        place = rows.column("place").to_numpy() | state
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("key").combine_chunks(), rows.column("gram").combine_chunks(), pa.array(place)],
+            ["key", "gram", "place"],
+        )
+
+
+def places_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row number and place of every entry of the rows' ``places``."""
+    places = rows.column("places")
+    counts = np.diff(places.offsets.to_numpy())
+    return np.repeat(np.arange(len(counts)), counts), places.flatten().to_numpy()
+
 
+def counted(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry its numbers ``first`` to ``first + size``: entry and number."""
+    entry = np.repeat(np.arange(len(size)), size)
+    return entry, first[entry] + np.arange(len(entry)) - np.repeat(np.cumsum(size) - size, size)
 
-def window_pairs(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Names of both halves of every window of the rows' stretches."""
+
+def aligned_blocks(length: int) -> Scan:
+    """Blocks of 16 windows, aligned to the sampled position, of the undecided and shown stretches."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_slices(batches, "text"):
+            row, place = places_of(rows)
+            start, size, anchor, _state = unpacked(place)
+            nearest, farthest = anchor - (start + size - 1), anchor - start
+            entry, block = counted(nearest // BLOCK, farthest // BLOCK - nearest // BLOCK + 1)
+            row, start, stop, anchor = row[entry], start[entry], (start + size)[entry], anchor[entry]
+            low, high = anchor - block * BLOCK - BLOCK + 1, anchor - block * BLOCK + 1
+            own_start, own_stop = np.maximum(low, start), np.minimum(high, stop)
+            prefix = prefix_sums(data)
+            base = offsets[:-1][row]
+            core = span_hashes(prefix, base + high - 1, base + low + length)
+            # A block cut off by its stretch has no partner as a whole.
+            full = (low >= start) & (high <= stop)
+            whole = mixed(mixed(rows.column("key").to_numpy()[row].view(np.uint64)) ^ own_start.astype(np.uint64))
+            whole[full] = span_hashes(prefix, (base + low)[full], (base + high - 1 + length)[full])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    rows.column("key").take(pa.array(row)),
+                    pa.array(signed(core)),
+                    pa.array(signed(whole)),
+                    pa.array(packed(own_start, own_stop - own_start, anchor)),
+                ],
+                ["key", "gram", "whole", "place"],
+            )
+
+    return scan
+
+
+def window_pairs(length: int) -> Scan:
+    """Names of both halves of every window of the undecided and shown blocks."""
     half = length // 2
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_slices(batches, "text", 1 << 19):
             prefix = prefix_sums(data)
-            parts = rows.column("parts")
-            counts = np.diff(parts.offsets.to_numpy())
-            flat = parts.flatten()
-            start, stop = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "stop"))
-            shown = flat.field("state").to_numpy()
-            row = np.repeat(np.arange(len(counts)), counts)
-            size = stop - start
-            at = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            owner = np.repeat(row, size)
-            begin = at + offsets[:-1][owner]
+            row, place = places_of(rows)
+            start, size, _anchor, state = unpacked(place)
+            entry, at = counted(start, size)
+            begin = at + offsets[:-1][row[entry]]
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("key").take(pa.array(owner)),
-                    pa.array(at.astype(np.int32)),
-                    pa.array(np.repeat(shown, size).astype(np.int32)),
+                    rows.column("key").take(pa.array(row[entry])),
+                    pa.array(at << 2 | state[entry]),
                     pa.array(signed(span_hashes(prefix, begin, begin + half))),
                     pa.array(signed(span_hashes(prefix, begin + half, begin + length))),
                 ],
-                ["key", "at", "state", "left", "right"],
+                ["key", "place", "left", "right"],
             )
 
     return scan
@@ -181,9 +242,11 @@ def window_pairs(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Undecided windows whose pair of names stands next to an equal one."""
     for rows, before, after in beside(batches, "left", "right"):
-        undecided = rows.column("state").to_numpy() == 0
-        kept = (before[1] | after[1]) & undecided
-        yield from rows.filter(pa.array(kept)).select(["key", "at"]).to_batches()
+        place = rows.column("place").to_numpy()
+        kept = (before[1] | after[1]) & (place & 3 == 0)
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("key").filter(pa.array(kept)).combine_chunks(), pa.array(place[kept] >> 2)], ["key", "at"]
+        )
 
 
 def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,26 +296,56 @@ def cut_text(text: bytes, starts: list[int], stops: list[int]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(key, starts, stops): merged byte spans of repeated strings of (key, text) rows."""
-    sampled = keyed.mapInArrow(stretches(length), STRETCH)
-    found = settle(
-        by_key(sampled, "gram", "whole").mapInArrow(
-            classified, "key long, gram long, start int, stop int, state int"
-        )
-    )
-    # Undecided stretches need their bytes again, and so do repeated ones that share a gram with them.
-    undecided = found.filter("state = 0")
-    shown = found.filter("state = 1").join(undecided.select("gram").distinct(), "gram", "left_semi")
-    open_parts = undecided.unionByName(shown).groupBy("key").agg(
-        F.collect_set(F.struct("start", "stop", "state")).alias("parts")
+def among(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``keyed`` rows whose key is in the distinct ``keys``, and the others.
+
+    Up to a counted number of keys they are sent to the rows, which then need no
+    shuffle; more of them meet the rows in one.
+    """
+    if row_count_up_to(keys, BROADCAST_KEYS) <= BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    return keyed.join(keys, "key", "left_semi"), keyed.join(keys, "key", "left_anti")
+
+
+def named_again(keyed: DataFrame, found: DataFrame, scan: Scan, schema: str) -> DataFrame:
+    """``scan`` over the texts of what is undecided in ``found`` and what is shown to it."""
+    undecided = found.filter("place & 3 = 0")
+    grams = undecided.select("gram").distinct()
+    shown = found.filter("place & 3 = 1").join(grams, "gram", "left_semi")
+    places = settle(
+        undecided.select("key", "place")
+        .unionByName(shown.select("key", "place"))
+        .groupBy("key")
+        .agg(F.collect_set("place").alias("places"))
     )
-    windows = keyed.join(open_parts, "key").mapInArrow(
-        window_pairs(length), "key long, at int, state int, left long, right long"
+    texts, _rest = among(keyed, places.select("key"))
+    return texts.join(places, "key").mapInArrow(scan, schema)
+
+
+def decided_spans(found: DataFrame, length: int) -> DataFrame:
+    """(key, start, stop) of the bytes of the windows known to be repeated."""
+    start = F.shiftright("place", 26)
+    size = F.shiftright("place", 14).bitwiseAND(F.lit(LONGEST - 1))
+    return found.filter("place & 3 > 0").select(
+        "key", start.cast("int").alias("start"), (start + size - 1 + length).cast("int").alias("stop")
     )
-    single = by_key(windows, "left", "right").mapInArrow(repeated_windows, "key long, at int")
-    spans = found.filter("state > 0").select("key", "start", (F.col("stop") - 1 + length).alias("stop")).unionByName(
-        single.select("key", F.col("at").alias("start"), (F.col("at") + length).alias("stop"))
+
+
+def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(key, starts, stops): merged byte spans of repeated strings of (key, text) rows."""
+    if not BLOCK < length < LONGEST:
+        raise ValueError(f"length must lie between {BLOCK} and {LONGEST}, not {length}")
+    sampled = keyed.mapInArrow(stretches(length), NAMED)
+    first = settle(by_key(sampled, "gram", "whole").mapInArrow(classified, CLASSED))
+    blocks = named_again(keyed, first, aligned_blocks(length), NAMED)
+    second = settle(by_key(blocks, "gram", "whole").mapInArrow(classified, CLASSED))
+    windows = named_again(keyed, second, window_pairs(length), "key long, place long, left long, right long")
+    single = by_key(windows, "left", "right").mapInArrow(repeated_windows, "key long, at long")
+    at = F.col("at").cast("int")
+    spans = (
+        decided_spans(first, length)
+        .unionByName(decided_spans(second, length))
+        .unionByName(single.select("key", at.alias("start"), (at + length).alias("stop")))
     )
     return by_key(spans, "key", "start").mapInArrow(merged, SPANS)
 
@@ -279,7 +372,13 @@ def with_spans(docs: DataFrame, id_column: str, text: str, length: int) -> DataF
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     plain = plain.withColumn("key", F.xxhash64("id", "text", F.octet_length("text")))
     spans = settle(repeated_spans(plain.select("key", "text"), length))
-    return plain.join(spans, "key", "left").select("id", "text", "starts", "stops")
+    cut, whole = among(plain, spans.select("key"))
+    none = F.lit(None).cast("array<int>")
+    return (
+        cut.join(spans, "key")
+        .select("id", "text", "starts", "stops")
+        .unionByName(whole.select("id", "text", none.alias("starts"), none.alias("stops")))
+    )
 
 
 def repeat_digests(
