@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.frames import ROW, numbered
 from vitrine.llm.recurrent import Model, Trainer, fresh, score
-from vitrine.llm.texts import LOWER, lists, text_slices
+from vitrine.llm.texts import LOWER, lists, signed, text_slices
 from vitrine.session import settle
 
 VOCABULARY = 4096
@@ -55,6 +56,22 @@ def split_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[list[bytes]]:
         yield whole[a:b].split()
 
 
+def numbered_words(
+    data: np.ndarray, offsets: np.ndarray, numbers: dict[bytes, int], missing: int, end: int
+) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Numbers of all words of a slice, ``end`` after each row's; first of each row; the words."""
+    words: list[bytes] = []
+    first = [0]
+    for own in split_rows(data, offsets):
+        words += own
+        words.append(END)
+        first.append(len(words))
+    ids = np.fromiter(map(numbers.get, words, repeat(missing)), np.int64, len(words))
+    first = np.array(first)
+    ids[first[1:] - 1] = end
+    return ids, first, words
+
+
 def partial_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of the words met, given out whenever many have gathered."""
     counts: Counter[bytes] = Counter()
@@ -123,16 +140,10 @@ def trained_copy(flat: bytes, shape: Model, corpus: Corpus) -> Callable[[Iterato
         part = pyspark.TaskContext.get().partitionId()
         trainer = Trainer(shape.with_packed(np.frombuffer(flat, np.float32).copy()), part)
         for _rows, data, offsets in text_slices(batches, "text"):
-            tokens: list[int] = []
-            first = []
-            for words in split_rows(data, offsets):
-                first.append(len(tokens))
-                tokens += [numbers.get(w, unknown) for w in words]
-                tokens.append(end)
-            ids = np.minimum(np.array(tokens, np.int64), unknown)
+            ids, first, _words = numbered_words(data, offsets, numbers, unknown, end)
             marks = np.zeros(len(ids), bool)
-            marks[first] = True
-            trainer.train(ids, marks, end)
+            marks[first[:-1]] = True
+            trainer.train(np.minimum(ids, unknown), marks, end)
         if trainer.tokens:
             blocks = np.array_split(trainer.model.packed() * np.float32(trainer.tokens), BLOCKS)
             yield pa.RecordBatch.from_arrays(
@@ -203,41 +214,40 @@ def scorer(model: Model, corpus: Corpus) -> Callable[[Iterator[pa.RecordBatch]],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, unknown = corpus.numbers(), corpus.vocabulary
         end = numbers.get(END, unknown)
-        logs = np.log10(corpus.counts + 1.0)
+        logs = np.append(np.log10(corpus.counts + 1.0), 0.0)
         for rows, data, offsets in text_slices(batches, "text", SCORE_BYTES):
-            documents, out = [], []
-            rare_words: list[int] = []
-            rare_counts: list[int] = []
-            n_rare = []
-            for words in split_rows(data, offsets):
-                found = [numbers.get(w, -1) for w in words]
-                own = Counter(w for w, i in zip(words, found) if i < 0)
-                ids = np.array([*found, end if len(logs) else -1], np.int64)
-                known = ids[ids >= 0]
-                others = known[known >= unknown]
-                rare_words += [xxhash.xxh64_intdigest(w, SEED) for w in own]
-                rare_counts += own.values()
-                n_rare.append(len(own))
-                out.append(
-                    (len(ids), len(known), logs[known].sum(), len(ids) - len(known) + len(others), logs[others].sum())
-                )
-                documents.append(np.where((ids < 0) | (ids > unknown), unknown, ids).astype(np.int32))
-            total = score(model, documents, end)
+            ids, first, words = numbered_words(data, offsets, numbers, -1, end if len(numbers) else -1)
+            own = np.where((ids < 0) | (ids > unknown), unknown, ids).astype(np.int32)
+            total = score(model, np.split(own, first[1:-1]), end)
+            # The last log, 0, stands for the words that are not in the head.
+            log = logs[ids]
+            other = (ids < 0) | (ids >= unknown)
+            missing = ids < 0
+            missing[first[1:] - 1] = False
+            rare_at = np.flatnonzero(missing)
+            digest = xxhash.xxh64_intdigest
+            marks = np.array([digest(words[i], SEED) for i in rare_at.tolist()], np.uint64)
+            row = np.searchsorted(first, rare_at, "right") - 1
+            order = np.lexsort((marks, row))
+            marks, row = marks[order], row[order]
+            new = np.ones(len(marks), bool)
+            new[1:] = (marks[1:] != marks[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(new)
+            times = np.diff(np.append(at, len(marks)))
             rare = pa.StructArray.from_arrays(
-                [pa.array(np.array(rare_words, np.uint64).view(np.int64)), pa.array(rare_counts, pa.int32())],
-                ["word", "n"],
+                [pa.array(signed(marks[at])), pa.array(times.astype(np.int32))], ["word", "n"]
             )
-            n_tokens, n_known, head, n_others, other = (list(x) for x in zip(*out))
+            sums = lambda values: np.add.reduceat(values, first[:-1])
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("id"),
-                    pa.array(n_tokens, pa.int64()),
-                    pa.array(n_known, pa.int64()),
-                    pa.array(head, pa.float64()),
+                    pa.array(np.diff(first)),
+                    pa.array(sums((ids >= 0).astype(np.int64))),
+                    pa.array(sums(log)),
                     pa.array(total),
-                    pa.array(n_others, pa.int64()),
-                    pa.array(other, pa.float64()),
-                    lists(rare, np.array(n_rare)),
+                    pa.array(sums(other.astype(np.int64))),
+                    pa.array(sums(np.where(other, log, 0.0))),
+                    lists(rare, np.bincount(row[at], minlength=len(first) - 1)),
                 ],
                 ["id", "n_tokens", "n_known", "head_logs", "model_log", "n_others", "other_logs", "rare"],
             )

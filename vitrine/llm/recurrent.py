@@ -63,9 +63,11 @@ def fresh(counts: np.ndarray, others: int, span: int, seed: int = 1) -> Model:
     padded[:n] = counts
     padded = padded.reshape(n_classes, span)
     words = (rng.randn(n_classes, HIDDEN + 1, span) * 0.05).astype(np.float32)
-    words[:, HIDDEN] = np.where(padded > 0, np.log(np.maximum(padded, 1)), -1e9)
+    most = padded.max(1, keepdims=True, initial=1)
+    words[:, HIDDEN] = np.where(padded > 0, np.log(np.maximum(padded, 1) / most), -1e9)
     classes = (rng.randn(HIDDEN + 1, n_classes + 1) * 0.05).astype(np.float32)
-    classes[HIDDEN] = np.log(np.append(padded.sum(1), others) + 1.0)
+    share = np.append(padded.sum(1), others) + 1.0
+    classes[HIDDEN] = np.log(share / share.max())
     inputs = (rng.randn(n + 1, 3 * HIDDEN) * 0.3).astype(np.float32)
     inputs[:, :HIDDEN] += 1.0
     recurrent = (rng.randn(HIDDEN, 3 * HIDDEN) * 0.25).astype(np.float32)
@@ -80,10 +82,31 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(1, keepdims=True)
-    logits -= np.log(np.exp(logits).sum(1, keepdims=True))
-    return logits
+def exponentials(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Exponentials of each row, their sums, and the shift taken off before.
+
+    Rows are shifted by their maximum only if some row would overflow or vanish.
+    """
+    with np.errstate(over="ignore"):
+        e = np.exp(logits)
+        total = e @ np.ones(e.shape[1], np.float32)
+    if np.isfinite(total).all() and total.all():
+        return e, total, np.zeros(1, np.float32)
+    shift = logits.max(1)
+    e = np.exp(logits - shift[:, None])
+    return e, e.sum(1), shift
+
+
+def picked_logs(logits: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Log-softmax of one column of each row."""
+    _e, total, shift = exponentials(logits)
+    return logits[np.arange(len(columns)), columns] - shift - np.log(total)
+
+
+def softmax(logits: np.ndarray) -> np.ndarray:
+    e, total, _shift = exponentials(logits)
+    e /= total[:, None]
+    return e
 
 
 def with_one(states: np.ndarray) -> np.ndarray:
@@ -94,7 +117,8 @@ def class_runs(targets: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarra
     """Class of each target, an order by class, and (class, from, to) runs of words in that order."""
     classes = targets // model.span
     classes[targets >= model.n_words] = len(model.words)
-    order = np.argsort(classes, kind="stable")
+    # Small numbers sort in linear time.
+    order = np.argsort(classes.astype(np.int16), kind="stable")
     bounds = np.searchsorted(classes[order], np.arange(len(model.words) + 1)).tolist()
     return classes, order, [(c, a, b) for c, (a, b) in enumerate(zip(bounds, bounds[1:])) if b > a]
 
@@ -103,11 +127,10 @@ def log_probabilities(model: Model, states: np.ndarray, targets: np.ndarray) ->
     """Natural log-probability of each target; words outside the vocabulary get their class's."""
     classes, order, found = class_runs(targets, model)
     states = with_one(states)
-    out = log_softmax(states @ model.classes)[np.arange(len(targets)), classes]
+    out = picked_logs(states @ model.classes, classes)
     for c, a, b in found:
         at = order[a:b]
-        own = log_softmax(states[at] @ model.words[c])
-        out[at] += own[np.arange(b - a), targets[at] - c * model.span]
+        out[at] += picked_logs(states[at] @ model.words[c], targets[at] - c * model.span)
     return out
 
 
@@ -211,13 +234,13 @@ class Trainer:
         model, n = self.model, len(targets)
         classes, order, found = class_runs(targets, model)
         full = with_one(states)
-        error = np.exp(log_softmax(full @ model.classes))
+        error = softmax(full @ model.classes)
         error[np.arange(n), classes] -= 1
         back = error @ model.classes[:HIDDEN].T
         for c, a, b in found:
             at = order[a:b]
             own = full[at]
-            e = np.exp(log_softmax(own @ model.words[c]))
+            e = softmax(own @ model.words[c])
             e[np.arange(b - a), targets[at] - c * model.span] -= 1
             back[at] += e @ model.words[c][:HIDDEN].T
             self.step(3, own.T @ e / n, c)
