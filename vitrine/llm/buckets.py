@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 BLOCK = 1 << 16
 
@@ -82,7 +82,8 @@ def forest(n: int, near: Callable[[int, np.ndarray], np.ndarray]) -> list[tuple[
                 break
 
 
-def by_key(df: DataFrame, key: str, *more: str) -> DataFrame:
+def by_key(df: DataFrame, key: str | Column, *order: str) -> DataFrame:
     """Rows of a key together and sorted, in as many partitions as the session shuffles into."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, key).sortWithinPartitions(key, *more)
+    first = (key,) if isinstance(key, str) else ()
+    return df.repartition(n, key).sortWithinPartitions(*first, *order)

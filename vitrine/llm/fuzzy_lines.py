@@ -35,6 +35,8 @@ SIMILARITY = 0.8
 BITMAP_BITS = 24
 LINE_BYTES = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 CHUNK = 512
+# Side of the blocks of comparisons, small enough for the processor's cache.
+TILE = 256
 
 PLACE = "id long, key long, line int, hash long, mark long, size int"
 
@@ -128,14 +130,21 @@ def dealt(distance: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             marks = batch.column("mark").to_numpy().view(np.uint64)
             for block in range(distance + 1):
                 keys = block_of(marks, block, distance).astype(np.int64) << 8 | block
+                # One long that sorts by block, then by size.
+                place = keys << 31 | batch.column("size").to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), batch.column("size"), batch.column("mark"), batch.column("hash")],
-                    ["block", "size", "mark", "hash"],
+                    [pa.array(place), batch.column("mark"), batch.column("hash")], ["place", "mark", "hash"]
                 )
 
     return deal
 
 
+def with_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        block = batch.column("place").to_numpy() >> 31
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(block)], [*batch.schema.names, "block"])
+
+
 def within_reach(own: np.ndarray, other: np.ndarray, block: int, distance: int) -> np.ndarray:
     """Pairs of at most ``distance`` bits that no earlier block brings together."""
     apart = own ^ other
@@ -154,25 +163,26 @@ def partnered(distance: int, similarity: float) -> Callable[[Iterator[pa.RecordB
     can be similar are compared."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in key_runs(batches, "block"):
+        for run in key_runs(with_blocks(batches), "block"):
             keys = run.column("block").to_numpy()
-            sizes = run.column("size").to_numpy()
+            sizes = run.column("place").to_numpy() & ((1 << 31) - 1)
             marks = run.column("mark").to_numpy().view(np.uint64)
             found = np.zeros(len(keys), bool)
             bounds = run_bounds(keys)
             for low, high in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 block = int(keys[low]) & 255
-                for a in range(low, high, CHUNK):
-                    b = min(a + CHUNK, high)
+                for a in range(low, high, TILE):
+                    b = min(a + TILE, high)
                     most = sizes[b - 1] / similarity + 1e-9
                     end = low + int(np.searchsorted(sizes[low:high], most, "right"))
-                    for c in range(a, end, 8 * CHUNK):
-                        d = min(c + 8 * CHUNK, end)
+                    for c in range(a, end, 2 * TILE):
+                        d = min(c + 2 * TILE, end)
                         near = within_reach(marks[a:b, None], marks[None, c:d], block, distance)
                         if c < b:
                             near &= np.arange(a, b)[:, None] < np.arange(c, d)
-                        found[a:b] |= near.any(1)
-                        found[c:d] |= near.any(0)
+                        if near.any():
+                            found[a:b] |= near.any(1)
+                            found[c:d] |= near.any(0)
             rows = run.filter(pa.array(found)).select(["block", "mark", "hash"])
             yield from rows.to_batches()
 
@@ -283,9 +293,9 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
 def line_groups(keyed: DataFrame, lines: DataFrame, min_words: int, distance: int, similarity: float) -> DataFrame:
     """(hash, group) of the lines that are similar to another line."""
     distinct = lines.groupBy("hash").agg(F.min("mark").alias("mark"), F.min("size").alias("size"))
-    blocks = distinct.mapInArrow(dealt(distance), "block long, size int, mark long, hash long")
+    blocks = distinct.mapInArrow(dealt(distance), "place long, mark long, hash long")
     near = settle(
-        by_key(blocks, "block", "size").mapInArrow(
+        by_key(blocks, F.shiftright("place", 31), "place").mapInArrow(
             partnered(distance, similarity), "block long, mark long, hash long"
         )
     )
