@@ -290,10 +290,11 @@ def bitmap_of(hashes: DataFrame) -> np.ndarray:
     return out.view(np.uint64)
 
 
-def line_groups(keyed: DataFrame, lines: DataFrame, min_words: int, distance: int, similarity: float) -> DataFrame:
-    """(hash, group) of the lines that are similar to another line."""
-    distinct = lines.groupBy("hash").agg(F.min("mark").alias("mark"), F.min("size").alias("size"))
-    blocks = distinct.mapInArrow(dealt(distance), "place long, mark long, hash long")
+def line_groups(keyed: DataFrame, distinct: DataFrame, min_words: int, distance: int, similarity: float) -> DataFrame:
+    """(hash, group) of the distinct lines that are similar to another."""
+    blocks = distinct.select("hash", "mark", "size").mapInArrow(
+        dealt(distance), "place long, mark long, hash long"
+    )
     near = settle(
         by_key(blocks, F.shiftright("place", 31), "place").mapInArrow(
             partnered(distance, similarity), "block long, mark long, hash long"
@@ -331,13 +332,21 @@ def repeated_lines(
         F.col(text).cast("string").alias("text"),
     )
     lines = settle(keyed.mapInArrow(places(min_words), PLACE))
-    groups = settle(line_groups(keyed, lines, min_words, distance, similarity))
-    # The first place of each distinct line, then of each group; both combine before the shuffle.
-    firsts = lines.groupBy("hash").agg(F.min(F.struct("id", "key", "line")).alias("first"), F.count("*").alias("n"))
-    grouped = firsts.join(groups, "hash", "left").withColumn("name", F.coalesce("group", "hash"))
-    whole = grouped.groupBy("name").agg(F.min("first").alias("kept"), F.sum("n").alias("places")).filter("places > 1")
-    kept = grouped.join(whole, "name").select("hash", "kept")
-    extra = lines.join(kept, "hash").filter(
+    distinct = settle(
+        lines.groupBy("hash").agg(F.min("mark").alias("mark"), F.min("size").alias("size"), F.count("*").alias("n"))
+    )
+    groups = settle(line_groups(keyed, distinct, min_words, distance, similarity))
+    # Only lines that are repeated or grouped go on.
+    named = (
+        distinct.filter("n > 1")
+        .select("hash")
+        .join(groups, "hash", "full")
+        .select("hash", F.coalesce("group", "hash").alias("name"))
+    )
+    found = settle(lines.join(named, "hash").select("name", "id", "key", "line"))
+    # The first place of each group; combined before the shuffle.
+    kept = found.groupBy("name").agg(F.min(F.struct("id", "key", "line")).alias("kept"))
+    extra = found.join(kept, "name").filter(
         ~F.struct("id", "key", "line").eqNullSafe(F.struct("kept.id", "kept.key", "kept.line"))
     )
     return extra.groupBy("key").agg(F.collect_set("line").alias("gone"))
