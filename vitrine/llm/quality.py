@@ -47,6 +47,7 @@ MAX_REPEATED_PERCENT = 30
 MIN_DOCUMENTS = 10
 HOST_PERMILLE = 1
 MIN_LEFT_PERCENT = 20
+MIN_LOST_PERCENT = 50
 
 SCHEMA = (
     "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
@@ -194,13 +195,14 @@ def line_quality(
     host_permille: int = HOST_PERMILLE,
     min_left_percent: int = MIN_LEFT_PERCENT,
     min_left_words: int = MIN_WORDS,
+    min_lost_percent: int = MIN_LOST_PERCENT,
 ) -> DataFrame:
     """Counts, removed boilerplate and verdict of every document.
 
     Returns id, host, the five counts, n_boilerplate_lines and
     n_boilerplate_words (what removal takes), base_failed and kept. A document
-    is depleted, and not kept, when removal leaves fewer than ``min_left_words``
-    words or less than ``min_left_percent`` of them.
+    is depleted, and not kept, when removal takes at least ``min_lost_percent`` of
+    its words and leaves fewer than ``min_left_words`` or than ``min_left_percent``.
     """
     all_docs = measured(docs, id_column, text, host)
     lines = all_docs.select(ROW, "host", F.explode("lines").alias("l")).select(
@@ -219,7 +221,7 @@ def line_quality(
     )
     lost = F.coalesce("n_boilerplate_words", F.lit(0))
     left = F.col("n_words") - lost
-    depleted = (lost > 0) & (
+    depleted = (lost > 0) & (lost * 100 >= F.col("n_words") * min_lost_percent) & (
         (left < min_left_words) | (left * 100 < F.col("n_words") * min_left_percent)
     )
     return (
