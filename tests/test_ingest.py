@@ -163,13 +163,13 @@ def test_cards_defaults(spark):
 # --- Sources ---
 
 
-def test_source_names():
-    assert catalog.config_name("Cell Phones") == "raw_meta_Cell_Phones"
-    assert catalog.config_name("raw_meta_Books") == "raw_meta_Books"
-    assert catalog.file_name("Electronics", "feature/test") == "meta_Electronics.feature_test.jsonl"
-    assert catalog.metadata_url("https://host/", "/own er/repo/", "Cell Phones", "a/b") == (
-        "https://host/datasets/own%20er/repo/resolve/a%2Fb/raw/meta_categories/meta_Cell_Phones.jsonl"
+def test_source_names(spark):
+    names = spark.createDataFrame(
+        [(0, "Cell Phones"), (1, "raw_meta_Books"), (2, " Electronics ")], "pos int, category string"
     )
+    files = catalog.category_files(names, "feature/test").orderBy("pos").collect()
+    assert [r["domain"] for r in files] == ["Cell_Phones", "Books", "Electronics"]
+    assert files[2]["file"] == "meta_Electronics.feature_test.jsonl"
 
 
 def test_read_categories(spark, tmp_path):

@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators import blobs, embedding, facets, pipeline_status as ps
+from vitrine.operators import blobs, embedding, facets, pipeline_status as ps, tables
 from vitrine.operators.ordinals import with_ordinals, with_running_total
 from vitrine.plans.backfill_job import backfill
 from vitrine.session import ensure_checkpoint_dir
@@ -226,3 +226,11 @@ def test_derive_upserts_what_a_function_returns(spark, rows):
 
 def test_checkpoint_folder_is_the_named_one(spark):
     assert ensure_checkpoint_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
+def test_one_row_per_key(spark):
+    """Repeated keys in rows and patches: the last one holds."""
+    target = spark.createDataFrame([("a", 1), ("b", 1)], "id string, n int")
+    rows = spark.createDataFrame([("a", 2), ("a", 3), ("c", 4)], "id string, n int").coalesce(1)
+    assert sorted(map(tuple, tables.upsert(target, rows).collect())) == [("a", 3), ("b", 1), ("c", 4)]
+    assert sorted(map(tuple, tables.patch_columns(target, rows).collect())) == [("a", 3), ("b", 1)]

@@ -326,3 +326,25 @@ def test_rotating_slice_wraps(spark):
     assert got == [f"D{(h + i) % 7}" for i in range(5)]
     assert drops.rotating_slice(docs, "x", 50).count() == 7
     assert math.isclose(drops.rotating_slice(docs.limit(0), "x", 5).count(), 0)
+
+
+def test_zero_vectors_have_no_neighbours(spark):
+    """Both ways of answering leave a vector without a direction out."""
+    from vitrine.operators.neighbours import all_neighbours
+    from vitrine.operators.vector_search import nearest_to_id
+
+    rows = [(f"v{i:02d}", [float(i % 5 - 2), float(i % 7 - 3), 1.0]) for i in range(40)] + [("z", [0.0, 0.0, 0.0])]
+    docs = spark.createDataFrame(rows, "id string, vector array<double>")
+    every = all_neighbours(docs, 4, cells=5).select("request_id", "id", "dist").collect()
+    asked = docs.select(F.col("id").alias("request_id"), F.col("id").alias("seed_id")).filter("seed_id <> 'z'")
+    one = nearest_to_id(docs, asked, 4).filter("id is not null").select("request_id", "id", "dist").collect()
+    assert sorted(map(tuple, every)) == sorted(map(tuple, one))
+    assert "z" not in {r["id"] for r in every} | {r["request_id"] for r in every}
+
+
+def test_count_row_over_an_empty_table(spark):
+    from vitrine.operators.vector_search import search_with_count
+
+    docs = spark.createDataFrame([], "id string, vector array<double>")
+    requests = spark.createDataFrame([("r", [1.0, 0.0])], "request_id string, vector array<double>")
+    assert [tuple(r) for r in search_with_count(docs, requests, 3).collect()] == [("r", 0, None, None, 0)]

@@ -85,7 +85,8 @@ def embed_texts(
             vectors = _unit(np.asarray(run(texts.fillna("").tolist()), dtype=np.float64))
             yield pd.Series(list(vectors.astype(np.float32)))
 
-    return df.withColumn(output, encode(F.col(text)))
+    # Marked so that a filter on the vector does not plan the encoder a second time.
+    return df.withColumn(output, encode.asNondeterministic()(F.col(text)))
 
 
 def triage(claims: DataFrame, chunks: DataFrame, read_errors: DataFrame | None = None) -> DataFrame:

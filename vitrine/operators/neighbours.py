@@ -27,9 +27,6 @@ from vitrine.operators.topk import top_k_per_key
 from vitrine.operators.vector_search import matrix
 from vitrine.session import settle
 
-# Rows the centroids are fitted on. Centroids only steer the search: results do
-# not depend on them.
-FIT_ROWS = 200_000
 MAX_CELLS = 4096
 # Slack on angle bounds, above the error of arccos near 0.
 ANGLE_SLACK = 2e-4
@@ -45,8 +42,7 @@ def fit_centroids(docs: DataFrame, cells: int | None = None, seed: int = 7) -> n
     if cells == 1 or total <= 1:
         size = docs.select(F.size("vector").alias("n")).first()
         return np.eye(1, size["n"] if size else 1)
-    sample = docs if total <= FIT_ROWS else docs.sample(FIT_ROWS / total, seed=seed)
-    unit = sample.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
+    unit = docs.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
     fit = KMeans(k=cells, seed=seed, maxIter=5, initMode="random", distanceMeasure="cosine")
     model = fit.fit(unit)
     centres = np.asarray(model.clusterCenters(), dtype=np.float64)
@@ -202,9 +198,12 @@ def all_neighbours(
 ) -> DataFrame:
     """``(request_id, id, dist, rank)``: the ``k`` nearest others of every document.
 
-    With ``seeds`` (a table with ``id``) only for those documents.
+    With ``seeds`` (a table with ``id``) only for those documents. Centroids are
+    fitted on all rows.
     """
-    stored = docs.filter(F.col("vector").isNotNull()).select("id", "vector")
+    # A vector without a direction is no neighbour and has none, as in nearest_to_id.
+    directed = F.exists("vector", lambda x: x != 0)
+    stored = docs.filter(F.col("vector").isNotNull() & directed).select("id", "vector")
     centroids = fit_centroids(stored, cells)
     placed = settle(assign_cells(stored, centroids))
     order = [F.col("dist"), F.col("id")]

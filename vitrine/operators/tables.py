@@ -11,6 +11,14 @@ from vitrine.operators.topk import top_k_per_key
 from vitrine.session import row_count_up_to
 
 
+def one_per_key(rows: DataFrame, key: str = "id", version: list[Column] | None = None) -> DataFrame:
+    """One row of each key: the first by ``version``, else the last in the frame's own order."""
+    if version is None:
+        placed = rows.withColumn("_position", F.monotonically_increasing_id())
+        return top_k_per_key(placed, [key], [F.col("_position").desc()], 1, "_place").drop("_place", "_position")
+    return top_k_per_key(rows, [key], version, 1, "_place").drop("_place")
+
+
 def upsert(
     target: DataFrame,
     rows: DataFrame,
@@ -20,13 +28,13 @@ def upsert(
 ) -> DataFrame:
     """Table after writing ``rows``: the written row wins, other keys survive.
 
-    ``version`` orders several rows of one key, newest first. ``mode="replace"``
-    drops everything that was there before.
+    One row of each key is written: the first by ``version`` if given, else the
+    last in the frame's own order. ``mode="replace"`` drops everything that was
+    there before.
     """
     if mode not in ("upsert", "replace"):
         raise ValueError(f"unknown write mode {mode!r}")
-    if version is not None:
-        rows = top_k_per_key(rows, [key], version, 1, "_place").drop("_place")
+    rows = one_per_key(rows, key, version)
     if mode == "replace":
         return rows
     kept = target.join(rows.select(key), key, "left_anti")
@@ -51,7 +59,11 @@ def merge_into(rows: DataFrame, table: str, key: str = "id") -> None:
 
 
 def patch_columns(target: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
-    """Set the columns of ``patch`` on the ids it names; leave all else alone."""
+    """Set the columns of ``patch`` on the ids it names; leave all else alone.
+
+    Of several patches of one id the last in the frame's own order holds.
+    """
+    patch = one_per_key(patch, key)
     columns = [c for c in patch.columns if c != key]
     renamed = patch.select(
         key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns]

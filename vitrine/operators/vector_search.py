@@ -208,8 +208,16 @@ def search_with_count(
         max_distance,
         **limits,
     )
-    return found.select(
-        "request_id", "rank", "id", F.col("score").alias("dist"), F.col("within").alias("match_count")
+    # A request keeps its count row also where no document was scored for it.
+    none = requests.select(
+        "request_id", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("id"),
+        F.lit(None).cast("double").alias("score"), F.lit(0).cast("long").alias("within"),
+    )
+    return (
+        found.select("request_id", "rank", "id", "score", "within")
+        .unionByName(none)
+        .groupBy("request_id", "rank", "id")
+        .agg(F.max("score").alias("dist"), F.max("within").alias("match_count"))
     )
 
 

@@ -43,9 +43,10 @@ def embed_and_index(
 ) -> DataFrame:
     """Fetch, embed and upsert staged chunks; returns the outcome of every id.
 
-    The fetched images are settled once, so neither a retry nor the several uses
+    Of several chunks of one id the last holds. The fetched images are settled once, so neither a retry nor the several uses
     below fetch them again.
     """
+    chunks = settle(tables.one_per_key(chunks))
     claims = embedding.triage(chunks, chunks)
     ready = claims.filter(F.col("outcome") == embedding.READY).select(
         "id", F.col("metadata.image_url").alias("image_url")

@@ -169,11 +169,11 @@ def refresh_cursor(spark: SparkSession, folder: str) -> DataFrame:
     sql=with_views("products", extra="""long as (unpivot (select category, title, avg_rating_txt, id from products)
         on category, title, avg_rating_txt, id into name field value value),
     counts as (select field, value, count(*) as doc_count from long group by all)""")
-    + "select * from counts where field in (select field from counts group by field having count(*)<=200)",
+    + "select * from counts where field in (select field from counts group by field having count(*)<=10000)",
 )
 def facet_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     fields = ["category", "title", "avg_rating_txt", "id"]
-    return facets.facet_snapshot(stored(spark, folder), fields, max_distinct=200)
+    return facets.facet_snapshot(stored(spark, folder), fields, max_distinct=10000)
 
 
 @query(
@@ -181,10 +181,10 @@ def facet_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     covers="A5",
     sql=with_views("products")
     + """select unnest(['category','title','id']) as field, unnest([count(distinct category), count(distinct title), count(distinct id)]) as distinct_values,
-    unnest([count(distinct category)>200, count(distinct title)>200, count(distinct id)>200]) as skipped from products""",
+    unnest([count(distinct category)>10000, count(distinct title)>10000, count(distinct id)>10000]) as skipped from products""",
 )
 def facet_field_sizes(spark: SparkSession, folder: str) -> DataFrame:
-    return facets.field_sizes(stored(spark, folder), ["category", "title", "id"], 200)
+    return facets.field_sizes(stored(spark, folder), ["category", "title", "id"], 10000)
 
 
 @query(

@@ -65,7 +65,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current is not None:
         return current
-    if not context.master.startswith("local"):
+    if context.master != "local" and not context.master.startswith("local["):
         raise RuntimeError(
             f"set {CHECKPOINT_SETTING} to a shared folder before running on a cluster"
         )

@@ -2,45 +2,28 @@
 
 from __future__ import annotations
 
-from urllib.parse import quote
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import fold_case, strip
-from vitrine.session import row_count_up_to
 
 CONFIG_PREFIX = "raw_meta_"
-# More categories than this in one request is a mistake, not a catalog.
-MAX_CATEGORIES = 10_000
 
 
-def config_name(category: str) -> str:
-    category = category.strip()
-    if category.startswith(CONFIG_PREFIX):
-        return category
-    return CONFIG_PREFIX + category.replace(" ", "_")
+def category_files(names: DataFrame, revision: str = "main") -> DataFrame:
+    """``names`` (``pos``, ``category``) with ``domain``, the name files go by, and ``file``.
 
-
-def domain_name(category: str) -> str:
-    return config_name(category).removeprefix(CONFIG_PREFIX)
-
-
-def safe_token(text: str) -> str:
-    return "".join(c if c.isalnum() or c in "-_." else "_" for c in text)
-
-
-def file_name(category: str, revision: str = "main") -> str:
-    """Name of the stored copy of one category at one revision."""
-    return f"meta_{domain_name(category)}.{safe_token(revision)}.jsonl"
-
-
-def metadata_url(endpoint: str, repo: str, category: str, revision: str = "main") -> str:
-    """Address a category file is published under."""
-    base = endpoint.rstrip("/")
-    where = quote(repo.strip("/"), safe="/")
-    at = quote(revision or "main", safe="")
-    return f"{base}/datasets/{where}/resolve/{at}/raw/meta_categories/meta_{domain_name(category)}.jsonl"
+    A category may come with or without the configuration prefix.
+    """
+    domain = F.regexp_replace(
+        F.regexp_replace(strip(F.col("category")), f"^{CONFIG_PREFIX}", ""), " ", "_"
+    )
+    token = F.regexp_replace(F.lit(revision), r"[^\p{L}\p{N}._-]", "_")
+    return names.withColumn("domain", domain).withColumn(
+        "file", F.concat(F.lit("meta_"), "domain", F.lit("."), token, F.lit(".jsonl"))
+    )
 
 
 def read_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -68,13 +51,14 @@ def read_categories(
     """
     if not categories:
         raise ValueError("at least one category is required")
-    names = {domain_name(c): c.strip() for c in categories}
-    paths = [
-        f"{folder.rstrip('/')}/{layout.format(file=file_name(c, revision))}" for c in names.values()
-    ]
-    ending = safe_token(revision).replace(".", r"\.") + r"\.jsonl(?:/|$)"
-    rows = read_catalog(spark, paths).withColumn(
-        "_domain", F.regexp_extract(F.url_decode(F.input_file_name()), rf"meta_([^/]*)\.{ending}", 1)
+    listed = spark.createDataFrame(list(enumerate(categories)), "pos int, category string")
+    files = category_files(listed, revision).orderBy("pos").collect()
+    names = {r["domain"]: r["category"].strip() for r in files}
+    paths = {f"{folder.rstrip('/')}/{layout.format(file=r['file'])}": None for r in files}
+    ending = "." + files[0]["file"].removeprefix(f"meta_{files[0]['domain']}.")
+    rows = read_catalog(spark, list(paths)).withColumn(
+        "_domain",
+        F.regexp_extract(F.url_decode(F.input_file_name()), rf"meta_([^/]*){re.escape(ending)}(?:/|$)", 1),
     )
     # One entry per requested category, a short literal map.
     spelled = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
@@ -103,8 +87,6 @@ def resolve_categories(
         return []
     names = spark.createDataFrame(list(enumerate(wanted)), "pos int, category string")
     resolved = distinct_categories(names)
-    if row_count_up_to(resolved, MAX_CATEGORIES) > MAX_CATEGORIES:
-        raise ValueError("too many categories in one request")
     return [row["category"] for row in resolved.orderBy("pos").collect()]
 
 

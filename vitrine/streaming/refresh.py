@@ -55,7 +55,7 @@ def index_batch(
     chunks: DataFrame, table: VersionedTable, upserted_at_ms: int
 ) -> int:
     """Upsert new chunks as documents and return how many there were."""
-    fresh = products.vector_attributes(chunks).dropDuplicates(["id"])
+    fresh = tables.one_per_key(products.vector_attributes(chunks))
     if table.exists():
         fresh = tables.skip_existing(fresh, table.read())
     fresh = settle(fresh.withColumn("upserted_at", F.lit(upserted_at_ms).cast("long")))
