@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.buckets import by_key, forest, key_runs, run_bounds
 from vitrine.llm.components import components
-from vitrine.llm.texts import LOWER, byte_class, prefix_sums, runs, signed, span_hashes, text_slices
+from vitrine.llm.texts import LOWER, byte_class, mixed, prefix_sums, runs, signed, span_hashes, text_slices
 from vitrine.session import settle
 
 MIN_WORDS = 5
@@ -35,6 +35,7 @@ SIMILARITY = 0.8
 BITMAP_BITS = 24
 LINE_BYTES = byte_class((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 CHUNK = 512
+WORD_BITS = np.uint64(55)
 # Side of the blocks of comparisons, small enough for the processor's cache.
 TILE = 256
 
@@ -71,12 +72,12 @@ class Lines:
         for a in range(0, len(self.low), CHUNK):
             low, high = self.low[a : a + CHUNK], self.high[a : a + CHUNK]
             own = np.concatenate([self.word_hashes[x:y] for x, y in zip(low.tolist(), high.tolist())])
-            line = np.repeat(np.arange(len(low)), high - low)
-            order = np.lexsort((own, line))
-            own, line = own[order], line[order]
-            new = np.ones(len(own), bool)
-            new[1:] = (own[1:] != own[:-1]) | (line[1:] != line[:-1])
-            own, size = own[new], np.bincount(line[new], minlength=len(low))
+            # The line in the high bits, so that one sort groups lines and brings equal words together.
+            line = np.repeat(np.arange(len(low), dtype=np.uint64), high - low)
+            keys = np.sort((line << WORD_BITS) | (own >> (np.uint64(64) - WORD_BITS)))
+            keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
+            size = np.bincount((keys >> WORD_BITS).astype(np.int64), minlength=len(low))
+            own = mixed(keys & ((np.uint64(1) << WORD_BITS) - np.uint64(1)))
             bits = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             counts = np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int32)
             majority = counts * 2 > size[:, None]
