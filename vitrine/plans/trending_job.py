@@ -29,7 +29,7 @@ def trending_tick(
     searches = events.read_searches(history, from_ms, end_ms)
     attributed = None
     if quality_weight > 0:
-        attributed = events.read_clicks(clicks, searches, from_ms, end_ms)
+        attributed = events.clicks_between(clicks, from_ms, end_ms)
     entries = trending.trending(searches, attributed, quality_weight, min_count, top_n)
     return trending.trending_rows(entries, to_ms, source, job)
 

@@ -67,6 +67,13 @@ def read_clicks(
     return kept.join(traces, "trace_id", "left_semi")
 
 
+def clicks_between(
+    clicks: DataFrame, from_ms: int | None = None, to_ms: int | None = None
+) -> DataFrame:
+    """Clicks on a document in the window, of any trace: a join with searches selects the traces."""
+    return _in_window(clicks.filter(F.col("doc_id").isNotNull()), from_ms, to_ms)
+
+
 def recorded_searches(requests: DataFrame, app_tag: str) -> DataFrame:
     """Requests that become search history: first pages of the storefront, tagged."""
     first_page = F.coalesce("cursor", F.lit("")) == ""
