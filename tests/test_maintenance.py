@@ -234,3 +234,18 @@ def test_one_row_per_key(spark):
     rows = spark.createDataFrame([("a", 2), ("a", 3), ("c", 4)], "id string, n int").coalesce(1)
     assert sorted(map(tuple, tables.upsert(target, rows).collect())) == [("a", 3), ("b", 1), ("c", 4)]
     assert sorted(map(tuple, tables.patch_columns(target, rows).collect())) == [("a", 3), ("b", 1)]
+
+
+def test_stored_bytes_are_written_once(spark, tmp_path):
+    folder = str(tmp_path / "blobs")
+    contents = spark.createDataFrame(
+        [("a", b"one"), ("b", b"one"), ("c", b"two"), ("d", None)], "id string, content binary"
+    )
+    for _ in range(2):
+        held = blobs.store_blobs(blobs.addressed(contents, "ns"), folder)
+        assert sorted(r["size"] for r in held.collect()) == [3, 3]
+    assert spark.read.parquet(folder).count() == 2
+    docs, _stats = backfill(documents(spark), "ns", lambda url: b"picture", blob_folder=folder)
+    had = documents(spark).filter("coalesce(image_blob, '') like 'blob://%'").select("id")
+    audit = blobs.reference_audit(docs.join(had, "id", "left_anti"), blobs.stored_blobs(spark, folder))
+    assert audit.first()["missing"] == 0

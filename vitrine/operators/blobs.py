@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.functions.text import blob_ref, blob_ref_digest, blob_ref_status, strip
@@ -35,6 +36,33 @@ def distinct_blobs(contents: DataFrame) -> DataFrame:
     return contents.join(chosen, ["sha", "id"], "left_semi").dropDuplicates(["sha", "id"])
 
 
+BLOB_SCHEMA = "sha string, content binary, size long"
+
+
+def stored_blobs(spark: SparkSession, folder: str) -> DataFrame:
+    """``(sha, content, size)`` of a blob folder, each digest once; empty before the first write."""
+    try:
+        rows = spark.read.schema(BLOB_SCHEMA).parquet(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], BLOB_SCHEMA)
+    return rows.dropDuplicates(["sha"])
+
+
+def store_blobs(contents: DataFrame, folder: str) -> DataFrame:
+    """Append the bytes that the folder lacks; returns ``(sha, size)`` of all it holds.
+
+    ``contents`` come from ``addressed``. Equal contents are written once. Two
+    writers may both write a digest; readers see it once.
+    """
+    spark = contents.sparkSession
+    held = stored_blobs(spark, folder).select("sha")
+    fresh = distinct_blobs(contents.filter(F.col("sha").isNotNull())).join(held, "sha", "left_anti")
+    fresh.select("sha", "content", "size").write.mode("append").parquet(folder)
+    return stored_blobs(spark, folder).select("sha", "size")
+
+
 def blob_state(image_blob: Column, image_url: Column) -> Column:
     """What a backfill has to do for one document."""
     has_blob = strip(F.coalesce(image_blob, F.lit(""))).startswith("blob://")

@@ -30,13 +30,24 @@ def backfill(
     ids: DataFrame | None = None,
     offset: int = 0,
     max_docs: int | None = None,
+    blob_folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(documents, statistics)``. Without ``fetch`` this only reports."""
+    """``(documents, statistics)``. Without ``fetch`` this only reports.
+
+    With ``blob_folder`` the bytes are written there first, and only references
+    to bytes that it holds are patched in.
+    """
     states = blobs.backfill_states(docs, inspected_ids(docs, ids, offset, max_docs))
     if fetch is None:
         return docs, blobs.backfill_statistics(states)
     fetched = settle(blobs.fetch_contents(blobs.backfill_candidates(states), fetch))
-    stored = blobs.addressed(fetched, namespace).select(
+    contents = blobs.addressed(fetched, namespace)
+    if blob_folder is not None:
+        held = blobs.store_blobs(contents, blob_folder).select("sha")
+        contents = contents.join(held.withColumn("_held", F.lit(True)), "sha", "left").withColumn(
+            "ref", F.when(F.col("_held"), F.col("ref"))
+        )
+    stored = contents.select(
         "id", "ref", F.when(F.col("ref").isNotNull(), F.col("size")).alias("size")
     )
     return blobs.patch_refs(docs, stored), blobs.backfill_statistics(states, stored)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from vitrine.fixtures import table, view, with_views
 from vitrine.operators import blobs, pipeline_status
 from vitrine.plans.backfill_job import backfill
 from vitrine.queries.registry import query
+from vitrine.session import ensure_checkpoint_dir
 
 
 def stage_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -266,6 +269,26 @@ def backfill_applied(spark: SparkSession, folder: str) -> DataFrame:
     return backfill(docs, "products", stand_in_image)[0].select("id", "image_blob")
 
 
+@query(
+    "backfill_read_back",
+    covers="K5 J9 J7",
+    sql=with_views("products", extra=STATES)
+    + """select id, sha256(image_url) as sha, cast(length(image_url) as bigint) as size, true as intact
+    from products join states using (id, image_url) where state='candidate' and image_url not like '%7.jpg'""",
+)
+def backfill_read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes written by a backfill, read through the references it patched in."""
+    docs = view(spark, folder, "products")
+    kept = f"{ensure_checkpoint_dir(spark)}/blobs-{uuid.uuid4()}"
+    filled = backfill(docs, "products", stand_in_image, blob_folder=kept)[0]
+    fresh = filled.join(docs.filter("image_blob is not null").select("id"), "id", "left_anti")
+    refs = blobs.referenced(fresh).filter("sha is not null").select("id", "sha")
+    held = blobs.stored_blobs(spark, kept)
+    return refs.join(held, "sha", "left").select(
+        "id", "sha", "size", (F.sha2("content", 256) == F.col("sha")).alias("intact")
+    )
+
+
 @query(
     "backfill_statistics",
     covers="A11 S9",
