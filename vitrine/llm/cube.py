@@ -73,7 +73,7 @@ def settle_largest(size: np.ndarray, chance: np.ndarray, rng: np.random.RandomSt
     large document on one side and a small change of every other on the other.
     """
     out = chance.copy()
-    for i in np.argsort(-size, kind="stable")[: min(LARGEST, len(size) // 8)].tolist():
+    for i in np.argsort(-size, kind="stable")[: min(LARGEST, len(size) // 2)].tolist():
         for _ in range(LARGEST):
             if not EPS < out[i] < 1 - EPS:
                 break
