@@ -56,8 +56,14 @@ def test_pick_image_url(spark):
         [{"other": "x"}],
         {"url": 0, "thumb": "t"},
         7,
+        [[[["http://four"]]]],
+        [[[[["", [{"thumb": "t6"}, [{"hi_res": "h7"}], {"large": "l6"}]]]]], "later"],
+        [[], [[]], [None, 0], [[{"other": 1}], "after, [all]"]],
+        [["first"], [{"hi_res": "second"}], {"thumb": "own"}],
+        [[[], [[""]]]],
     ]
     wanted = ["h2", "l", "l", "http://plain", None, None, None, "http://in-list", "http://nested", None, "t", None]
+    wanted += ["http://four", "l6", "after, [all]", "own", None]
     assert values_of(variants(spark, given), C.pick_image_url("v")) == wanted
 
 

@@ -127,27 +127,48 @@ def image_value_sql(item: str, key: str) -> str:
     )
 
 
-def image_url_sql(v: str, depth: int = 2) -> str:
-    """Best image url in text, an object, or a list of either.
-
-    In a list each key is tried on every item before the next key. Lists inside
-    lists are followed ``depth`` levels down in all.
-    """
-    item = f"i{depth}"
+def object_in_list_sql(items: str) -> str:
+    """Best url of the objects in a list; each key is tried on every item before the next key."""
     per_key = [
-        first_present_sql(f"transform({list_sql(v)}, {item} -> {image_value_sql(item, key)})")
+        first_present_sql(f"transform({items}, o -> {image_value_sql('o', key)})")
         for key in settings.IMAGE_KEYS
     ]
-    if depth > 0:
-        later = first_present_sql(
-            f"transform({list_sql(v)}, {item} -> {image_url_sql(item, depth - 1)})"
-        )
-        in_list = f"coalesce({', '.join([*per_key, later])})"
-    else:
-        in_list = "null"
+    return f"coalesce({', '.join(per_key)})"
+
+
+def nested_image_sql(v: str) -> str:
+    """Url in a list that holds lists, to any depth, the first in reading order.
+
+    A stack of values still to be looked at: text is the answer, a list is
+    answered by its own objects or else gives way to its items. No value opens
+    without a bracket or a comma, which bounds the steps.
+    """
+    steps = f"sequence(1, regexp_count({text_sql(v)}, '[\\\\[,]') + 2)"
+    head = "get(s.stack, 0)"
+    rest = "slice(s.stack, 2, size(s.stack))"
+    items = list_sql(head)
+    state = "named_struct('found', {found}, 'stack', {stack})".format
+    in_list = state(found=object_in_list_sql(items), stack=f"concat({items}, {rest})")
+    in_text = state(found=truthy_text_sql(head), stack=rest)
+    step = (
+        f"case when s.found is not null or size(s.stack) = 0 then s"
+        f" when {items} is not null then {in_list}"
+        f" when {kind_sql(head)} = 'STRING' then {in_text}"
+        f" else {state(found='s.found', stack=rest)} end"
+    )
+    start = state(found="cast(null as string)", stack=f"array({v})")
+    return f"aggregate({steps}, {start}, (s, n) -> {step}, s -> s.found)"
+
+
+def image_url_sql(v: str) -> str:
+    """Best image url in text, an object, or a list of either, nested to any depth."""
+    items = list_sql(v)
+    text = f"case when {kind_sql('t')} = 'STRING' then {truthy_text_sql('t')} end"
+    in_flat = f"coalesce({object_in_list_sql(items)}, {first_present_sql(f'transform({items}, t -> {text})')})"
     in_object = f"coalesce({', '.join(image_value_sql(v, key) for key in settings.IMAGE_KEYS)})"
     return (
-        f"case when {list_sql(v)} is not null then {in_list}"
+        f"case when exists({items}, l -> {kind_sql('l')} like 'ARRAY%') then {nested_image_sql(v)}"
+        f" when {items} is not null then {in_flat}"
         f" when {kind_sql(v)} = 'STRING' then {truthy_text_sql(v)}"
         f" when {kind_sql(v)} like 'OBJECT%' then {in_object} end"
     )

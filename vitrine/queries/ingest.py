@@ -108,12 +108,13 @@ def text_coercion(spark: SparkSession, folder: str) -> DataFrame:
     "image_choice",
     covers="P5",
     sql=with_views("raw_catalog")
-    + """select row_no, case row_no%4 when 0 then coalesce(hi_res, large)
-      when 1 then coalesce(large, hi_res) when 2 then large else coalesce(large, 'http://img/late.jpg') end as image_url
+    + """select row_no, case row_no%5 when 0 then coalesce(hi_res, large)
+      when 1 then coalesce(large, hi_res) when 2 then large when 3 then coalesce(large, 'http://img/late.jpg')
+      else coalesce(large, hi_res, 'http://img/late.jpg') end as image_url
     from raw_catalog""",
 )
 def image_choice(spark: SparkSession, folder: str) -> DataFrame:
-    """Images as object list, object of lists, plain text and mixed list by turns."""
+    """Images as object list, object of lists, plain text, mixed list and lists in lists by turns."""
 
     def quoted(c: str) -> Column:
         return F.coalesce(F.concat(F.lit('"'), F.col(c), F.lit('"')), F.lit("null"))
@@ -121,15 +122,23 @@ def image_choice(spark: SparkSession, folder: str) -> DataFrame:
     hi, large = quoted("hi_res"), quoted("large")
     shapes = (
         F.when(
-            F.col("row_no") % 4 == 0,
+            F.col("row_no") % 5 == 0,
             F.concat(F.lit('[{"large":'), large, F.lit('},{"hi_res":'), hi, F.lit("}]")),
         )
         .when(
-            F.col("row_no") % 4 == 1,
+            F.col("row_no") % 5 == 1,
             F.concat(F.lit('{"thumb":['), hi, F.lit('],"large":["",'), large, F.lit("]}")),
         )
-        .when(F.col("row_no") % 4 == 2, large)
-        .otherwise(F.concat(F.lit('[null, "", '), large, F.lit(', ["http://img/late.jpg"]]')))
+        .when(F.col("row_no") % 5 == 2, large)
+        .when(
+            F.col("row_no") % 5 == 3,
+            F.concat(F.lit('[null, "", '), large, F.lit(', ["http://img/late.jpg"]]')),
+        )
+        .otherwise(
+            F.concat(
+                F.lit('[[[[{"thumb":'), hi, F.lit('},{"large":'), large, F.lit('}]],[""]],"http://img/late.jpg"]')
+            )
+        )
     )
     rows = view(spark, folder, "raw_catalog").select("row_no", F.parse_json(shapes).alias("images"))
     return rows.select("row_no", C.pick_image_url("images").alias("image_url"))
