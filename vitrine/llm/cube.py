@@ -33,6 +33,9 @@ MOST_COPIES = 2.0
 BLOCK = 4096
 LARGEST = 64
 EPS = 1e-9
+# What a list of sources may hold to be broadcast.
+BROADCAST_SOURCES = 100_000
+BROADCAST_NAME_BYTES = 1 << 24
 
 UNITS = "source string, id long, size double, chance double, block long"
 
@@ -167,6 +170,19 @@ def source_targets(
     )
 
 
+def per_source(
+    sources: DataFrame, rows: int = BROADCAST_SOURCES, name_bytes: int = BROADCAST_NAME_BYTES
+) -> DataFrame:
+    """A table of one row per source, to be joined to the rows of the sources.
+
+    Broadcast while its counted size allows, so that a source with a large share
+    of all rows stays dealt over the tasks that hold them. A longer list of
+    sources is shuffled, where adaptive execution splits the skewed ones.
+    """
+    n, size = sources.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("source")), F.lit(0))).first()
+    return F.broadcast(sources) if n <= rows and size <= name_bytes else sources
+
+
 def mix(
     docs: DataFrame,
     size: Column,
@@ -196,6 +212,8 @@ def mix(
         .join(sums.select("source", "n").alias("s"), F.expr("t.source <=> s.source"))
         .select(
             "t.source",
+            "t.source_size",
+            "t.target",
             F.floor(ratio + EPS).alias("whole"),
             F.greatest(ratio - F.floor(ratio + EPS), F.lit(0.0)).alias("chance"),
             F.greatest(F.ceil(F.col("n") / block), F.lit(1)).alias("blocks"),
@@ -204,7 +222,7 @@ def mix(
     units = rows.groupBy("source", "id").agg(F.sum("size").cast("double").alias("size"))
     open_units = (
         units.alias("u")
-        .join(plan.alias("p"), F.expr("u.source <=> p.source"))
+        .join(per_source(plan).alias("p"), F.expr("u.source <=> p.source"))
         .select("u.source", "u.id", "u.size", "p.chance", "p.blocks")
     )
     decided: DataFrame | None = None
@@ -226,21 +244,20 @@ def mix(
             break
         open_units = (
             rest.alias("u")
-            .join(left.alias("l"), F.expr("u.source <=> l.source"))
+            .join(per_source(left).alias("l"), F.expr("u.source <=> l.source"))
             .select("u.source", "u.id", "u.size", "u.chance", "l.blocks")
         )
         round_no += 1
     return (
         rows.alias("r")
         .join(decided.alias("d"), F.expr("r.source <=> d.source and r.id <=> d.id"))
-        .join(plan.alias("p"), F.expr("r.source <=> p.source"))
-        .join(targets.alias("t"), F.expr("r.source <=> t.source"))
+        .join(per_source(plan).alias("p"), F.expr("r.source <=> p.source"))
         .select(
             "r.id",
             "r.source",
             "r.size",
-            "t.source_size",
-            "t.target",
+            "p.source_size",
+            "p.target",
             (F.col("p.whole") + F.col("d.chance")).cast("long").alias("copies"),
         )
     )
