@@ -260,6 +260,8 @@ def test_text_search_with_drop(spark):
     assert [h[0] for h in got["r1"]] == ["b", "c"]
     assert [h[0] for h in got["r2"]] == ["a", "b", "c"]
     assert set(got) == {"r1", "r2"}
+    refused = search_job.refused_requests(requests, marks, lookup=1).collect()
+    assert list(map(tuple, refused)) == [("r4", "unknown catalog checkpoint: none")]
 
 
 # --- Drops ---

@@ -182,3 +182,37 @@ def test_derived_rows_follow_writes(spark, tmp_path):
     feed.add(("c", "z"))
     derive_on_write(feed.stream(), lengths, target, str(tmp_path / "progress"))
     assert {r["id"]: r["n"] for r in target.read().collect()} == {"a": 1, "b": 3, "c": 1}
+
+
+def test_current_trending(spark, tmp_path):
+    """Counts of a slot are replaced by later batches, and the window ends with the newest."""
+    feed = Feed(spark, tmp_path / "in", SEARCH)
+    feed.add((1, "t", "lamp", [], hour(1)), (2, "t", "desk", [], hour(26)))
+    feed.add((3, "t", "Lamp", [], hour(1)), (4, "t", "desk", [], hour(26)), (5, "t", " ", [], hour(90)))
+    feed.add((6, "t", "lamp", [], hour(20)))
+    updates = runner.run_to_end(trending.slot_counts(feed.stream()), "update")
+    got = {r["query"]: r["count"] for r in trending.current_counts(updates).collect()}
+    assert got == {"desk": 2, "lamp": 1}
+    nothing = trending.current_counts(updates.limit(0)).collect()
+    assert nothing == []
+
+
+def test_refused_runs_belong_to_the_next_checkpoint(spark, tmp_path):
+    """Rows of a run that the gate refuses are counted by the one it lets through."""
+    docs, marks = tables(spark, tmp_path)
+    source = tmp_path / "files"
+    source.mkdir()
+    for i in range(3):
+        line = json.dumps({**CAMERA, "parent_asin": f"A{i}"})
+        (source / f"{i}.jsonl").write_text(line + "\n")
+    calls = []
+
+    def gate():
+        calls.append(0)
+        return spark.createDataFrame([("p", len(calls) > 1)], "pipeline_id string, stable boolean")
+
+    rows = refresh.catalog_stream(spark, str(source), per_batch=1).withColumn("category", F.lit("Cameras"))
+    refresh.run_refresh(
+        rows, docs, marks, str(tmp_path / "progress"), lambda b: f"run-{b}", lambda b: 1000 * (b + 1), gate
+    )
+    assert sorted(map(tuple, marks.read().collect())) == [("run-1", 2000, 2), ("run-2", 3000, 1)]

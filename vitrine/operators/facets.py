@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrine import settings
 from vitrine.operators.tables import side_by_side
+from vitrine.session import settle
 
 
 def facet_counts(docs: DataFrame, fields: list[str]) -> DataFrame:
@@ -37,7 +38,8 @@ def facet_snapshot(
     docs: DataFrame, fields: list[str], max_distinct: int = settings.FACET_MAX_DISTINCT
 ) -> DataFrame:
     """Facet rows of the fields with at most ``max_distinct`` values."""
-    counts = facet_counts(docs, fields)
+    # Written once: the sizes and the rows both read the grouped values.
+    counts = settle(facet_counts(docs, fields))
     served = (
         counts.groupBy("field")
         .agg(F.count(F.lit(1)).alias("n"))

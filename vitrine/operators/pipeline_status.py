@@ -52,9 +52,13 @@ def status_of(counts: DataFrame, pipelines: DataFrame) -> DataFrame:
 
 
 def stability(
-    status: DataFrame, allowed_processing: int = 0, allow_failed: bool = False
+    status: DataFrame, allowed_processing: int | Column = 0, allow_failed: bool = False
 ) -> DataFrame:
-    """Status rows with ``stable``: nothing waits, runs or (unless allowed) failed."""
+    """Status rows with ``stable``: nothing waits, runs or (unless allowed) failed.
+
+    ``allowed_processing`` is one allowance for all, or a Column that gives each
+    pipeline its own.
+    """
     at_rest = (F.col("pending_count") == 0) & (F.col("processing_count") <= allowed_processing)
     if not allow_failed:
         at_rest = at_rest & (F.col("failed_count") == 0)
@@ -69,6 +73,30 @@ def all_stable(gate: DataFrame) -> DataFrame:
     return gate.agg(F.coalesce(F.bool_and("stable"), F.lit(False)).alias("stable"))
 
 
+def whole(x: str) -> str:
+    """SQL of a whole number; a true/false count is one to the service."""
+    return (
+        f"case when {C.kind_sql(x)} = 'BIGINT' then try_cast({C.text_sql(x)} as bigint)"
+        f" when {C.kind_sql(x)} = 'BOOLEAN' then if({C.text_sql(x)} = 'true', 1L, 0L) end"
+    )
+
+
+def status_from_json(statuses: DataFrame, raw: str = "status") -> DataFrame:
+    """Status rows of JSON status text.
+
+    A waiting, running or failed count that the status states itself goes before
+    what its stage counts add up to.
+    """
+    stated = ("pending_count", "processing_count", "failed_count")
+    counted = status_of(counts_from_status(statuses, raw), statuses)
+    own = statuses.select("pipeline_id", F.try_parse_json(F.col(raw)).alias("v")).select(
+        "pipeline_id", *[F.expr(whole(C.field_sql("v", n))).alias(f"_{n}") for n in stated]
+    )
+    return counted.join(own, "pipeline_id").select(
+        "pipeline_id", *[F.coalesce(f"_{n}", n).alias(n) for n in stated], "indexed_count"
+    )
+
+
 def counts_from_status(statuses: DataFrame, raw: str = "status") -> DataFrame:
     """``(pipeline_id, stage, doc_count)`` from JSON status text of any encoding.
 
@@ -83,13 +111,6 @@ def counts_from_status(statuses: DataFrame, raw: str = "status") -> DataFrame:
         "pipeline_id", F.try_parse_json(F.col(raw)).alias("v")
     ).select("pipeline_id", F.expr(f"case {branches} else v end").alias("c"))
 
-    def whole(x: str) -> str:
-        # A true/false count is a whole number to the service.
-        return (
-            f"case when {C.kind_sql(x)} = 'BIGINT' then try_cast({C.text_sql(x)} as bigint)"
-            f" when {C.kind_sql(x)} = 'BOOLEAN' then if({C.text_sql(x)} = 'true', 1L, 0L) end"
-        )
-
     stage, count = C.field_sql("r", "stage"), C.field_sql("r", "count")
     unfolded = chosen.select(
         "pipeline_id",

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vitrine import settings
 from vitrine.operators import blockwise
+from vitrine.session import row_count_up_to
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -227,6 +228,10 @@ def resolve_seeds(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     ``seeds`` holds ``request_id`` and ``seed_id`` plus any condition columns.
     """
     stored = docs.select(F.col("id").alias("seed_id"), "vector")
+    wanted = seeds.select("seed_id").distinct()
+    if row_count_up_to(wanted, settings.BROADCAST_LOOKUP_ROWS) <= settings.BROADCAST_LOOKUP_ROWS:
+        # The outer join cannot broadcast the seeds, so the vectors are narrowed to them first.
+        stored = stored.join(F.broadcast(wanted), "seed_id", "left_semi")
     return seeds.join(stored, "seed_id", "left").withColumn(
         "missing", F.col("vector").isNull()
     )

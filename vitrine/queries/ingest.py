@@ -522,6 +522,26 @@ def catalog_scan(spark: SparkSession, folder: str) -> DataFrame:
     return products.normalize_products(rows)
 
 
+@query(
+    "file_row_slices",
+    covers="S1 R16 R17",
+    sql=with_views("raw_catalog", extra=NORMALIZED)
+    + """, placed as (select asin, row_number() over (order by row_no)-1 as ordinal from normalized)
+    select asin, ordinal, (ordinal-60)//100 as slice from placed where ordinal>=60""",
+)
+def file_row_slices(spark: SparkSession, folder: str) -> DataFrame:
+    """Slices of valid rows by their place in JSON-lines files."""
+    from vitrine.streaming.runner import scratch_folder
+
+    target = scratch_folder(spark, "ordered")
+    rows = raw_rows(spark, folder).repartitionByRange("row_no").sortWithinPartitions("row_no")
+    rows.select(F.to_json("v").alias("value")).write.text(target)
+    read = catalog.read_in_order(spark, target).withColumn("category", F.lit("all"))
+    valid = settle(products.normalize_products(read, keep=catalog.SOURCE_ORDER))
+    placed = slices.numbered(valid, catalog.SOURCE_ORDER)
+    return slices.assign_slices(placed, 60, 100).select("asin", "ordinal", "slice")
+
+
 def scratch_tables(spark: SparkSession) -> tuple[VersionedTable, VersionedTable]:
     from vitrine.streaming.runner import scratch_folder
 
@@ -575,3 +595,29 @@ def refresh_stream(spark: SparkSession, folder: str) -> DataFrame:
         lambda batch: 1000 * (batch + 1),
     )
     return stored.read().select("id", "category", "title", "upserted_at")
+
+
+@query(
+    "gated_activation",
+    covers="T4 A8",
+    sql=with_views("stage_events")
+    + "select 'second' as label, cast(2000 as bigint) as watermark_ms, count(*) as row_count from stage_events",
+)
+def gated_activation(spark: SparkSession, folder: str) -> DataFrame:
+    """A checkpoint refused while a document waits, then let through at rest, once."""
+    from vitrine.operators import pipeline_status
+    from vitrine.streaming.refresh import activate_checkpoint
+
+    log = view(spark, folder, "stage_events")
+    total = log.count()
+
+    def gate(events: DataFrame) -> DataFrame:
+        counts = pipeline_status.stage_counts(events)
+        return pipeline_status.stability(pipeline_status.status_of(counts, events))
+
+    _stored, marks = scratch_tables(spark)
+    activate_checkpoint(marks, "first", 1000, total, gate(log.withColumn("stage", F.lit("pending"))))
+    at_rest = gate(log.withColumn("stage", F.lit("indexed")))
+    for watermark in (2000, 3000):
+        activate_checkpoint(marks, "second", watermark, total, at_rest)
+    return marks.read()

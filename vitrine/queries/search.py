@@ -265,6 +265,43 @@ def unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
 # --- Text ---
 
 
+@query(
+    "search_refusals",
+    covers="J5",
+    sql=with_views("checkpoints", "user_views")
+    + """, asked as (select event_id as request_id, case when event_id%2=0 then label else 'no-'||label end as label
+      from user_views v join (select *, row_number() over (order by label)-1 as n, count(*) over () as c from checkpoints) m
+      on v.user_id%c=n)
+    select request_id, 'unknown catalog checkpoint: '||label as error from asked where label not in (select label from checkpoints)""",
+)
+def search_refusals(spark: SparkSession, folder: str) -> DataFrame:
+    """A request per view, every other one with a label that no checkpoint has."""
+    from vitrine.operators.ordinals import with_ordinals
+
+    marks = view(spark, folder, "checkpoints")
+    count = marks.count()
+    named = with_ordinals(marks.select("label"), ["label"], "n")
+    views = view(spark, folder, "user_views").withColumn("n", F.col("user_id") % count)
+    label = F.when(F.col("event_id") % 2 == 0, F.col("label")).otherwise(F.concat(F.lit("no-"), "label"))
+    asked = views.join(named, "n").select(F.col("event_id").alias("request_id"), label.alias("label"))
+    return search_job.refused_requests(asked, marks, lookup=None)
+
+
+@query(
+    "hit_attributes",
+    covers="P9",
+    sql=with_views("products", "user_views")
+    + "select distinct user_id as request_id, p.id, p.title, p.category from user_views v join products p on p.id=v.doc_id",
+)
+def hit_attributes(spark: SparkSession, folder: str) -> DataFrame:
+    """Viewed products as hits with two of their attributes; unknown names are passed over."""
+    hits = view(spark, folder, "user_views").select(
+        F.col("user_id").alias("request_id"), F.col("doc_id").alias("id")
+    ).distinct()
+    found = search_job.with_attributes(hits, stored(spark, folder), ["title", "id", "category", "unheard_of"])
+    return found.select("request_id", "id", "title", "category")
+
+
 @query("text_search", covers="U2 R1 P9 P10")
 def text_search(spark: SparkSession, folder: str) -> DataFrame:
     """Every distinct logged query, encoded, against the encoded product texts."""

@@ -73,6 +73,28 @@ def stream_trending_windows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "stream_trending_now",
+    covers="T1 A1",
+    sql=with_views("search_history", extra=f"""
+keyed as (select {NORMALIZED} as query, (timestamp_ms//3600000+1)*3600000 as slot_end from search_history
+          where page_tag='page:first' and length({NORMALIZED}) between 1 and 160),
+newest as (select max(slot_end) as window_end_ms from keyed),
+counts as (select window_end_ms, query, count(*) as "count" from keyed, newest
+           where slot_end>window_end_ms-86400000 group by all)
+""")
+    + """select window_end_ms, query, "count", row_number() over (order by "count" desc, query) as rank
+    from counts qualify rank<=12""",
+)
+def stream_trending_now(spark: SparkSession, folder: str) -> DataFrame:
+    """The window that ends with the newest search, without waiting for the watermark."""
+    updates = runner.run_to_end(trending.slot_counts(searches(spark, folder)), "update")
+    top = trending.top_per_window(trending.current_counts(updates), min_count=1)
+    return top.select(
+        F.unix_millis("window_end").alias("window_end_ms"), "query", "count", F.col("rank").cast("long").alias("rank")
+    )
+
+
 @query(
     "stream_click_attribution",
     covers="T2 J3",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.fixtures import view, with_views
+from vitrine.fixtures import table, view, with_views
 from vitrine.functions import gain
 from vitrine.functions.text import normalize_query
 from vitrine.operators import tables, trending
@@ -138,6 +138,25 @@ def click_attribution(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    "ideal_gains",
+    covers="A3",
+    sql="""with counts as (select event_type, count(*) as clicks from events group by all
+      union all select 'all', count(*) from events union all select 'lines', count(*) from lineitem),
+    sums as (select event_type, clicks, unnest(range(clicks)) as i from counts)
+    select event_type, clicks, round(sum(1.0/log2(i+2)), 4) as ideal from sums group by all""",
+)
+def ideal_gains(spark: SparkSession, folder: str) -> DataFrame:
+    """Best gain of as many clicks as a table has rows, far beyond a single list."""
+    log = table(spark, folder, "events")
+    counts = (
+        log.groupBy("event_type").agg(F.count("*").alias("clicks"))
+        .unionByName(log.agg(F.lit("all").alias("event_type"), F.count("*").alias("clicks")))
+        .unionByName(table(spark, folder, "lineitem").agg(F.lit("lines").alias("event_type"), F.count("*").alias("clicks")))
+    )
+    return counts.withColumn("ideal", F.round(gain.idcg(F.col("clicks")), 4))
+
+
 @query(
     "search_gain",
     covers="A3",

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.text import fold_case, strip
 
+# Columns of read_in_order that give the order of the source.
+SOURCE_ORDER = ["file", "block", "line"]
 CONFIG_PREFIX = "raw_meta_"
 
 
@@ -37,6 +39,20 @@ def read_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     )
 
 
+def read_in_order(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """``read_catalog`` with ``file``, ``block`` and ``line``, which order the rows as the files do.
+
+    ``block`` is where the part of a file that a task read begins; ``line`` grows
+    inside it and is not a line number.
+    """
+    return read_catalog(spark, paths).select(
+        "v",
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+
+
 def read_categories(
     spark: SparkSession,
     folder: str,

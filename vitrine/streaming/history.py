@@ -19,6 +19,7 @@ from vitrine.streaming.runner import BATCH
 STATE_PROVIDER = (
     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 )
+ENTRY = ["key", "item", "ts_ms", "event_id"]
 OUTPUT = "user_id long, item string, ts_ms long, event_id long, place int"
 
 
@@ -43,30 +44,19 @@ class LatestDistinct(StatefulProcessor):
     def handleInputRows(
         self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any
     ) -> Iterator[pd.DataFrame]:
-        held = {e[0]: (e[2], e[3], e[1]) for e in self.entries.get()}
+        held = [tuple(e) for e in self.entries.get()]
+        newest = pd.DataFrame(held, columns=ENTRY) if held else None
         for frame in rows:
-            for name, item, ts_ms, event_id in zip(
-                frame["key"], frame["item"], frame["ts_ms"], frame["event_id"]
-            ):
-                seen = (int(ts_ms), int(event_id), item)
-                if name not in held or seen > held[name]:
-                    held[name] = seen
-            held = dict(self._newest(held)[: self.limit])
-        kept = self._newest(held)
-        self.entries.put([(name, e[2], e[0], e[1]) for name, e in kept])
-        yield pd.DataFrame(
-            {
-                "user_id": [key[0]] * len(kept),
-                "item": [e[2] for _, e in kept],
-                "ts_ms": [e[0] for _, e in kept],
-                "event_id": [e[1] for _, e in kept],
-                "place": range(1, len(kept) + 1),
-            }
-        )
-
-    @staticmethod
-    def _newest(held: dict[str, tuple[int, int, str]]) -> list[tuple[str, tuple[int, int, str]]]:
-        return sorted(held.items(), key=lambda entry: entry[1], reverse=True)
+            # One frame at a time, cut to the limit, however many rows a user has.
+            newest = self._newest(frame[ENTRY] if newest is None else pd.concat([newest, frame[ENTRY]]))
+        self.entries.put([tuple(e) for e in newest.astype(object).to_numpy().tolist()])
+        yield newest.assign(user_id=key[0], place=range(1, len(newest) + 1))[
+            ["user_id", "item", "ts_ms", "event_id", "place"]
+        ]
+
+    def _newest(self, found: pd.DataFrame) -> pd.DataFrame:
+        ordered = found.sort_values(["ts_ms", "event_id", "item"], ascending=False, kind="stable")
+        return ordered.drop_duplicates("key").head(self.limit)
 
     def close(self) -> None:
         pass

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine import settings
+from vitrine.functions.predicates import between
 from vitrine.operators import pipeline_status, products, slices, tables
 from vitrine.session import settle
 from vitrine.sources.versioned import VersionedTable
@@ -113,7 +114,9 @@ def run_refresh(
     """Drain a stream of raw rows (``v``, ``category``) into the product table.
 
     Every micro-batch is one labelled run. A batch that is repeated after a
-    failure finds its label or its rows in place and changes nothing.
+    failure finds its label or its rows in place and changes nothing. What a run
+    that the gate refuses has added belongs to the next checkpoint that it lets
+    through, whose window and row count start at the newest one before.
     """
 
     def one(batch: DataFrame, batch_id: int) -> None:
@@ -122,8 +125,12 @@ def run_refresh(
             return
         chunks = products.stage_chunks(products.normalize_products(batch))
         index_batch(chunks, table, time_of(batch_id))
-        held = table.read() if table.exists() else None
-        added = 0 if held is None else held.filter(F.col("upserted_at") == time_of(batch_id)).count()
+        newest = 0
+        if checkpoints.exists():
+            newest = checkpoints.read().agg(F.coalesce(F.max("watermark_ms"), F.lit(0))).first()[0]
+        added = 0
+        if table.exists():
+            added = table.read().filter(between(F.col("upserted_at"), newest, time_of(batch_id))).count()
         activate_checkpoint(
             checkpoints, label, time_of(batch_id), added, gate() if gate else None
         )

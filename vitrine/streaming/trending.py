@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitrine import settings
 from vitrine.functions.text import normalize_query
 from vitrine.operators.topk import top_k_per_key
+from vitrine.streaming.runner import BATCH
 
 LATENESS = "24 hours"
 
@@ -44,6 +45,39 @@ def sliding_counts(
     )
 
 
+def slot_counts(searches: DataFrame, slide: str = "1 hour", lateness: str = LATENESS) -> DataFrame:
+    """``(slot_end, query, count)`` per slot, for a stream in update mode.
+
+    A slot's count is out with the batch that changed it, long before the
+    watermark has passed it.
+    """
+    return (
+        searches.select("ts", normalize_query(F.col("raw_query")).alias("query"))
+        .filter(F.col("query").isNotNull())
+        .withWatermark("ts", lateness)
+        .groupBy(F.window("ts", slide).alias("slot"), "query")
+        .agg(F.count(F.lit(1)).alias("count"))
+        .select(F.col("slot.end").alias("slot_end"), "query", "count")
+    )
+
+
+def current_counts(updates: DataFrame, window: str = "24 hours") -> DataFrame:
+    """``(window_end, query, count)`` of the window that ends with the newest slot.
+
+    ``updates`` are the written batches of ``slot_counts``; the last count of a
+    slot holds.
+    """
+    newest = updates.agg(F.unix_micros(F.max("slot_end"))).first()[0]
+    end = F.timestamp_micros(F.lit(newest).cast("long"))
+    return (
+        updates.filter(F.col("slot_end") > end - F.expr(f"interval {window}"))
+        .groupBy("slot_end", "query")
+        .agg(F.max_by("count", BATCH).alias("n"))
+        .groupBy(end.alias("window_end"), "query")
+        .agg(F.sum("n").alias("count"))
+    )
+
+
 def top_per_window(
     counts: DataFrame,
     min_count: int = settings.TRENDING_MIN_COUNT,
