@@ -345,8 +345,9 @@ def repeated_lines(
         .select("hash", F.coalesce("group", "hash").alias("name"))
     )
     found = settle(lines.join(named, "hash").select("name", "id", "key", "line"))
-    # The first place of each group; combined before the shuffle.
-    kept = found.groupBy("name").agg(F.min(F.struct("id", "key", "line")).alias("kept"))
+    # The first place of each group; combined before the shuffle. Written, so that
+    # the join reads plain rows and a line of very many documents can be split.
+    kept = settle(found.groupBy("name").agg(F.min(F.struct("id", "key", "line")).alias("kept")))
     extra = found.join(kept, "name").filter(
         ~F.struct("id", "key", "line").eqNullSafe(F.struct("kept.id", "kept.key", "kept.line"))
     )
