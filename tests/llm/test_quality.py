@@ -59,3 +59,31 @@ def test_keep_good_keeps_columns(documents, sample):
 def test_empty(no_documents):
     assert line_quality(no_documents).collect() == []
     assert keep_good(no_documents).collect() == []
+
+
+def templates(own, shared):
+    """60 unrelated documents of ``shared`` template lines around ``own`` lines of their own."""
+    template = [prose(500 + k, 8) for k in range(shared)]
+    return ["\n".join([*template, *(prose(i * own + k, 6) for k in range(own))]) for i in range(60)]
+
+
+def test_templates_of_several_lines(spark):
+    for own, shared in ((1, 3), (1, 2), (2, 5), (4, 8)):
+        docs = spark.createDataFrame(
+            [(i, t, "h") for i, t in enumerate(templates(own, shared))], "doc_id long, text string, source string"
+        )
+        found = line_quality(docs).collect()
+        assert {r.n_boilerplate_lines for r in found} == {shared}
+        assert {r.kept for r in found} == {own == 4 or own * 6 >= 20}
+
+
+def test_copies_do_not_hide_a_template(spark):
+    footer = prose(600, 12)
+    rows = [(i, f"{prose(i)}\n{footer}", "h") for i in range(100)]
+    rows += [(1000 + i, f"{prose(300)}\n{footer}", "h") for i in range(400)]
+    # Near copies: one changed word in a long text.
+    near = [prose(310 + k) for k in range(20)]
+    rows += [(2000 + i, "\n".join([*near, f"changed {prose(320)} number{chr(97 + i)}"]), "h") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = {r.id: r for r in line_quality(docs).collect()}
+    assert all(r.n_boilerplate_lines == (0 if i >= 2000 else 1) and r.kept for i, r in found.items())

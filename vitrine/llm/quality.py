@@ -1,11 +1,12 @@
 """Cross-document line frequency: boilerplate lines of a host and depleted documents.
 
 A line is normalised (ASCII lower case, digits to 0, blanks collapsed) and
-hashed. Within a host it is boilerplate when enough independent documents hold
-it. Two documents are independent for a line when the smallest hash among their
-*other* lines differs, so that copies of one document do not make each other's
-lines boilerplate; a line held by many documents of which fewer than half are
-independent is the mark of a group of copies, not of a template.
+hashed. Within a host it is boilerplate when enough distinct documents hold it.
+Copies count as one document: exact copies, up to case and digits, have the same
+fingerprint, and near copies the same component of ``golay``'s links (at most
+four of 64 bits apart). So copies neither make each other's lines boilerplate
+nor hide a template that many distinct documents hold. Only fingerprints of
+documents with a line above the absolute limit are linked.
 
 Defined results: a null text has no words and fails the base rules; a null host
 is a host of its own; repeated rows get one result each; an empty table gives
@@ -22,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.frames import ROW, numbered
+from vitrine.llm.golay import named_marks, simhash
 from vitrine.llm.texts import (
     LOWER,
     WORD_BYTES,
@@ -35,6 +37,7 @@ from vitrine.llm.texts import (
     span_hashes,
     text_slices,
 )
+from vitrine.session import settle
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -51,7 +54,7 @@ MIN_LOST_PERCENT = 50
 
 SCHEMA = (
     "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, lines array<struct<line: long, words: long, other: long>>"
+    "n_repeat_words long, mark long, lines array<struct<line: long, words: long>>"
 )
 
 
@@ -99,9 +102,12 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again[order[1:]] = keyed[order[1:]] == keyed[order[:-1]]
         row_lines = np.searchsorted(line_row, np.arange(len(offsets)))
 
-        normal = span_hashes(prefix_sums(NORMAL[data]), words.starts, words.ends)
+        plain = NORMAL[data]
+        whole, ends = plain.tobytes(), offsets.tolist()
+        marks = np.array([simhash(whole[a:b].split()) for a, b in zip(ends, ends[1:])], np.uint64)
+        normal = span_hashes(prefix_sums(plain), words.starts, words.ends)
         line = span_hashes(prefix_sums(normal), low, high)
-        kept, other, n_words, counts = distinct_lines(line, line_row, high - low, len(offsets) - 1)
+        kept, n_words, counts = distinct_lines(line, line_row, high - low, len(offsets) - 1)
         yield pa.RecordBatch.from_arrays(
             [
                 rows.column(0),
@@ -111,22 +117,20 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(per_row(SYMBOLS[data], offsets)),
                 pa.array(per_row(again, row_lines)),
                 pa.array(repeated_words(raw, words.first, owner)),
+                pa.array(signed(marks)),
                 lists(
-                    pa.StructArray.from_arrays(
-                        [pa.array(signed(kept)), pa.array(n_words), pa.array(signed(other))],
-                        ["line", "words", "other"],
-                    ),
+                    pa.StructArray.from_arrays([pa.array(signed(kept)), pa.array(n_words)], ["line", "words"]),
                     counts,
                 ),
             ],
-            ["id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lines"],
+            ["id", "host", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "mark", "lines"],
         )
 
 
 def distinct_lines(
     line: np.ndarray, row: np.ndarray, words: np.ndarray, n_rows: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct lines of each row: hash, smallest other hash (or 0), words in all its copies."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct lines of each row: hash, words in all its copies, and how many a row has."""
     order = np.lexsort((line, row))
     line, row, words = line[order], row[order], words[order]
     new = np.ones(len(line), bool)
@@ -135,13 +139,7 @@ def distinct_lines(
     total = np.add.reduceat(words, at) if len(at) else words
     line, row = line[at], row[at]
     counts = np.bincount(row, minlength=n_rows)
-    first = np.zeros(n_rows + 1, np.int64)
-    np.cumsum(counts, out=first[1:])
-    padded = np.append(line, np.zeros(2, line.dtype))
-    least = np.where(counts > 0, padded[first[:-1]], 0)
-    second = np.where(counts > 1, padded[first[:-1] + 1], 0)
-    other = np.where(line == least[row], second[row], least[row])
-    return line, other.astype(np.uint64), total.astype(np.int64), counts
+    return line, total.astype(np.int64), counts
 
 
 def measured(docs: DataFrame, id_column: str, text: str, host: str) -> DataFrame:
@@ -160,30 +158,58 @@ def base_failed() -> Column:
     )
 
 
-def boilerplate(
-    lines: DataFrame, hosts: DataFrame, min_documents: int, host_permille: int
-) -> DataFrame:
-    """(host, line) pairs above their host's limit, from (host, line, other) rows.
+def boilerplate(docs: DataFrame, min_documents: int, host_permille: int) -> tuple[DataFrame, DataFrame]:
+    """(host, line) pairs above their host's limit, and (row, host, line, words) of the
+    lines that could be.
 
-    Both counts combine before the shuffle, so a line or a host that holds a
-    large share of all rows meets in a task as one row per map task.
+    Counts combine before the shuffle, so a line or a host that holds a large
+    share of all rows meets in a task as one row per map task.
     """
-    by_other = lines.groupBy("host", "line", "other").agg(F.count("*").alias("n"))
-    counted = by_other.groupBy("host", "line").agg(
-        F.count("*").alias("independent"), F.sum("n").alias("documents")
+    lines = docs.select(ROW, "host", "mark", F.explode("lines").alias("l")).select(
+        ROW, "host", "mark", "l.line", "l.words"
+    )
+    # No line has more components than fingerprints, so this loses none.
+    likely = settle(
+        lines.groupBy("host", "line", "mark")
+        .agg(F.lit(1).alias("one"))
+        .groupBy("host", "line")
+        .agg(F.count("*").alias("n"))
+        .filter(F.col("n") >= min_documents)
+        .select("host", "line")
     )
-    limit = F.greatest(
-        F.lit(min_documents).cast("double"), F.col("host_documents") * (host_permille / 1000)
+    held = settle(
+        lines.alias("a")
+        .join(likely.alias("b"), F.expr("a.line = b.line and a.host <=> b.host"))
+        .select(f"a.{ROW}", "a.host", "a.mark", "a.line", "a.words")
     )
-    wide = counted.filter(
-        (F.col("independent") >= min_documents) & (F.col("independent") * 2 >= F.col("documents"))
+    names = settle(named_marks(held.select("mark").distinct()))
+    # Exact copies are one row before they meet their component.
+    counted = (
+        held.select("host", "line", "mark")
+        .distinct()
+        .join(names, "mark")
+        .select("host", "line", "component")
+        .distinct()
+        .groupBy("host", "line")
+        .agg(F.count("*").alias("documents"))
+        .filter(F.col("documents") >= min_documents)
     )
-    return (
-        wide.alias("l")
+    hosts = (
+        docs.select("host", "mark")
+        .distinct()
+        .join(names, "mark", "left")
+        .select("host", F.coalesce("component", "mark").alias("component"))
+        .distinct()
+        .groupBy("host")
+        .agg(F.count("*").alias("host_documents"))
+    )
+    found = (
+        counted.alias("l")
         .join(hosts.alias("h"), F.expr("l.host <=> h.host"))
-        .filter(F.col("independent") >= limit)
+        .filter(F.col("documents") >= F.col("host_documents") * (host_permille / 1000))
         .select("l.host", "l.line")
     )
+    return found, held
 
 
 def line_quality(
@@ -205,13 +231,9 @@ def line_quality(
     its words and leaves fewer than ``min_left_words`` or than ``min_left_percent``.
     """
     all_docs = measured(docs, id_column, text, host)
-    lines = all_docs.select(ROW, "host", F.explode("lines").alias("l")).select(
-        ROW, "host", "l.line", "l.words", "l.other"
-    )
-    hosts = all_docs.groupBy("host").agg(F.count("*").alias("host_documents"))
-    found = boilerplate(lines, hosts, min_documents, host_permille)
+    found, held = boilerplate(all_docs, min_documents, host_permille)
     removed = (
-        lines.alias("a")
+        held.alias("a")
         .join(found.alias("b"), F.expr("a.line = b.line and a.host <=> b.host"))
         .groupBy(F.col(f"a.{ROW}"))
         .agg(
@@ -225,7 +247,7 @@ def line_quality(
         (left < min_left_words) | (left * 100 < F.col("n_words") * min_left_percent)
     )
     return (
-        all_docs.drop("lines")
+        all_docs.drop("lines", "mark")
         .join(removed, ROW, "left")
         .withColumns(
             {
