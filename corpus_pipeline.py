@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages over the documents table.
 
 Each stage reads what its predecessor kept and all but the last return the
-columns of documents. Quality rules drop documents, line deduplication takes
-repeated lines out of texts, near-deduplication keeps one document of a group,
+columns of documents. Quality rules drop documents and take their hosts' boilerplate lines out of the
+others, line deduplication takes repeated lines out of texts, near-deduplication keeps one document of a group,
 decontamination drops documents that share a window with the benchmark, and the
 mix returns each taken document with the number of its copies.
 """
@@ -18,27 +18,29 @@ from vitrine.llm.cube import mixed_documents
 from vitrine.llm.frames import table
 from vitrine.llm.fuzzy_lines import dedupe_lines
 from vitrine.llm.golay import keep_one_of_each
-from vitrine.llm.quality import keep_good
+from vitrine.llm.quality import good_documents
 from vitrine.llm.winnowing import drop_contaminated
 from vitrine.session import settle, ship_package
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def counted(changed: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns``, with ``n_chars`` following a text that lost lines."""
+    n_chars = F.when(F.col("_gone").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return changed.withColumn("n_chars", n_chars).select(columns)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Good documents without the boilerplate lines of their hosts."""
     ship_package(spark)
-    return keep_good(docs)
+    return counted(good_documents(docs), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Texts without repeated lines; ``n_chars`` follows a text that changed."""
+    """Texts without repeated lines."""
     ship_package(spark)
-    changed = F.col("_gone").isNotNull()
-    return (
-        dedupe_lines(docs)
-        .withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-        .select(docs.columns)
-    )
+    return counted(dedupe_lines(docs), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -87,3 +87,17 @@ def test_copies_do_not_hide_a_template(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
     found = {r.id: r for r in line_quality(docs).collect()}
     assert all(r.n_boilerplate_lines == (0 if i >= 2000 else 1) and r.kept for i, r in found.items())
+
+
+def test_boilerplate_is_taken_out(spark):
+    from corpus_pipeline import quality_rules
+
+    footer = prose(700, 12)
+    rows = [(i, f"{footer}\n\n{prose(i)}\n{footer.upper()}", "h") for i in range(12)]
+    rows += [(100, f"{footer}\n{prose(100)}", "other"), (101, None, "h")]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, n_chars long")
+    found = {r.doc_id: r for r in quality_rules(spark, docs.repartition(3), "").collect()}
+    assert found.keys() == {*range(12), 100}
+    assert all(found[i].text == f"\n{prose(i)}" and found[i].n_chars == len(found[i].text) for i in range(12))
+    assert found[100].text == rows[12][1] and found[100].n_chars == 1
+    assert {r.id: r.gone for r in line_quality(docs).collect()}[3] == [0, 3]

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.llm.frames import ROW, numbered
+from vitrine.llm.fuzzy_lines import without_lines
 from vitrine.llm.golay import named_marks, simhash
 from vitrine.llm.texts import (
     LOWER,
@@ -54,7 +55,7 @@ MIN_LOST_PERCENT = 50
 
 SCHEMA = (
     "id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-    "n_repeat_words long, mark long, lines array<struct<line: long, words: long>>"
+    "n_repeat_words long, mark long, lines array<struct<line: long, words: long, numbers: array<int>>>"
 )
 
 
@@ -107,7 +108,10 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.array([simhash(whole[a:b].split()) for a, b in zip(ends, ends[1:])], np.uint64)
         normal = span_hashes(prefix_sums(plain), words.starts, words.ends)
         line = span_hashes(prefix_sums(normal), low, high)
-        kept, n_words, counts = distinct_lines(line, line_row, high - low, len(offsets) - 1)
+        breaks = np.flatnonzero(data == ord("\n"))
+        starts = lines.starts[held]
+        number = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[line_row])
+        kept, n_words, numbers, counts = distinct_lines(line, line_row, high - low, number, len(offsets) - 1)
         yield pa.RecordBatch.from_arrays(
             [
                 rows.column(0),
@@ -119,7 +123,9 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(repeated_words(raw, words.first, owner)),
                 pa.array(signed(marks)),
                 lists(
-                    pa.StructArray.from_arrays([pa.array(signed(kept)), pa.array(n_words)], ["line", "words"]),
+                    pa.StructArray.from_arrays(
+                        [pa.array(signed(kept)), pa.array(n_words), numbers], ["line", "words", "numbers"]
+                    ),
                     counts,
                 ),
             ],
@@ -128,18 +134,19 @@ def measures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def distinct_lines(
-    line: np.ndarray, row: np.ndarray, words: np.ndarray, n_rows: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct lines of each row: hash, words in all its copies, and how many a row has."""
+    line: np.ndarray, row: np.ndarray, words: np.ndarray, number: np.ndarray, n_rows: int
+) -> tuple[np.ndarray, np.ndarray, pa.ListArray, np.ndarray]:
+    """Distinct lines of each row: hash, words in all its copies, their numbers, and how many a row has."""
     order = np.lexsort((line, row))
     line, row, words = line[order], row[order], words[order]
     new = np.ones(len(line), bool)
     new[1:] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     total = np.add.reduceat(words, at) if len(at) else words
+    numbers = lists(number[order].astype(np.int32), np.diff(np.append(at, len(line))))
     line, row = line[at], row[at]
     counts = np.bincount(row, minlength=n_rows)
-    return line, total.astype(np.int64), counts
+    return line, total.astype(np.int64), numbers, counts
 
 
 def measured(docs: DataFrame, id_column: str, text: str, host: str) -> DataFrame:
@@ -159,14 +166,14 @@ def base_failed() -> Column:
 
 
 def boilerplate(docs: DataFrame, min_documents: int, host_permille: int) -> tuple[DataFrame, DataFrame]:
-    """(host, line) pairs above their host's limit, and (row, host, line, words) of the
-    lines that could be.
+    """(host, line) pairs above their host's limit, and (row, host, line, words,
+    numbers) of the lines that could be.
 
     Counts combine before the shuffle, so a line or a host that holds a large
     share of all rows meets in a task as one row per map task.
     """
     lines = docs.select(ROW, "host", "mark", F.explode("lines").alias("l")).select(
-        ROW, "host", "mark", "l.line", "l.words"
+        ROW, "host", "mark", "l.line", "l.words", "l.numbers"
     )
     # No line has more components than fingerprints, so this loses none.
     likely = settle(
@@ -180,7 +187,7 @@ def boilerplate(docs: DataFrame, min_documents: int, host_permille: int) -> tupl
     held = settle(
         lines.alias("a")
         .join(likely.alias("b"), F.expr("a.line = b.line and a.host <=> b.host"))
-        .select(f"a.{ROW}", "a.host", "a.mark", "a.line", "a.words")
+        .select(f"a.{ROW}", "a.host", "a.mark", "a.line", "a.words", "a.numbers")
     )
     names = settle(named_marks(held.select("mark").distinct()))
     # Exact copies are one row before they meet their component.
@@ -226,7 +233,8 @@ def line_quality(
     """Counts, removed boilerplate and verdict of every document.
 
     Returns id, host, the five counts, n_boilerplate_lines and
-    n_boilerplate_words (what removal takes), base_failed and kept. A document
+    n_boilerplate_words (what removal takes), gone (the numbers of those lines in
+    the text, or null), base_failed and kept. A document
     is depleted, and not kept, when removal takes at least ``min_lost_percent`` of
     its words and leaves fewer than ``min_left_words`` or than ``min_left_percent``.
     """
@@ -239,6 +247,7 @@ def line_quality(
         .agg(
             F.count("*").alias("n_boilerplate_lines"),
             F.sum("a.words").alias("n_boilerplate_words"),
+            F.array_sort(F.flatten(F.collect_list("a.numbers"))).alias("gone"),
         )
     )
     lost = F.coalesce("n_boilerplate_words", F.lit(0))
@@ -261,20 +270,32 @@ def line_quality(
     )
 
 
-def keep_good(docs: DataFrame, **options: str) -> DataFrame:
-    """The documents that :func:`line_quality` keeps, all columns unchanged.
+def good_documents(docs: DataFrame, **options: str) -> DataFrame:
+    """The documents that :func:`line_quality` keeps, without their hosts' boilerplate lines.
 
-    Rows agreeing in id, host and text get one verdict; the key carries a text hash.
+    ``_gone`` holds the numbers of the lines taken out, or null. Rows agreeing in
+    id, host and text get one verdict; the key carries a text hash.
     """
     id_column = options.get("id_column", "doc_id")
     text = options.get("text", "text")
     host = options.get("host", "source")
-    marked = docs.select(
-        F.xxhash64(F.col(id_column), F.col(host), F.col(text), F.octet_length(text)).alias("_key"),
-        F.col(text).alias("text"),
-        F.col(host).alias("source"),
-    )
-    verdicts = line_quality(marked, "_key", "text", "source")
-    rejected = verdicts.filter(~F.col("kept")).select(F.col("id").alias("_rejected")).distinct()
     key = F.xxhash64(F.col(id_column), F.col(host), F.col(text), F.octet_length(text))
-    return docs.join(rejected, key == F.col("_rejected"), "left_anti")
+    marked = docs.select(key.alias("_key"), F.col(text).alias("text"), F.col(host).alias("source"))
+    verdicts = (
+        line_quality(marked, "_key", "text", "source")
+        .filter(~F.col("kept") | F.col("gone").isNotNull())
+        .groupBy(F.col("id").alias("_verdict"))
+        .agg(F.bool_and("kept").alias("_kept"), F.min("gone").alias("_gone"))
+    )
+    plain = docs.drop("_verdict", "_kept", "_gone")
+    return (
+        plain.join(verdicts, key == F.col("_verdict"), "left")
+        .filter(F.coalesce("_kept", F.lit(True)))
+        .withColumn(text, without_lines(F.col(text), F.col("_gone")))
+        .drop("_verdict", "_kept")
+    )
+
+
+def keep_good(docs: DataFrame, **options: str) -> DataFrame:
+    """:func:`good_documents` with the columns of ``docs``."""
+    return good_documents(docs, **options).select(docs.columns)
