@@ -136,3 +136,23 @@ def test_training_learns_order():
         first[:: len(document)] = True
         trainer.train(tokens, first, 2)
     assert score(trainer.model, [document], 2)[0] / len(document) > -0.2
+
+
+def test_every_token_is_a_target_of_the_loss():
+    """Also those that fill no whole lane."""
+
+    class Recording(Trainer):
+        def output(self, states, targets):
+            seen.update(targets.tolist())
+            return super().output(states, targets)
+
+    rng = np.random.RandomState(7)
+    for n in (1, 639, 1281, 3 * 640 + 2):
+        seen: Counter = Counter()
+        tokens = rng.randint(0, 11, n)
+        first = np.zeros(n, bool)
+        first[0] = True
+        trainer = Recording(fresh(np.array([50, 40, 30, 20, 10, 9, 8, 7, 6, 5]), 12, 4), 1)
+        trainer.train(tokens, first, 0)
+        assert seen == Counter(tokens.tolist()) and trainer.tokens == n
+        assert all(np.isfinite(p).all() for p in trainer.model.parameters())

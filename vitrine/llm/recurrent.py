@@ -5,7 +5,7 @@ class and one more class stands for all other words, so a word's probability is
 that of its class times its share within the class. Inputs go straight into the
 gates, one row per word. Training is back-propagation through time, truncated
 to windows of ``STEPS``, with the state carried into the next window; the output
-loss takes a random quarter of the positions of a window, the recurrence all.
+loss takes every position, and what fills up the last lane has no loss.
 Scoring carries the state through a whole document, however long.
 """
 
@@ -21,8 +21,10 @@ STEPS = 16
 LANES = 512
 SCORE_STEPS = 64
 SCORE_LANES = 256
-LOSS_SHARE = 4
+# One of so many positions has a loss: all of them.
+LOSS_SHARE = 1
 RATE = 0.1
+NO_TARGET = -1
 
 
 @dataclass
@@ -179,25 +181,31 @@ class Trainer:
     def train(self, tokens: np.ndarray, first: np.ndarray, end: int) -> None:
         """Documents one after another in ``tokens``, each ending with ``end``; ``first`` marks their starts."""
         lanes = int(min(LANES, max(1, len(tokens) // (STEPS * 40))))
-        length = len(tokens) // lanes
+        length = -(-len(tokens) // lanes)
         if length == 0:
             return
         before = np.concatenate([[end], tokens[:-1]])
-        cut = lambda x: np.ascontiguousarray(x[: lanes * length].reshape(lanes, length).T)
-        inputs, targets, starts = cut(before), cut(tokens), cut(first)
+        filled = lanes * length - len(tokens)
+
+        def cut(x: np.ndarray, rest: int) -> np.ndarray:
+            whole = np.concatenate([x, np.full(filled, rest, x.dtype)])
+            return np.ascontiguousarray(whole.reshape(lanes, length).T)
+
+        inputs, targets, starts = cut(before, end), cut(tokens, NO_TARGET), cut(first, False)
         starts[0] = True
         inputs[0] = end
         state = np.zeros((lanes, HIDDEN), np.float32)
         for low in range(0, length, STEPS):
             state = self.window(inputs[low : low + STEPS], targets[low : low + STEPS], starts[low : low + STEPS], state)
-        self.tokens += lanes * length
+        self.tokens += len(tokens)
 
     def window(self, inputs: np.ndarray, targets: np.ndarray, starts: np.ndarray, state: np.ndarray) -> np.ndarray:
         model = self.model
         kept: dict[str, np.ndarray] = {}
         states = forward(model, inputs, starts, state, kept)
         flat = states.reshape(-1, HIDDEN)
-        picked = np.flatnonzero(self.rng.randint(0, LOSS_SHARE, len(flat)) == 0)
+        wanted = targets.ravel() != NO_TARGET
+        picked = np.flatnonzero(wanted & (self.rng.randint(0, LOSS_SHARE, len(flat)) == 0))
         if len(picked) == 0:
             return states[-1]
         back = np.zeros_like(flat)
