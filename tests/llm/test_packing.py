@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from vitrine.llm.packing import CAPACITY, END, Plan, document_pieces, pack, pieces, sequences
+from vitrine.llm.packing import CAPACITY, END, Encoder, Plan, document_pieces, pack, pieces, sequences
 
 AWKWARD = [
     "Don't STOP — naïve Straße, 12345 €uro and　wide\x0bblanks\x1c here",
@@ -87,6 +87,15 @@ def test_sequences_hold_their_pieces(spark, documents):
         assert r["tokens"] * 4 == len(bytes(r["ids"]))
 
 
+def test_every_letter_and_mark(tokenizer):
+    """Words of every character up to the Greek ones, beside letters, marks and accents."""
+    encode = Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = [a + chr(c) + b for c in range(33, 0x3FF) for a in ("", "ab", "É") for b in ("", "x", ".", "!?'s", "\u0301", "B,")]
+    found = encode.learn(words)
+    for word in words:
+        assert found[word] == np.asarray(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+
+
 @pytest.mark.parametrize("n", [0, 1, 3, 4, 5, 8, 9])
 def test_pieces_end_with_the_end_token(n):
     ids = np.arange(10, 10 + n, dtype="<u4").tobytes()

@@ -19,10 +19,12 @@ no sequences. Other columns of the input are not looked at.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,69 +32,130 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.ordinals import with_ordinals
+from vitrine.session import settle
 
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
 # Words are cut at these four only; any further blank inside a word is left to the tokenizer.
 WORD = re.compile(r"[^ \t\n\r]+")
-WORDS_AT_ONCE = 8192
-CACHED_WORDS = 1 << 17
-CACHED_LENGTH = 64
+# Marks that end words. Behind a letter or digit they are tokens of their own.
+MARKS = ".,;:!?"
+# The last letter whose lower case and composed form are beyond doubt.
+LATIN = "\u024f"
+WORDS_AT_ONCE = 1 << 16
+LONG_TEXT = 1 << 20
+CACHED_WORDS = 1 << 18
+CACHED_BYTES = 1 << 25
 ID_TYPE = "<u4"
 ROWS_OUT = 4096
 
 PIECES = "id {key}, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
-
 class Encoder:
-    """Little-endian 32-bit ids of texts, a bounded number of words at a time.
+    """Little-endian 32-bit ids of words.
 
     The vocabulary drops white space before its merges and joins nothing across
-    it, so the ids of a text are those of its words.
+    it, so the ids of a text are those of its words. Words seen lately are kept
+    in two generations of bounded size.
     """
 
     def __init__(self, path: str) -> None:
-        self.tokenizer = _tokenizer(path)
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        # What the file's rules do to lower-case Latin letters, namely nothing but to write them as bytes.
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.held = 0
+
+    def learn(self, words: Iterable[str]) -> dict[str, bytes]:
+        """A table of ids that holds the given words."""
+        if len(self.known) > CACHED_WORDS or self.held > CACHED_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
+        known, older = self.known, self.older
+        new, stems, asked = [], [], set()
+        for word in set(words):
+            if word in known:
+                continue
+            if word in older:
+                known[word] = older[word]
+                continue
+            # A word with marks behind it is that word and the marks, which are known sooner.
+            stem = word.rstrip(MARKS)
+            last = stem[-1:]
+            if not last.isalnum() or not (last.isascii() or last.islower() and last <= LATIN):
+                stem = word
+            elif stem.isascii() and stem.isalnum():
+                stem = stem.lower()
+            new.append(word)
+            stems.append(stem)
+            asked.add(stem)
+            if len(stem) < len(word):
+                asked.add(word[len(stem) :])
+        letters, others = [], []
+        for word in asked:
+            if word not in known:
+                self.held += len(word)
+                plain = word.isalpha() and word.islower() and max(word) <= LATIN
+                (letters if plain else others).append(word)
+        for tokenizer, unknown in ((self.letters, letters), (self.tokenizer, others)):
+            for word, found in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
+                known[word] = pack_ids(found.ids)
+        for word, stem in zip(new, stems):
+            if len(stem) < len(word):
+                known[word] = known[stem] + known[word[len(stem) :]]
+            else:
+                known[word] = known[stem]
+        return known
+
+    def texts(self, texts: Iterable[str]) -> Iterator[Iterator[bytes]]:
+        """Ids of each text in stretches; short texts are looked up together."""
+        held: list[list[str]] = []
+        total = 0
+        for text in texts:
+            if len(text) > LONG_TEXT:
+                yield from self._held(held)
+                held, total = [], 0
+                yield self._stretches(text)
+                continue
+            held.append(WORD.findall(text))
+            total += len(held[-1])
+            if total > WORDS_AT_ONCE:
+                yield from self._held(held)
+                held, total = [], 0
+        yield from self._held(held)
+
+    def _held(self, held: list[list[str]]) -> Iterator[Iterator[bytes]]:
+        ids = self.learn(w for words in held for w in words)
+        for words in held:
+            yield iter([b"".join([ids[w] for w in words])])
+
+    def _stretches(self, text: str) -> Iterator[bytes]:
+        found = (m.group() for m in WORD.finditer(text))
+        while words := list(islice(found, WORDS_AT_ONCE)):
+            ids = self.learn(words)
+            yield b"".join([ids[w] for w in words])
+
 
-    def _ids(self, words: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(words, add_special_tokens=False)
-        return [np.asarray(e.ids, ID_TYPE).tobytes() for e in found]
-
-    def words(self, words: list[str]) -> bytes:
-        known = self.known
-        new = list({w for w in words if w not in known})
-        if not new:
-            return b"".join([known[w] for w in words])
-        ids = dict(zip(new, self._ids(new)))
-        out = b"".join([known[w] if w in known else ids[w] for w in words])
-        if len(known) + len(ids) > CACHED_WORDS:
-            known.clear()
-        known.update((w, i) for w, i in ids.items() if len(w) <= CACHED_LENGTH)
-        return out
-
-    def text(self, text: str) -> Iterator[bytes]:
-        held: list[str] = []
-        for found in WORD.finditer(text):
-            held.append(found.group())
-            if len(held) == WORDS_AT_ONCE:
-                yield self.words(held)
-                held = []
-        yield self.words(held)
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder a worker process, with the words that earlier tasks have seen."""
+    return Encoder(path)
 
 
 def document_pieces(ids: Iterator[bytes], capacity: int) -> Iterator[tuple[int, int, bytes]]:
     """(piece, start, ids) of one document, its end token last."""
     width = np.dtype(ID_TYPE).itemsize
-    end = np.asarray([END], ID_TYPE).tobytes()
+    end = pack_ids([END])
     held = b""
     piece = 0
     for more in ids:
@@ -128,9 +191,9 @@ def pieces(
         if vocabulary is None:
             import public_tokenizers
 
-            encoder = Encoder(public_tokenizers.path(VOCABULARY))
+            encode = encoder(public_tokenizers.path(VOCABULARY))
         else:
-            encoder = Encoder(vocabulary)
+            encode = encoder(vocabulary)
         for batch in batches:
             names, rows = batch.column(0), []
             owner: list[int] = []
@@ -149,9 +212,9 @@ def pieces(
                     names=["id", "piece", "start", "length", "ids_crc32", "ids"],
                 )
 
-            for row in range(batch.num_rows):
-                body = batch.column(1)[row].as_py() or ""
-                for found in document_pieces(encoder.text(body), capacity):
+            bodies = (batch.column(1)[row].as_py() or "" for row in range(batch.num_rows))
+            for row, ids in enumerate(encode.texts(bodies)):
+                for found in document_pieces(ids, capacity):
                     owner.append(row)
                     rows.append(found)
                     if len(rows) == ROWS_OUT:
@@ -270,6 +333,8 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Only the histogram of lengths, ``capacity`` rows at most, comes to the
     driver; the plan made of it goes out with the tasks.
     """
+    # Written first, as the sort looks at its input twice.
+    cut = settle(cut)
     # Ids that agree are told apart by their place in the sort's written copy.
     order = [F.col("length").desc(), F.col("id"), F.col("piece"), F.col("ids_crc32")]
     placed = with_ordinals(cut, order, "place")
