@@ -2,10 +2,11 @@
 
 Single-pass in-memory indexing: a task counts terms in memory, and when its
 block is full writes the block out as runs sorted by term, one to each hash
-shard. A shard's runs meet in one task as short chunks in the order of their
-first terms and are merged over a heap into frequencies; only chunks that
-overlap the current term are open. No term has more than one posting a block
-and group, so a frequent term is no hot key.
+shard. A shard's runs meet in one task as short chunks, which Spark's sorter
+merges (its spills over a heap) into the order of their first terms; postings
+of equal terms are summed as soon as no chunk to come can hold the term, so
+only overlapping chunks are open. No term has more than one posting a block and
+group, so a frequent term is no hot key.
 
 A term that a source does not use still has a share there, the same for all
 such terms. Pairs of sources are therefore summed as if no term were common to
@@ -21,7 +22,6 @@ input are not looked at.
 
 from __future__ import annotations
 
-import heapq
 import re
 import zlib
 from collections import Counter
@@ -48,6 +48,7 @@ ENTRY_BYTES = 240
 SCAN_BYTES = 1 << 20
 CHUNK_POSTINGS = 512
 CHUNKS_OUT = 128
+STRETCH_POSTINGS = 1 << 17
 PAIRS_AT_ONCE = 1 << 19
 PAIRS_HELD = 1 << 20
 
@@ -136,72 +137,63 @@ def _index(shards: int):
     return run
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes, str, int, int]]:
-    """(lang, term, source, count, documents) of chunks that come in the order of lang and first term."""
-    heap: list = []
-    chunk = 0
-
-    def push(held: Iterator) -> None:
-        nonlocal chunk
-        for posting in held:
-            # The number keeps the heap from comparing iterators.
-            heapq.heappush(heap, (posting, chunk, held))
-            chunk += 1
-            return
-
-    def pop(below: tuple[str, bytes] | None) -> Iterator[tuple]:
-        while heap and (below is None or heap[0][0][:2] < below):
-            posting, number, held = heap[0]
-            yield posting
-            after = next(held, None)
-            if after is None:
-                heapq.heappop(heap)
-            else:
-                heapq.heapreplace(heap, (after, number, held))
+POSTINGS = ["term", "source", "count", "documents"]
 
-    for batch in batches:
-        for row in range(batch.num_rows):
-            lang, first = batch.column(1)[row].as_py(), batch.column(2)[row].as_py()
-            yield from pop((lang, first))
-            lanes = [batch.column(c)[row].values.to_pylist() for c in range(3, 7)]
-            push(zip([lang] * len(lanes[0]), *lanes))
-    yield from pop(None)
 
+def _kept(lang: str, postings: pa.Table, least: int) -> Iterator[pa.RecordBatch]:
+    """Frequencies of the terms that ``least`` documents hold, all their postings given."""
+    sums = [("count", "sum"), ("documents", "sum")]
+    terms = postings.group_by("term", use_threads=False).aggregate(sums)
+    terms = terms.filter(pc.greater_equal(terms.column("documents_sum"), least))
+    place = pc.index_in(postings.column("term"), value_set=terms.column("term").combine_chunks())
+    postings = postings.append_column("place", place).filter(pc.is_valid(place))
+    found = postings.group_by(["place", "source"], use_threads=False).aggregate([("count", "sum")])
+    place = found.column("place").to_numpy()
+    leads = np.zeros(len(place), bool)
+    leads[np.unique(place, return_index=True)[1]] = True
+    yield from pa.table(
+        [
+            pa.array([lang] * len(place), pa.string()),
+            terms.column("term").take(pa.array(place)).cast(pa.string()),
+            found.column("source"),
+            found.column("count_sum"),
+            terms.column("count_sum").take(pa.array(place)),
+            pa.array(leads),
+        ],
+        names=["lang", "term", "source", "count", "lang_count", "leads"],
+    ).to_batches()
 
-def _frequencies(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        at: tuple[str, bytes] | None = None
-        sources: dict[str, int] = {}
-        documents = 0
-
-        def close() -> None:
-            if at is None or documents < least:
-                return
-            total = sum(sources.values())
-            for i, (source, count) in enumerate(sources.items()):
-                rows.append((at[0], at[1], source, count, total, i == 0))
-
-        def written() -> pa.RecordBatch:
-            kinds = [pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.bool_()]
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
-            columns[1] = columns[1].cast(pa.string())
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "term", "source", "count", "lang_count", "leads"])
-
-        for lang, term, source, count, seen in merged(batches):
-            if (lang, term) != at:
-                close()
-                at, sources, documents = (lang, term), {}, 0
-                if len(rows) >= 8192:
-                    yield written()
-                    rows = []
-            sources[source] = sources.get(source, 0) + count
-            documents += seen
-        close()
-        if rows:
-            yield written()
 
-    return run
+def merged(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Frequencies from chunks that come in the order of lang and first term.
+
+    Chunks are opened a stretch at a time. No later one reaches below the first
+    term of the last one opened, so terms below it are complete.
+    """
+    at: str | None = None
+    held: list[pa.Table] = []
+    for batch in batches:
+        langs, firsts = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+        upto = np.cumsum(pc.list_value_length(batch.column(3)).to_numpy())
+        low = 0
+        while low < batch.num_rows:
+            if langs[low] != at:
+                if held:
+                    yield from _kept(at, pa.concat_tables(held), least)
+                at, held = langs[low], []
+            before = upto[low - 1] if low else 0
+            high = max(int(np.searchsorted(upto, before + STRETCH_POSTINGS, "right")), low + 1)
+            while langs[high - 1] != at:
+                high -= 1
+            opened = [batch.column(c).slice(low, high - low).flatten() for c in range(3, 7)]
+            held.append(pa.table(opened, names=POSTINGS))
+            together = pa.concat_tables(held)
+            below = pc.less(together.column("term"), firsts[high - 1])
+            yield from _kept(at, together.filter(below), least)
+            held = [together.filter(pc.invert(below))]
+            low = high
+    if held:
+        yield from _kept(at, pa.concat_tables(held), least)
 
 
 def frequencies(documents: DataFrame, least: int = MIN_DOCUMENTS, shards: int | None = None) -> DataFrame:
@@ -213,7 +205,7 @@ def frequencies(documents: DataFrame, least: int = MIN_DOCUMENTS, shards: int |
     shards = shards or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = documents.select("lang", "source", "text").mapInArrow(_index(shards), RUNS)
     dealt = runs.repartitionById(shards, F.col("shard")).sortWithinPartitions("lang", "first")
-    return dealt.mapInArrow(_frequencies(least), FREQUENCIES)
+    return dealt.mapInArrow(lambda batches: merged(batches, least), FREQUENCIES)
 
 
 def share(count: Column, total: Column, terms: Column) -> Column:
