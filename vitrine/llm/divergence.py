@@ -26,6 +26,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,9 @@ BLOCK_BYTES = 48 << 20
 ENTRY_BYTES = 240
 SCAN_BYTES = 1 << 20
 CHUNK_POSTINGS = 512
+# Occurrences below, documents above this bit.
+DOCUMENT_SHIFT = 40
+ONE_DOCUMENT = 1 << DOCUMENT_SHIFT
 CHUNKS_OUT = 128
 STRETCH_POSTINGS = 1 << 17
 PAIRS_AT_ONCE = 1 << 19
@@ -68,58 +72,70 @@ def term_lists(text: bytes) -> Iterator[list[bytes]]:
 
 
 class Block:
-    """Occurrences and documents of terms by (lang, source)."""
+    """Occurrences and documents of terms by (lang, source), both in one number a term."""
 
     def __init__(self) -> None:
-        self.groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        self.groups: dict[tuple[str, str], dict[bytes, int]] = {}
         self.held = 0
 
     def add(self, lang: str, source: str, text: bytes) -> None:
-        counts, documents = self.groups.setdefault((lang, source), (Counter(), Counter()))
-        distinct: set[bytes] = set()
+        found: Counter = Counter()
         for terms in term_lists(text):
-            found = set(terms)
-            new = [len(t) for t in found if t not in counts]
-            self.held += sum(new) + ENTRY_BYTES * len(new)
-            counts.update(terms)
-            distinct |= found
-        documents.update(distinct)
+            found.update(terms)
+        group = self.groups.setdefault((lang, source), {})
+        before = len(group)
+        size = group.get
+        for term, count in found.items():
+            group[term] = size(term, 0) + count + ONE_DOCUMENT
+        new = len(group) - before
+        # New terms are those put in last.
+        self.held += ENTRY_BYTES * new + sum(map(len, islice(reversed(group), new)))
 
     def runs(self, shards: int) -> Iterator[pa.RecordBatch]:
         """The block as term-sorted runs, one a shard and language, in chunks."""
-        dealt: dict[tuple[int, str], list[tuple[bytes, str, int, int]]] = {}
-        for (lang, source), (counts, documents) in self.groups.items():
-            for term, count in counts.items():
-                shard = zlib.crc32(term) % shards
-                dealt.setdefault((shard, lang), []).append((term, source, count, documents[term]))
+        by_lang: dict[str, list[tuple[str, dict[bytes, int]]]] = {}
+        for (lang, source), group in self.groups.items():
+            by_lang.setdefault(lang, []).append((source, group))
         self.groups, self.held = {}, 0
-        rows: list[tuple[int, str, list]] = []
-        for (shard, lang), run in dealt.items():
-            run.sort()
-            for low in range(0, len(run), CHUNK_POSTINGS):
-                rows.append((shard, lang, run[low : low + CHUNK_POSTINGS]))
-                if len(rows) == CHUNKS_OUT:
-                    yield _chunks(rows)
-                    rows = []
-        if rows:
-            yield _chunks(rows)
-
-
-def _chunks(rows: list[tuple[int, str, list]]) -> pa.RecordBatch:
-    sizes = np.asarray([len(postings) for _s, _l, postings in rows])
-    terms, sources, counts, documents = zip(*(p for _s, _l, postings in rows for p in postings))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([shard for shard, _l, _p in rows], pa.int32()),
-            pa.array([lang for _s, lang, _p in rows], pa.string()),
-            pa.array([postings[0][0] for _s, _l, postings in rows], pa.binary()),
-            lists(pa.array(terms, pa.binary()), sizes),
-            lists(pa.array(sources, pa.string()), sizes),
-            lists(pa.array(counts, pa.int64()), sizes),
-            lists(pa.array(documents, pa.int64()), sizes),
-        ],
-        names=["shard", "lang", "first", "terms", "sources", "counts", "documents"],
-    )
+        for lang, held in by_lang.items():
+            if any(group for _s, group in held):
+                yield from _chunks(lang, held, shards)
+
+
+def _chunks(lang: str, held: list[tuple[str, dict[bytes, int]]], shards: int) -> Iterator[pa.RecordBatch]:
+    terms = [term for _s, group in held for term in group]
+    both = np.fromiter((n for _s, group in held for n in group.values()), np.int64, len(terms))
+    shard = np.fromiter((zlib.crc32(term) % shards for term in terms), np.int32, len(terms))
+    owner = np.repeat(np.arange(len(held)), [len(group) for _s, group in held])
+    names = pa.array([source for source, _g in held], pa.string())
+    table = pa.table({"shard": shard, "term": pa.array(terms, pa.binary())})
+    order = pc.sort_indices(table, [("shard", "ascending"), ("term", "ascending")])
+    place = order.to_numpy()
+    shard, both = shard[place], both[place]
+    sorted_terms = table.column("term").combine_chunks().take(order)
+    # A chunk ends with its shard or when it is full.
+    begin = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
+    within = np.arange(len(shard)) - np.repeat(begin, np.diff(np.append(begin, len(shard))))
+    first = np.flatnonzero(within % CHUNK_POSTINGS == 0)
+    columns = [
+        sorted_terms,
+        names.take(pa.array(owner[place])),
+        pa.array(both & (ONE_DOCUMENT - 1)),
+        pa.array(both >> DOCUMENT_SHIFT),
+    ]
+    for low in range(0, len(first), CHUNKS_OUT):
+        starts = first[low : low + CHUNKS_OUT]
+        end = first[low + CHUNKS_OUT] if low + CHUNKS_OUT < len(first) else len(shard)
+        sizes = np.diff(np.append(starts, end))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(shard[starts]),
+                pa.array([lang] * len(starts), pa.string()),
+                sorted_terms.take(pa.array(starts)),
+                *(lists(c.slice(starts[0], end - starts[0]), sizes) for c in columns),
+            ],
+            names=["shard", "lang", "first", "terms", "sources", "counts", "documents"],
+        )
 
 
 def _index(shards: int):
@@ -210,9 +226,12 @@ def frequencies(documents: DataFrame, least: int = MIN_DOCUMENTS, shards: int |
 
 def share(count: Column, total: Column, terms: Column) -> Column:
     """A smoothed share in whole parts of ``SCALE``, from 1 up; exact for any count."""
-    wide = F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)")
-    size = F.greatest(total + terms, F.lit(1)).cast("decimal(20,0)")
-    return F.call_function("div", wide, size) + 1
+    more, size = count + 1, F.greatest(total + terms, F.lit(1))
+    narrow = F.call_function("div", more * F.lit(SCALE).cast("long"), size)
+    wide = F.call_function(
+        "div", F.lit(SCALE).cast("decimal(10,0)") * more.cast("decimal(20,0)"), size.cast("decimal(20,0)")
+    )
+    return F.when(more < SCALE, narrow).otherwise(wide) + 1
 
 
 def excess(p: Column, q: Column) -> Column:
@@ -228,7 +247,7 @@ def groups(documents: DataFrame, counted: DataFrame) -> DataFrame:
     )
     every = documents.select("lang", "source").distinct()
     held = every.join(sizes, ["lang", "source"], "left").join(whole, "lang", "left").na.fill(0)
-    return settle(held.withColumn("rest", share(F.lit(0), F.col("total"), F.col("terms"))))
+    return settle(held.withColumn("rest", share(F.lit(0).cast("long"), F.col("total"), F.col("terms"))))
 
 
 class PairSums:
