@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import math
+import random
+import re
 
 import numpy as np
 import pytest
@@ -216,10 +218,9 @@ def products(spark):
     )
 
 
-@pytest.mark.parametrize("limits", PATHS[:1] + [{"broadcast_limit": 0, "block_docs": 2, "block_requests": 1}])
-def test_lexical_scores(spark, limits):
+def test_lexical_scores(spark):
     queries = spark.createDataFrame([("q", "Lamp, lamp a"), ("none", "? !")], "request_id string, query string")
-    got = {r["id"]: (r["score"], r["rank"]) for r in lexical.lexical_top_k(products(spark), queries, **limits).collect()}
+    got = {r["id"]: (r["score"], r["rank"]) for r in lexical.lexical_top_k(products(spark), queries).collect()}
     # The query repeats its token; one-letter tokens do not count.
     assert got == {
         "b": (2 * (4 + 3 + 1), 1),
@@ -228,6 +229,39 @@ def test_lexical_scores(spark, limits):
     }
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_lexical_against_every_pair(spark, seed):
+    """Substrings inside runs, repeated tokens, unrated and negative documents, equal scores."""
+    rng = random.Random(seed)
+    parts = ["ab", "abc", "bca", "xab", "cabx", "zz9", "9", "Übca", "a-b", "zz", "q"]
+    text = lambda n: "".join(rng.choice(parts) + rng.choice(["", " ", "-", "é"]) for _ in range(n))
+    docs = [
+        (f"d{i:03}", rng.choice([None, text(2)]), rng.choice([None, text(6)]), rng.choice(["ab", "ABC", "c d", None]),
+         rng.choice([None, 1.0, 4.0, 4.5]), rng.choice([None, 0.0, 9.0, 9.0]))
+        for i in range(120)
+    ]
+    asked = [(f"q{i}", text(rng.randrange(1, 4))) for i in range(25)] + [("none", "? é"), ("same", "ab zz"), ("again", "zz AB")]
+    schema = "id string, title string, description string, category string, rating double, rating_count double"
+    got = lexical.lexical_top_k(
+        spark.createDataFrame(docs, schema), spark.createDataFrame(asked, "request_id string, query string"), 7
+    )
+    split = lambda s: [t for t in re.split("[^a-z0-9]+", s.lower()) if len(t) > 1]
+    wanted = []
+    for name, words in asked:
+        scored = []
+        for i, title, description, category, rating, count in docs:
+            if rating is None or count is None or not split(words):
+                continue
+            title, description, category = ((v or "").lower() for v in (title, description, category))
+            whole = f"{title} {description} {category}"
+            score = sum(4 * (t in title) + 3 * (t == category) + (t in whole) for t in split(words))
+            score += 0.4 * math.log10(count + 1) + 0.5 * (rating - 4)
+            if score > 0:
+                scored.append((-round(score, 6), i))
+        wanted += [(name, i, -s, place) for place, (s, i) in enumerate(sorted(scored)[:7], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(wanted)
+
+
 def test_similar_scores(spark):
     seeds = spark.createDataFrame([("r", "a"), ("x", "unknown")], "request_id string, seed_id string")
     got = {r["id"]: r["score"] for r in lexical.similar_items(products(spark), seeds).collect()}

@@ -14,11 +14,16 @@ from pyspark.sql import functions as F
 from vitrine import settings
 from vitrine.functions.text import tokens
 from vitrine.operators import blockwise
+from vitrine.operators.inverted import token_hits
+from vitrine.operators.topk import top_k_per_key
+from vitrine.session import settle
 
 # Weights of the two rankings.
 TITLE_WEIGHT = 4.0
 CATEGORY_WEIGHT = 3.0
 TEXT_WEIGHT = 1.0
+# What one token can add at most.
+MOST_WEIGHT = TITLE_WEIGHT + CATEGORY_WEIGHT + TEXT_WEIGHT
 RATING_COUNT_WEIGHT = 0.4
 RATING_WEIGHT = 0.5
 RATING_CENTRE = 4.0
@@ -47,33 +52,6 @@ def _presence(texts: pa.ChunkedArray, known: pa.Array) -> np.ndarray:
     return found
 
 
-@dataclass
-class TokenScorer:
-    """Substring matches of query tokens plus a popularity term; only > 0 counts."""
-
-    doc_columns = ["low_title", "low_category", "low_text", "popularity"]
-    request_columns = ["tokens"]
-    ascending = False
-
-    def pack(self, requests: pa.Table) -> dict[str, Any]:
-        known, counts = _token_table(requests)
-        return {"known": known, "counts": counts, "blank": counts.sum(axis=0) == 0}
-
-    def score(self, packed: dict[str, Any], docs: pa.Table) -> np.ndarray:
-        known, counts = packed["known"], packed["counts"]
-        weights = TITLE_WEIGHT * _presence(docs.column("low_title"), known)
-        weights += TEXT_WEIGHT * _presence(docs.column("low_text"), known)
-        if len(known):
-            spot = pc.index_in(docs.column("low_category"), value_set=known)
-            spot = spot.combine_chunks().fill_null(-1).to_numpy(zero_copy_only=False)
-            rows = np.nonzero(spot >= 0)[0]
-            weights[rows, spot[rows]] += CATEGORY_WEIGHT
-        scores = weights @ counts + docs.column("popularity").to_numpy()[:, None]
-        scores[~(scores > 0)] = np.nan
-        scores[:, packed["blank"]] = np.nan
-        return scores
-
-
 @dataclass
 class SimilarScorer:
     """Same category, shared title tokens and price closeness to a seed item."""
@@ -132,17 +110,80 @@ def _pool(pool: DataFrame) -> DataFrame:
     )
 
 
-def lexical_top_k(
-    pool: DataFrame, queries: DataFrame, k: int = settings.LEXICAL_TOP_K, **limits: int
-) -> DataFrame:
+def _bags(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(bag, request_id)`` and ``(bag, token, times)``; queries of the same tokens are one bag."""
+    asked = queries.select("request_id", tokens(F.col("query")).alias("tokens")).filter(F.size("tokens") > 0)
+    asked = asked.withColumn("bag", F.array_join(F.array_sort("tokens"), " "))
+    words = asked.select("bag").distinct().select("bag", F.explode(F.split("bag", " ")).alias("token"))
+    return asked.select("bag", "request_id"), words.groupBy("bag", "token").agg(F.count(F.lit(1)).alias("times"))
+
+
+def _bag_scores(hits: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """``(bag, id, score)`` of matching documents, those that cannot be among the best ``k`` left out.
+
+    ``hits`` holds token, id, weight and popularity. The k-th best document of
+    any one token bounds a bag's k-th best from below, and a hit that stays
+    below that bound with all other tokens at their most is not passed on.
+    """
+    score = F.col("weight") + F.col("popularity")
+    best = top_k_per_key(hits.select("token", "id", score.alias("score")), ["token"], [F.col("score").desc()], k)
+    floors = best.filter(F.col("rank") == k).select("token", F.col("score").alias("floor"))
+    bounds = (
+        words.join(floors, "token", "left")
+        .groupBy("bag")
+        .agg(F.max("floor").alias("floor"), F.sum(F.col("times") * MOST_WEIGHT).alias("most"))
+    )
+    asked = words.join(bounds, "bag")
+    reach = (
+        F.col("popularity") + F.col("times") * F.col("weight") + F.col("most") - F.col("times") * MOST_WEIGHT
+    )
+    # Scores are rounded before they are compared.
+    near = F.col("floor").isNull() | (reach >= F.col("floor") - 10.0**-settings.DIST_PLACES)
+    return (
+        hits.join(asked, "token")
+        .filter(near)
+        .groupBy("bag", "id")
+        .agg((F.sum(F.col("times") * F.col("weight")) + F.max("popularity")).alias("score"))
+    )
+
+
+def lexical_top_k(pool: DataFrame, queries: DataFrame, k: int = settings.LEXICAL_TOP_K) -> DataFrame:
     """``(request_id, id, score, rank)`` for each query with at least one token.
 
-    ``queries`` holds ``request_id`` and ``query``.
+    ``pool`` holds a unique id, title, description, category, rating and
+    rating_count; ``queries`` holds ``request_id`` and ``query``. A document
+    that matches no token still scores by its popularity, so the ``k`` most
+    popular ones stand by for every query. Only scores above 0 count, and a
+    document without ratings has none.
     """
-    requests = queries.select("request_id", tokens(F.col("query")).alias("tokens")).filter(
-        F.size("tokens") > 0
+    rated = _pool(pool).filter(F.col("popularity").isNotNull() & ~F.isnan("popularity"))
+    requests, words = _bags(queries)
+    words = settle(words)
+    found = token_hits(rated, words, "low_title")
+    # The category is a part of the text, so a token that is the category has a hit there.
+    weight = (
+        TEXT_WEIGHT
+        + F.when(F.col("in_title"), TITLE_WEIGHT).otherwise(0.0)
+        + F.when(F.col("low_category") == F.col("token"), CATEGORY_WEIGHT).otherwise(0.0)
+    )
+    hits = settle(found.select("token", "id", "popularity", weight.alias("weight")))
+    matched = _bag_scores(hits, words, k)
+    liked = rated.filter("popularity > 0").select("id", "popularity")
+    rounded = F.round("popularity", settings.DIST_PLACES)
+    # At most k rows.
+    standing = liked.orderBy(rounded.desc(), "id").limit(k).collect()
+    scores = matched
+    if standing:
+        listed = F.array(*(F.struct(F.lit(r["id"]).alias("id"), F.lit(r["popularity"]).alias("score")) for r in standing))
+        stood_by = words.select("bag").distinct().select("bag", F.inline(listed))
+        scores = matched.unionByName(stood_by).groupBy("bag", "id").agg(F.max("score").alias("score"))
+    ranked = top_k_per_key(
+        scores.filter("score > 0").withColumn("score", F.round("score", settings.DIST_PLACES)),
+        ["bag"],
+        [F.col("score").desc(), F.col("id")],
+        k,
     )
-    return blockwise.score_top_k(_pool(pool), requests, TokenScorer(), k, **limits)
+    return requests.join(ranked, "bag").select("request_id", "id", "score", "rank")
 
 
 def popular(pool: DataFrame, k: int = settings.LEXICAL_TOP_K) -> DataFrame:
