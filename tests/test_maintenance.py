@@ -11,6 +11,7 @@ from vitrine.operators.ordinals import with_ordinals, with_running_total
 from vitrine.plans.backfill_job import backfill
 from vitrine.session import ensure_checkpoint_dir
 from vitrine.sources import scans
+from vitrine.sources.bucketed import BucketedTable
 
 EVENT = "event_id long, doc_id string, pipeline_id string, stage string, ts_ms long"
 
@@ -229,11 +230,65 @@ def test_checkpoint_folder_is_the_named_one(spark):
 
 
 def test_one_row_per_key(spark):
-    """Repeated keys in rows and patches: the last one holds."""
-    target = spark.createDataFrame([("a", 1), ("b", 1)], "id string, n int")
-    rows = spark.createDataFrame([("a", 2), ("a", 3), ("c", 4)], "id string, n int").coalesce(1)
-    assert sorted(map(tuple, tables.upsert(target, rows).collect())) == [("a", 3), ("b", 1), ("c", 4)]
-    assert sorted(map(tuple, tables.patch_columns(target, rows).collect())) == [("a", 3), ("b", 1)]
+    """Repeated keys in rows and patches: the first by version holds, wherever Spark has put the rows."""
+    target = spark.createDataFrame([("a", 1, 0), ("b", 1, 0)], "id string, n int, sequence int")
+    rows = spark.createDataFrame([(k, 10 * n, n) for n in range(40) for k in "ac"], "id string, n int, sequence int")
+    for dealt in (rows.repartition(5), rows.repartition(3, "n"), rows.coalesce(1)):
+        last = tables.last_written(dealt)
+        got = tables.upsert(target, dealt, version=last).select("id", "n")
+        assert sorted(map(tuple, got.collect())) == [("a", 390), ("b", 1), ("c", 390)]
+        got = tables.patch_columns(target, dealt, version=last).select("id", "n")
+        assert sorted(map(tuple, got.collect())) == [("a", 390), ("b", 1)]
+
+
+def test_repeated_keys_without_a_version_are_refused(spark):
+    target = spark.createDataFrame([("a", 1)], "id string, n int")
+    once = spark.createDataFrame([("a", 2), ("b", 3)], "id string, n int")
+    assert sorted(map(tuple, tables.upsert(target, once).collect())) == [("a", 2), ("b", 3)]
+    with pytest.raises(Exception, match="several rows and no version for key b"):
+        tables.upsert(target, once.union(once.filter("id = 'b'"))).collect()
+
+
+def bucket_files(folder):
+    return {p: p.stat().st_mtime_ns for p in folder.rglob("bucket=*/*.parquet")}
+
+
+def test_bucketed_table_touches_its_buckets_only(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path / "t"), buckets=8)
+    assert not table.exists() and table.beside(spark.createDataFrame([("a",)], "id string")) is None
+    empty = spark.createDataFrame([], "id string, n int")
+    assert table.upsert(empty) is None and table.patch(empty) is None
+    assert table.upsert(spark.createDataFrame([(f"k{i}", i) for i in range(100)], "id string, n int")) == 0
+    before = bucket_files(tmp_path / "t")
+    assert table.upsert(spark.createDataFrame([("k3", -3), ("k3", -4), ("new", 7)], "id string, n int"), version=[F.col("n")]) == 1
+    assert table.patch(spark.createDataFrame([("k9", -9), ("absent", 1)], "id string, n int")) == 2
+    after = bucket_files(tmp_path / "t")
+    assert {p: after[p] for p in before} == before
+    assert len({p.parent.name for p in after if "folder=1" in str(p)}) <= 2
+    wanted = {f"k{i}": i for i in range(100)} | {"k3": -4, "new": 7, "k9": -9}
+    assert {r["id"]: r["n"] for r in table.read().collect()} == wanted and table.read().count() == 101
+    some = table.beside(spark.createDataFrame([("k9",)], "id string"))
+    assert "k9" in {r["id"] for r in some.collect()} and some.count() < 60
+    # Columns that come later are null in older buckets.
+    table.upsert(spark.createDataFrame([("k5", 1, "x")], "id string, n int, extra string"))
+    assert {r["id"] for r in table.read().filter("extra = 'x'").collect()} == {"k5"}
+    with pytest.raises(ValueError, match="has 8 buckets"):
+        BucketedTable(spark, str(tmp_path / "t"), buckets=4).read()
+
+
+def test_write_that_dies_leaves_the_table(spark, tmp_path):
+    table = BucketedTable(spark, str(tmp_path / "t"), buckets=4)
+    table.upsert(spark.createDataFrame([("a", 1), ("b", 2)], "id string, n int"))
+    broken = spark.createDataFrame([("a", 5), ("c", 6)], "id string, n int").withColumn(
+        "n", F.when(F.col("id") == "c", F.raise_error(F.lit("lost"))).otherwise(F.col("n"))
+    )
+    with pytest.raises(Exception, match="lost"):
+        table.upsert(broken)
+    # A folder without a manifest row is no part of the table, and the next write takes its place.
+    (tmp_path / "t" / "data" / "folder=1" / "bucket=0").mkdir(parents=True)
+    assert {r["id"]: r["n"] for r in table.read().collect()} == {"a": 1, "b": 2}
+    assert table.upsert(spark.createDataFrame([("a", 9)], "id string, n int")) == 1
+    assert {r["id"]: r["n"] for r in table.read().collect()} == {"a": 9, "b": 2}
 
 
 def test_stored_bytes_are_written_once(spark, tmp_path):

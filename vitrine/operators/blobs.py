@@ -140,7 +140,9 @@ def fetch_contents(rows: DataFrame, fetch: Callable[[str], bytes]) -> DataFrame:
 def patch_refs(docs: DataFrame, stored: DataFrame) -> DataFrame:
     """Documents with the new references of the rows that were stored."""
     done = stored.filter(F.col("ref").isNotNull())
-    return patch_columns(docs, done.select("id", F.col("ref").alias("image_blob")))
+    return patch_columns(
+        docs, done.select("id", F.col("ref").alias("image_blob")), version=[F.col("image_blob")]
+    )
 
 
 def referenced(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vitrine import settings
 from vitrine.functions.text import strip
 from vitrine.operators.products import vector_attributes
-from vitrine.operators.tables import upsert
+from vitrine.operators.tables import last_written, one_per_key, upsert
 
 READY, RETRY, FAILED, OK = "ready", "retry", "failed", "ok"
 
@@ -151,8 +151,10 @@ def write_vectors(
 ) -> DataFrame:
     """Product table after upserting the embedded rows with their attributes.
 
-    ``refs`` gives the blob reference of each id and ``upserted_at_ms`` the stamp.
+    ``refs`` gives the blob reference of each id and ``upserted_at_ms`` the
+    stamp. Of several chunks of one id the last in the source's order holds.
     """
+    chunks = one_per_key(chunks, version=last_written(chunks))
     fresh = embedded.filter(F.col("outcome") == OK).select("id", "vector")
     rows = (
         vector_attributes(chunks)
@@ -170,9 +172,10 @@ def derive(
     target: DataFrame,
     key: str = "id",
     mode: str = "upsert",
+    version: list[Column] | None = None,
 ) -> DataFrame:
     """Derived table after one tick of a user function over whole tables."""
-    return upsert(target, reduce(*sources), key, mode=mode)
+    return upsert(target, reduce(*sources), key, version, mode)
 
 
 def undiscovered(table: DataFrame, marker: str) -> DataFrame:

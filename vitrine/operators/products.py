@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from vitrine import settings
 from vitrine.functions import coerce as C
 from vitrine.functions.text import blank_to_null, document_text
+from vitrine.operators.tables import SEQUENCE
 
 PRODUCT_SCHEMA = T.StructType(
     [
@@ -92,12 +93,18 @@ def sparse_attributes(products: DataFrame) -> Column:
     )
 
 
-def stage_chunks(products: DataFrame) -> DataFrame:
-    """One ``(id, text, metadata)`` chunk per product."""
+def stage_chunks(products: DataFrame, order: list[str | Column] | None = None) -> DataFrame:
+    """One ``(id, text, metadata)`` chunk per product.
+
+    With ``order``, the order of the source, chunks carry their place in it as
+    ``sequence``, so that the last of several chunks of one id can be told.
+    """
+    place = [F.struct(*order).alias(SEQUENCE)] if order else []
     return products.select(
         F.col("asin").alias("id"),
         document_text(F.col("title"), F.col("description")).alias("text"),
         sparse_attributes(products).alias("metadata"),
+        *place,
     )
 
 

@@ -11,12 +11,26 @@ from vitrine.operators.topk import top_k_per_key
 from vitrine.session import row_count_up_to
 
 
+# Column of staged rows that orders them as their source does.
+SEQUENCE = "sequence"
+
+
+def last_written(rows: DataFrame) -> list[Column] | None:
+    """Order that puts the last row of the source first, where ``rows`` carry their place in it."""
+    return [F.col(SEQUENCE).desc()] if SEQUENCE in rows.columns else None
+
+
 def one_per_key(rows: DataFrame, key: str = "id", version: list[Column] | None = None) -> DataFrame:
-    """One row of each key: the first by ``version``, else the last in the frame's own order."""
-    if version is None:
-        placed = rows.withColumn("_position", F.monotonically_increasing_id())
-        return top_k_per_key(placed, [key], [F.col("_position").desc()], 1, "_place").drop("_place", "_position")
-    return top_k_per_key(rows, [key], version, 1, "_place").drop("_place")
+    """One row of each key: the first by ``version``.
+
+    Without ``version`` a key must have one row: which of several would win
+    depended on where Spark has put them, so the job fails instead.
+    """
+    if version is not None:
+        return top_k_per_key(rows, [key], version, 1, "_place").drop("_place")
+    placed = top_k_per_key(rows, [key], [F.col(key)], 2, "_place")
+    several = F.concat(F.lit("several rows and no version for key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return placed.filter(F.when(F.col("_place") > 1, F.raise_error(several)).otherwise(F.lit(True))).drop("_place")
 
 
 def upsert(
@@ -28,9 +42,8 @@ def upsert(
 ) -> DataFrame:
     """Table after writing ``rows``: the written row wins, other keys survive.
 
-    One row of each key is written: the first by ``version`` if given, else the
-    last in the frame's own order. ``mode="replace"`` drops everything that was
-    there before.
+    One row of each key is written, as ``one_per_key`` has it.
+    ``mode="replace"`` drops everything that was there before.
     """
     if mode not in ("upsert", "replace"):
         raise ValueError(f"unknown write mode {mode!r}")
@@ -58,13 +71,16 @@ def merge_into(rows: DataFrame, table: str, key: str = "id") -> None:
     )
 
 
-def patch_columns(target: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
+def patch_columns(
+    target: DataFrame, patch: DataFrame, key: str = "id", version: list[Column] | None = None
+) -> DataFrame:
     """Set the columns of ``patch`` on the ids it names; leave all else alone.
 
-    Of several patches of one id the last in the frame's own order holds.
+    Of several patches of one id the first by ``version`` holds. Columns that
+    ``target`` does not have, as those of a version, are not set.
     """
-    patch = one_per_key(patch, key)
-    columns = [c for c in patch.columns if c != key]
+    patch = one_per_key(patch, key, version)
+    columns = [c for c in patch.columns if c != key and c in target.columns]
     renamed = patch.select(
         key, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in columns]
     )

@@ -29,7 +29,7 @@ def stage(
     if offset > 0 or limit >= 0:
         # Range partitioning reads its input twice; normalising is worth doing once.
         valid = slices.take_slice(slices.numbered(settle(valid), order), offset, limit)
-    chunks = products.stage_chunks(valid)
+    chunks = products.stage_chunks(valid, order)
     return chunks if indexed is None else tables.skip_existing(chunks, indexed)
 
 
@@ -44,11 +44,11 @@ def embed_and_index(
 ) -> DataFrame:
     """Fetch, embed and upsert staged chunks; returns the outcome of every id.
 
-    Of several chunks of one id the last holds. The fetched images are settled once, so neither a retry nor the several uses
+    Of several chunks of one id the last in the source's order holds. The fetched images are settled once, so neither a retry nor the several uses
     below fetch them again. With ``blob_folder`` their bytes are written there before
     any reference to them.
     """
-    chunks = settle(tables.one_per_key(chunks))
+    chunks = settle(tables.one_per_key(chunks, version=tables.last_written(chunks)))
     claims = embedding.triage(chunks, chunks)
     ready = claims.filter(F.col("outcome") == embedding.READY).select(
         "id", F.col("metadata.image_url").alias("image_url")

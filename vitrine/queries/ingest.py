@@ -12,6 +12,7 @@ from vitrine.operators import embedding, products, slices, tables
 from vitrine.queries.registry import query
 from vitrine.session import settle
 from vitrine.sources import catalog, events
+from vitrine.sources.bucketed import BucketedTable
 from vitrine.sources.versioned import VersionedTable
 
 
@@ -493,6 +494,37 @@ def patched_columns(spark: SparkSession, folder: str) -> DataFrame:
     return tables.patch_columns(docs, patch).select("id", "title", "image_blob")
 
 
+@query(
+    "last_write_wins",
+    covers="K1 K2 K4 T3",
+    sql=with_views("clickstream", extra="""named as (select doc_id as id, event_id, 'click '||event_id as title from clickstream),
+    stored as (select id, max_by(title, event_id) as title, arg_min(title, event_id) as image_blob from named group by id)""")
+    + "select id, 'all' as category, title, image_blob, cast(2000 as bigint) as upserted_at from stored",
+)
+def last_write_wins(spark: SparkSession, folder: str) -> DataFrame:
+    """Repeated ids of a catalog file, dealt out anew before each step, and repeated patches of them."""
+    from vitrine.streaming.runner import scratch_folder
+
+    clicks = view(spark, folder, "clickstream").select("doc_id", "event_id", F.concat(F.lit("click "), "event_id").alias("title"))
+    source = scratch_folder(spark, "repeated")
+    lines = clicks.select(
+        "event_id",
+        F.to_json(F.struct(F.col("doc_id").alias("parent_asin"), "title", F.lit("http://img").alias("images"))).alias("value"),
+    )
+    lines.repartitionByRange("event_id").sortWithinPartitions("event_id").select("value").write.text(source)
+    read = catalog.read_in_order(spark, source).withColumn("category", F.lit("all"))
+    valid = settle(products.normalize_products(read, keep=catalog.SOURCE_ORDER)).repartition(5, "title")
+    chunks = products.stage_chunks(valid, catalog.SOURCE_ORDER)
+    stored = BucketedTable(spark, scratch_folder(spark, "stored"), buckets=16)
+    # The first write takes some of the rows, the second one all of them.
+    for stamp, rows in ((1000, chunks.filter(F.crc32("metadata.title") % 3 == 0)), (2000, chunks)):
+        last = tables.one_per_key(rows.repartition(7), version=tables.last_written(rows))
+        stored.upsert(products.vector_attributes(last).withColumn("upserted_at", F.lit(stamp).cast("long")))
+    first = clicks.select(F.col("doc_id").alias("id"), F.col("title").alias("image_blob"), "event_id").repartition(5, "title")
+    stored.patch(first, version=[F.col("event_id")])
+    return stored.read().select("id", "category", "title", "image_blob", "upserted_at")
+
+
 def written_catalog(spark: SparkSession, folder: str) -> str:
     """The raw catalog written as JSON lines, one file set per category."""
     from vitrine.streaming.runner import scratch_folder
@@ -542,11 +574,11 @@ def file_row_slices(spark: SparkSession, folder: str) -> DataFrame:
     return slices.assign_slices(placed, 60, 100).select("asin", "ordinal", "slice")
 
 
-def scratch_tables(spark: SparkSession) -> tuple[VersionedTable, VersionedTable]:
+def scratch_tables(spark: SparkSession) -> tuple[BucketedTable, VersionedTable]:
     from vitrine.streaming.runner import scratch_folder
 
     root = scratch_folder(spark, "refresh")
-    return VersionedTable(spark, f"{root}/products"), VersionedTable(spark, f"{root}/checkpoints")
+    return BucketedTable(spark, f"{root}/products", buckets=16), VersionedTable(spark, f"{root}/checkpoints")
 
 
 @query(
@@ -587,7 +619,7 @@ def refresh_stream(spark: SparkSession, folder: str) -> DataFrame:
     category = F.regexp_extract(F.input_file_name(), r"meta_([^/]*)\.main\.jsonl", 1)
     stored, marks = scratch_tables(spark)
     run_refresh(
-        source.select("v", category.alias("category")),
+        source.select("*", category.alias("category")),
         stored,
         marks,
         scratch_folder(spark, "progress"),

@@ -45,14 +45,21 @@ def read_in_order(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     ``block`` is where the part of a file that a task read begins; ``line`` grows
     inside it and is not a line number.
     """
-    return read_catalog(spark, paths).select(
-        "v",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
+    return numbered_lines(with_files(read_catalog(spark, paths)))
+
+
+def with_files(rows: DataFrame) -> DataFrame:
+    """Rows ``v`` straight from files, or a stream of files, with ``file`` and ``block``."""
+    return rows.select(
+        "v", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
 
 
+def numbered_lines(rows: DataFrame) -> DataFrame:
+    """``line`` for rows that are still where they were read."""
+    return rows.withColumn("line", F.monotonically_increasing_id())
+
+
 def read_categories(
     spark: SparkSession,
     folder: str,

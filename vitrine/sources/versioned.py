@@ -7,7 +7,7 @@ old version in place. One writer at a time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from vitrine.operators import tables
 
@@ -52,15 +52,21 @@ class VersionedTable:
         writer.parquet(self._folder(version))
         return version
 
-    def upsert(self, rows: DataFrame, key: str = "id", mode: str = "upsert") -> int | None:
+    def beside(self, rows: DataFrame) -> DataFrame | None:
+        """What may hold the keys of ``rows``, None where nothing is stored yet."""
+        return self.read() if self.exists() else None
+
+    def upsert(
+        self, rows: DataFrame, key: str = "id", mode: str = "upsert", version: list[Column] | None = None
+    ) -> int | None:
         """Write ``rows`` over the current version; nothing happens without rows."""
         if rows.isEmpty():
             return None
         if not self.exists():
-            return self.write(rows)
-        return self.write(tables.upsert(self.read(), rows, key, mode=mode))
+            return self.write(tables.one_per_key(rows, key, version))
+        return self.write(tables.upsert(self.read(), rows, key, version, mode))
 
-    def patch(self, patch: DataFrame, key: str = "id") -> int | None:
+    def patch(self, patch: DataFrame, key: str = "id", version: list[Column] | None = None) -> int | None:
         if patch.isEmpty() or not self.exists():
             return None
-        return self.write(tables.patch_columns(self.read(), patch, key))
+        return self.write(tables.patch_columns(self.read(), patch, key, version))

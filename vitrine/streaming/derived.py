@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from vitrine.sources.versioned import VersionedTable
 
@@ -15,15 +15,16 @@ def derive_on_write(
     target: VersionedTable,
     progress: str,
     key: str = "id",
+    version: list[Column] | None = None,
 ) -> None:
     """Apply ``function`` to every batch of newly written rows and upsert the result.
 
-    The function sees the rows of one batch. Rows are upserted by ``key``, so a
-    batch that runs again after a failure leaves the same table.
+    The function sees the rows of one batch. Rows are upserted by ``key``, of
+    several the first by ``version``, so a batch that runs again after a failure leaves the same table.
     """
 
     def one(batch: DataFrame, _batch_id: int) -> None:
-        target.upsert(function(batch), key)
+        target.upsert(function(batch), key, version=version)
 
     running = (
         written.writeStream.option("checkpointLocation", progress)

@@ -11,6 +11,8 @@ from vitrine import settings
 from vitrine.functions.predicates import between
 from vitrine.operators import pipeline_status, products, slices, tables
 from vitrine.session import settle
+from vitrine.sources.bucketed import BucketedTable
+from vitrine.sources.catalog import SOURCE_ORDER, numbered_lines, with_files
 from vitrine.sources.versioned import VersionedTable
 
 CHECKPOINT_COLUMNS = "label string, watermark_ms long, row_count long"
@@ -53,12 +55,17 @@ def activate_checkpoint(
 
 
 def index_batch(
-    chunks: DataFrame, table: VersionedTable, upserted_at_ms: int
+    chunks: DataFrame, table: VersionedTable | BucketedTable, upserted_at_ms: int
 ) -> int:
-    """Upsert new chunks as documents and return how many there were."""
-    fresh = tables.one_per_key(products.vector_attributes(chunks))
-    if table.exists():
-        fresh = tables.skip_existing(fresh, table.read())
+    """Upsert new chunks as documents and return how many there were.
+
+    Of several chunks of one id the last in the source's order holds.
+    """
+    last = settle(tables.one_per_key(chunks, version=tables.last_written(chunks)))
+    fresh = products.vector_attributes(last)
+    stored = table.beside(fresh)
+    if stored is not None:
+        fresh = tables.skip_existing(fresh, stored)
     fresh = settle(fresh.withColumn("upserted_at", F.lit(upserted_at_ms).cast("long")))
     count = fresh.count()
     if count:
@@ -69,7 +76,7 @@ def index_batch(
 def refresh_once(
     valid: DataFrame,
     order: list[str | Column],
-    table: VersionedTable,
+    table: VersionedTable | BucketedTable,
     checkpoints: VersionedTable,
     label: str,
     upserted_at_ms: int,
@@ -85,13 +92,13 @@ def refresh_once(
     if known_label(checkpoints, label):
         return None
     taken = settle(next_rows(valid, order, checkpoints, count))
-    indexed = index_batch(products.stage_chunks(taken), table, upserted_at_ms)
+    indexed = index_batch(products.stage_chunks(taken, order), table, upserted_at_ms)
     activate_checkpoint(checkpoints, label, upserted_at_ms, taken.count(), gate)
     return indexed
 
 
 def catalog_stream(spark: SparkSession, folder: str, per_batch: int | None = None) -> DataFrame:
-    """New JSON-lines files of a folder as a stream of VARIANT rows ``v``."""
+    """New JSON-lines files of a folder as a stream of VARIANT rows ``v`` with ``file`` and ``block``."""
     reader = (
         spark.readStream.schema("v variant")
         .option("singleVariantColumn", "v")
@@ -99,12 +106,12 @@ def catalog_stream(spark: SparkSession, folder: str, per_batch: int | None = Non
     )
     if per_batch:
         reader = reader.option("maxFilesPerTrigger", per_batch)
-    return reader.json(folder)
+    return with_files(reader.json(folder))
 
 
 def run_refresh(
     rows: DataFrame,
-    table: VersionedTable,
+    table: VersionedTable | BucketedTable,
     checkpoints: VersionedTable,
     progress: str,
     label_of: Callable[[int], str],
@@ -113,6 +120,8 @@ def run_refresh(
 ) -> None:
     """Drain a stream of raw rows (``v``, ``category``) into the product table.
 
+    Rows of one id in one batch need the columns of ``catalog_stream`` that give
+    their order.
     Every micro-batch is one labelled run. A batch that is repeated after a
     failure finds its label or its rows in place and changes nothing. What a run
     that the gate refuses has added belongs to the next checkpoint that it lets
@@ -123,7 +132,11 @@ def run_refresh(
         label = label_of(batch_id)
         if known_label(checkpoints, label):
             return
-        chunks = products.stage_chunks(products.normalize_products(batch))
+        order = []
+        if {"file", "block"} <= set(batch.columns):
+            # A stream has no row numbers; its batches do.
+            batch, order = numbered_lines(batch), SOURCE_ORDER
+        chunks = products.stage_chunks(products.normalize_products(batch, keep=order), order)
         index_batch(chunks, table, time_of(batch_id))
         newest = 0
         if checkpoints.exists():
