@@ -197,6 +197,7 @@ def keep_one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "te
         .agg(F.min("first").alias("first"))
         .select(F.col("first.key").alias("_kept"))
     )
-    keyed = docs.withColumn("_key", key)
-    chosen = keyed.join(kept, F.col("_key") == F.col("_kept"), "left_semi")
-    return chosen.dropDuplicates(["_key"]).drop("_key")
+    # The input's columns keep to a struct, whatever their names.
+    keyed = docs.select(F.struct("*").alias("row"), key.alias("key"))
+    chosen = keyed.join(kept, keyed["key"] == kept["_kept"], "left_semi")
+    return chosen.dropDuplicates(["key"]).select("row.*")

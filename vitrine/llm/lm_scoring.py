@@ -44,7 +44,7 @@ HEAD = 1 << 18
 ROUNDS = (2, 10, 20)
 BLOCKS = 64
 FLUSH = 1 << 18
-SCORE_BYTES = 16 << 20
+SCORE_BYTES = 4 << 20
 END = b"\n"
 SEED = 42
 
@@ -218,7 +218,6 @@ def scorer(model: Model, corpus: Corpus) -> Callable[[Iterator[pa.RecordBatch]],
         for rows, data, offsets in text_slices(batches, "text", SCORE_BYTES):
             ids, first, words = numbered_words(data, offsets, numbers, -1, end if len(numbers) else -1)
             own = np.where((ids < 0) | (ids > unknown), unknown, ids).astype(np.int32)
-            total = score(model, np.split(own, first[1:-1]), end)
             # The last log, 0, stands for the words that are not in the head.
             log = logs[ids]
             other = (ids < 0) | (ids >= unknown)
@@ -227,6 +226,9 @@ def scorer(model: Model, corpus: Corpus) -> Callable[[Iterator[pa.RecordBatch]],
             rare_at = np.flatnonzero(missing)
             digest = xxhash.xxh64_intdigest
             marks = np.array([digest(words[i], SEED) for i in rare_at.tolist()], np.uint64)
+            # The words are not kept while the model runs.
+            del words
+            total = score(model, np.split(own, first[1:-1]), end)
             row = np.searchsorted(first, rare_at, "right") - 1
             order = np.lexsort((marks, row))
             marks, row = marks[order], row[order]

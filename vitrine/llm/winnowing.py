@@ -246,4 +246,4 @@ def drop_contaminated(
         .select(F.col("id").alias("_hit"))
         .distinct()
     )
-    return docs.join(hit, key == F.col("_hit"), "left_anti")
+    return docs.join(hit, key == hit["_hit"], "left_anti")
