@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -16,33 +17,34 @@ COMPARISONS = {
 }
 
 
-def all_of(filters: Iterable[Sequence[Any]]) -> list[Any] | None:
-    """None for no filter, the filter itself for one, else an ``And`` node."""
-    filters = [list(f) for f in filters]
-    if len(filters) > 1:
-        return ["And", filters]
-    return filters[0] if filters else None
+def comparisons(filters: Sequence[Any] | None) -> Iterator[Sequence[Any]]:
+    """The ``[name, op, value]`` leaves of nested lists and ``And`` nodes."""
+    if not filters:
+        return
+    if isinstance(filters[0], str) and filters[0] != "And":
+        yield filters
+        return
+    for part in filters:
+        if part != "And":
+            yield from comparisons(part)
 
 
-def predicate(tree: Sequence[Any] | None, filterable: set[str] | None = None) -> Column:
-    """Column for a filter tree.
+def predicate(filters: Sequence[Any] | None, filterable: set[str] | None = None) -> Column:
+    """Column that is true where every comparison among ``filters`` is; true where there is none.
 
+    ``filters`` is one comparison, a list of them or a tree of ``And`` nodes.
     ``filterable`` names the attributes a filter may use; a filter on any other
     column is refused while the plan is built.
     """
-    if tree is None:
-        return F.lit(True)
-    if tree[0] == "And":
-        result = F.lit(True)
-        for child in tree[1]:
-            result = result & predicate(child, filterable)
-        return result
-    name, op, value = tree
-    if op not in COMPARISONS:
-        raise ValueError(f"unknown comparison {op!r}")
-    if filterable is not None and name not in filterable:
-        raise ValueError(f"attribute {name!r} is not filterable")
-    return COMPARISONS[op](F.col(name), value)
+
+    def column(name: str, op: str, value: Any) -> Column:
+        if op not in COMPARISONS:
+            raise ValueError(f"unknown comparison {op!r}")
+        if filterable is not None and name not in filterable:
+            raise ValueError(f"attribute {name!r} is not filterable")
+        return COMPARISONS[op](F.col(name), value)
+
+    return reduce(Column.__and__, (column(*c) for c in comparisons(filters)), F.lit(True))
 
 
 def between(c: Column, lo: Any, hi: Any) -> Column:

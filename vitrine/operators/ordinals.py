@@ -8,8 +8,13 @@ row sits where, so a lost executor cannot renumber anything.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrine.session import settle
 
@@ -31,28 +36,29 @@ def _placed(df: DataFrame, order: list[str | Column]) -> DataFrame:
     )
 
 
-def _offsets(placed: DataFrame, amount: Column) -> tuple[DataFrame, int]:
+def _before(placed: DataFrame, amount: Column) -> tuple[dict[int, int], int]:
     """Amount held by all earlier partitions, per partition, and the grand total."""
     totals = placed.groupBy(PART).agg(amount.cast("long").alias("amount")).collect()
     running = 0
-    rows = []
+    before = {}
     for row in sorted(totals, key=lambda r: r[PART]):
-        rows.append((row[PART], running))
+        before[row[PART]] = running
         running += row["amount"] or 0
-    offsets = placed.sparkSession.createDataFrame(rows, f"{PART} long, _offset long")
-    return offsets, running
+    return before, running
 
 
 def with_ordinals(
-    df: DataFrame, order: list[str | Column], name: str = "ordinal"
+    df: DataFrame, order: list[str | Column], name: str = "ordinal", total: str | None = None
 ) -> DataFrame:
-    """Add a 0-based position in ``order``, which must be unique."""
+    """Add a 0-based position in ``order``, which must be unique, and the number of rows as ``total``."""
     placed = _placed(df, order)
-    offsets, _total = _offsets(placed, F.count(F.lit(1)))
+    before, rows = _before(placed, F.count(F.lit(1)))
+    offsets = placed.sparkSession.createDataFrame(list(before.items()), f"{PART} long, _offset long")
     within = F.col(PLACE).bitwiseAND(F.lit((1 << PART_BITS) - 1))
+    counted = {total: F.lit(rows).cast("long")} if total else {}
     return (
         placed.join(F.broadcast(offsets), PART)
-        .withColumn(name, F.col("_offset") + within)
+        .withColumns({name: F.col("_offset") + within, **counted})
         .drop(PART, PLACE, "_offset")
     )
 
@@ -60,17 +66,29 @@ def with_ordinals(
 def with_running_total(
     df: DataFrame, order: list[str | Column], value: str, name: str = "running_total"
 ) -> DataFrame:
-    """Add the inclusive running sum of ``value`` in ``order``, which must be unique."""
+    """Add the inclusive running sum of ``value`` in ``order``, which must be unique.
+
+    Partitions of the written copy are read in their order, so they are summed
+    where they lie.
+    """
     placed = _placed(df, order)
-    offsets, _total = _offsets(placed, F.sum(value))
-    upto = (
-        Window.partitionBy(PART)
-        .orderBy(PLACE)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        placed.withColumn("_within", F.sum(F.coalesce(value, F.lit(0))).over(upto))
-        .join(F.broadcast(offsets), PART)
-        .withColumn(name, F.col("_offset") + F.col("_within"))
-        .drop(PART, PLACE, "_offset", "_within")
-    )
+    before, _total = _before(placed, F.sum(value))
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running: int | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            spot = batch.schema.get_field_index(PLACE)
+            if running is None:
+                running = before[batch.column(spot)[0].as_py() >> PART_BITS]
+            values = pc.fill_null(batch.column(batch.schema.get_field_index(value)).cast(pa.int64()), 0)
+            sums = pc.add(pc.cumulative_sum(values), running)
+            running = sums[-1].as_py()
+            kept = [i for i in range(batch.num_columns) if i != spot]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in kept), sums], names=[*(batch.schema.names[i] for i in kept), name]
+            )
+
+    schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
+    return placed.drop(PART).mapInArrow(summed, schema)

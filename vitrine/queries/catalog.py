@@ -283,7 +283,7 @@ def rotating_slice(spark: SparkSession, folder: str) -> DataFrame:
 )
 def id_scan(spark: SparkSession, folder: str) -> DataFrame:
     ids = table(spark, folder, "orders").select(F.concat(F.lit("O"), "o_orderkey").alias("id"))
-    return scans.numbered_ids(ids)
+    return scans.numbered_ids(ids).select("id", "position")
 
 
 @query(

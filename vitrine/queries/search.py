@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from vitrine.fixtures import table, view, with_views
 from vitrine.functions import vectors as V
-from vitrine.functions.predicates import all_of
 from vitrine.functions.text import normalize_query, tokens
 from vitrine.operators import fusion, lexical
 from vitrine.operators import vector_search as vs
@@ -59,7 +58,7 @@ def vector_top_k(spark: SparkSession, folder: str) -> DataFrame:
 def vector_top_k_filtered(spark: SparkSession, folder: str) -> DataFrame:
     """Each request wants the next category, near its own time; cat7 is shut for all."""
     docs = stored(spark, folder)
-    shared = all_of([["category", "NotEq", "cat7"]])
+    shared = ["category", "NotEq", "cat7"]
     wanted = F.pmod(F.substring("category", 4, 9).cast("int") + 1, F.lit(10))
     requests = docs.select(
         F.col("id").alias("request_id"),
@@ -460,5 +459,5 @@ def similar_items(spark: SparkSession, folder: str) -> DataFrame:
 def declared_table(spark: SparkSession, folder: str) -> DataFrame:
     """Typed by the declared schema and filtered through a checked tree."""
     typed = apply_schema(stored(spark, folder).drop("vector"))
-    tree = all_of([["category", "Eq", "cat3"], ["upserted_at", "Gt", 1704067200000], ["id", "NotEq", "V3"]])
+    tree = [["category", "Eq", "cat3"], ["upserted_at", "Gt", 1704067200000], ["id", "NotEq", "V3"]]
     return checked_filter(typed, tree).select("id", "category", "title")

@@ -9,8 +9,8 @@ from vitrine.operators.ordinals import with_ordinals
 
 
 def numbered_ids(docs: DataFrame) -> DataFrame:
-    """Every id with its position in id order; the basis of a resumable scan."""
-    return with_ordinals(docs.select("id"), ["id"], "position")
+    """Every id with its position in id order and the ``total``; the basis of a resumable scan."""
+    return with_ordinals(docs.select("id"), ["id"], "position", "total")
 
 
 def scan_page(numbered: DataFrame, offset: int = 0, limit: int | None = None) -> DataFrame:
@@ -19,14 +19,12 @@ def scan_page(numbered: DataFrame, offset: int = 0, limit: int | None = None) ->
     ``limit=None`` reads to the end; a negative offset counts as 0.
     """
     start = max(0, offset)
-    total = numbered.count()
-    end = total if limit is None else min(total, start + max(0, limit))
-    return numbered.filter((F.col("position") >= start) & (F.col("position") < end)).select(
-        "id",
-        "position",
-        F.lit(max(start, end)).cast("long").alias("next_offset"),
-        F.lit(total).cast("long").alias("total"),
-    )
+    page = numbered.filter(F.col("position") >= start)
+    end = F.col("total")
+    if limit is not None:
+        page = page.filter(F.col("position") < start + max(0, limit))
+        end = F.least(end, F.lit(start + max(0, limit)).cast("long"))
+    return page.select("id", "position", end.alias("next_offset"), "total")
 
 
 def read_files(
