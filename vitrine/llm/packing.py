@@ -24,7 +24,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,12 @@ VOCABULARY = "word_bpe_49k.json"
 # Words are cut at these four only; any further blank inside a word is left to the tokenizer.
 WORD = re.compile(r"[^ \t\n\r]+")
 # Marks that end words. Behind a letter or digit they are tokens of their own.
-MARKS = ".,;:!?"
+MARKS = ".,;:!?)\"#$%&*"
 # The last letter whose lower case and composed form are beyond doubt.
 LATIN = "\u024f"
 WORDS_AT_ONCE = 1 << 16
 LONG_TEXT = 1 << 20
-CACHED_WORDS = 1 << 18
+CACHED_WORDS = 1 << 19
 CACHED_BYTES = 1 << 25
 ID_TYPE = "<u4"
 ROWS_OUT = 4096
@@ -131,7 +131,7 @@ class Encoder:
         yield from self._held(held)
 
     def _held(self, held: list[list[str]]) -> Iterator[Iterator[bytes]]:
-        ids = self.learn(w for words in held for w in words)
+        ids = self.learn(chain.from_iterable(held))
         for words in held:
             yield iter([b"".join([ids[w] for w in words])])
 
