@@ -45,7 +45,7 @@ MARKS = ".,;:!?)\"#$%&*"
 LATIN = "\u024f"
 WORDS_AT_ONCE = 1 << 16
 LONG_TEXT = 1 << 20
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 20
 CACHED_BYTES = 1 << 25
 ID_TYPE = "<u4"
 ROWS_OUT = 4096
@@ -69,6 +69,10 @@ class Encoder:
         self.letters = Tokenizer.from_file(path)
         self.letters.normalizer = normalizers.Sequence([])
         self.letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        # ASCII letters are their own bytes.
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([])
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.held = 0
@@ -97,13 +101,15 @@ class Encoder:
             asked.add(stem)
             if len(stem) < len(word):
                 asked.add(word[len(stem) :])
-        letters, others = [], []
+        plain, letters, others = [], [], []
         for word in asked:
             if word not in known:
                 self.held += len(word)
-                plain = word.isalpha() and word.islower() and max(word) <= LATIN
-                (letters if plain else others).append(word)
-        for tokenizer, unknown in ((self.letters, letters), (self.tokenizer, others)):
+                if not (word.isalpha() and word.islower() and max(word) <= LATIN):
+                    others.append(word)
+                else:
+                    (plain if word.isascii() else letters).append(word)
+        for tokenizer, unknown in ((self.plain, plain), (self.letters, letters), (self.tokenizer, others)):
             for word, found in zip(unknown, tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
                 known[word] = pack_ids(found.ids)
         for word, stem in zip(new, stems):
