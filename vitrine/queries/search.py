@@ -12,9 +12,11 @@ from vitrine.operators import fusion, lexical
 from vitrine.operators import vector_search as vs
 from vitrine.operators.declared_schema import apply_schema, checked_filter
 from vitrine.operators.embedding import embed_texts, hashed_tokens_encoder
+from vitrine.operators.hashed_neighbours import hashed_neighbours, recall
 from vitrine.operators.neighbours import all_neighbours
 from vitrine.plans import search_job
 from vitrine.queries.registry import query
+from vitrine.session import settle
 
 
 def stored(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,6 +208,29 @@ def all_neighbours_probed(spark: SparkSession, folder: str) -> DataFrame:
     return whole_number(all_neighbours(stored(spark, folder), probes=3))
 
 
+@query(
+    "neighbours_hashed_recall",
+    covers="R4",
+    sql=with_views("products", extra=ranked_pairs("r.id<>d.id"))
+    + "select count(*) as neighbours, true as reached, cast(0 as bigint) as too_near from ranked",
+)
+def neighbours_hashed_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The hashed search of every item held against the exact one.
+
+    ``reached``: at least nine tenths of the exact neighbours are found;
+    ``too_near``: hits closer than the exact hit of their rank, which cannot be.
+    """
+    docs = stored(spark, folder)
+    exact, found = settle(all_neighbours(docs)), settle(hashed_neighbours(docs))
+    ranked = exact.select("request_id", "rank", F.col("dist").alias("nearest"))
+    impossible = found.join(ranked, ["request_id", "rank"], "left").agg(
+        F.count_if(F.col("nearest").isNull() | (F.col("dist") < F.col("nearest") - 2e-6)).alias("too_near")
+    )
+    return recall(exact, found).crossJoin(impossible).select(
+        "neighbours", (F.col("recall") >= 0.9).alias("reached"), "too_near"
+    )
+
+
 @query(
     "featured_blend",
     covers="R9",
