@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from vitrine.operators import pipeline_status as ps
 from vitrine.operators import products
 from vitrine.sources.versioned import VersionedTable
-from vitrine.streaming import history, ledger, refresh, runner, trending
+from vitrine.streaming import attribution, history, ledger, refresh, runner, trending
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SEARCH = "event_id long, trace_id string, raw_query string, top_result_ids array<string>, ts timestamp"
@@ -79,6 +79,67 @@ def test_attribution_in_either_order(spark, tmp_path):
     assert seen == [(2, 10, "B", 1), (2, 12, "A", 2)]
 
 
+def test_counted_attribution_over_batches(spark, tmp_path):
+    searches = Feed(spark, tmp_path / "s", SEARCH)
+    clicks = Feed(spark, tmp_path / "c", CLICK)
+    clicks.add((10, "t1", "B", hour(1)), (11, "", "A", hour(1)), (20, None, "A", hour(1)), (21, "t1", None, hour(1)))
+    clicks.add((12, "t1", "A", hour(2)), (13, "t1", "Z", hour(2)), (14, "t1", "A", hour(40)))
+    # Same query, other list: the document has two places.
+    searches.add((1, "t2", "desk", ["A"], hour(1)), (4, "t1", "lamp", ["B", "A"], hour(4)), (5, "t1", "lamp", None, hour(4)))
+    searches.add((2, "t1", "Lamp", ["A", "B", "A"], hour(3)), (3, "t1", "", ["A"], hour(3)))
+    added = runner.run_to_end(attribution.counted_attribution(searches.stream(), clicks.stream()))
+    rows = attribution.attribution_counts(added).collect()
+    seen = sorted((r["doc_id"], r["query"], r["rank"], r["searches"], r["meetings"]) for r in rows)
+    assert seen == [("A", "lamp", 1, 1, 1), ("A", "lamp", 2, 1, 1), ("B", "lamp", 0, 1, 1), ("B", "lamp", 1, 1, 1)]
+
+
+def test_counted_attribution_of_a_repeating_trace(spark, tmp_path):
+    """A thousand searches and clicks of one trace: one row with their count."""
+    searches = Feed(spark, tmp_path / "s", SEARCH)
+    clicks = Feed(spark, tmp_path / "c", CLICK)
+    for part in range(2):
+        here = range(500 * part, 500 * part + 500)
+        searches.add(*[(n, "t", "lamp", ["A"], hour(n / 100)) for n in here])
+        clicks.add(*[(10_000 + n, "t", "A", hour(n / 100)) for n in here])
+    added = runner.run_to_end(attribution.counted_attribution(searches.stream(), clicks.stream()))
+    assert added.count() <= 2
+    (row,) = attribution.attribution_counts(added).collect()
+    assert (row["searches"], row["meetings"]) == (1000, 1_000_000)
+
+
+def test_counted_attribution_lets_old_minutes_go(spark, tmp_path):
+    """State of a trace that went quiet is dropped once the watermark has passed its reach."""
+    searches = Feed(spark, tmp_path / "s", SEARCH)
+    clicks = Feed(spark, tmp_path / "c", CLICK)
+    for at in (0, 100, 200, 300):
+        searches.add((at, f"t{at}", "lamp", ["A"], hour(at)))
+        clicks.add((1000 + at, f"t{at}", "A", hour(at + 1)))
+    folder = str(tmp_path / "run")
+    added = runner.run_to_end(
+        attribution.counted_attribution(searches.stream(), clicks.stream()), folder=folder
+    )
+    assert {r["trace_id"]: r["meetings"] for r in attribution.attribution_counts(added).collect()} == {
+        f"t{at}": 1 for at in (0, 100, 200, 300)
+    }
+    state = (
+        spark.read.format("statestore").option("stateVarName", "slots").load(f"{folder}/progress")
+    )
+    assert {r["key"]["trace_id"] for r in state.select("key").distinct().collect()} <= {"t200", "t300"}
+
+
+def test_meetings_equal_pairs():
+    import random
+    from collections import Counter
+
+    pick = random.Random(4)
+    for _ in range(50):
+        left = Counter(pick.randrange(40) for _ in range(30))
+        right = Counter(pick.randrange(40) for _ in range(30))
+        reach = pick.randrange(12)
+        pairs = sum(n * m for a, n in left.items() for b, m in right.items() if abs(a - b) <= reach)
+        assert attribution.meetings(left, right, reach) == pairs
+
+
 def test_stage_ledger(spark, tmp_path):
     schema = "event_id long, doc_id string, pipeline_id string, stage string, ts_ms long"
     feed = Feed(spark, tmp_path / "in", schema)

@@ -9,7 +9,7 @@ from vitrine import fixtures
 from vitrine.fixtures import with_views
 from vitrine.queries.registry import query
 from vitrine.queries.trending import NORMALIZED
-from vitrine.streaming import history, ledger, runner, trending
+from vitrine.streaming import attribution, history, ledger, runner, trending
 
 
 def stream_view(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -84,12 +84,12 @@ counts as (select window_end_ms, query, count(*) as "count" from keyed, newest
            where slot_end>window_end_ms-86400000 group by all)
 """)
     + """select window_end_ms, query, "count", row_number() over (order by "count" desc, query) as rank
-    from counts qualify rank<=12""",
+    from counts where "count">=2 qualify rank<=12""",
 )
 def stream_trending_now(spark: SparkSession, folder: str) -> DataFrame:
     """The window that ends with the newest search, without waiting for the watermark."""
     updates = runner.run_to_end(trending.slot_counts(searches(spark, folder)), "update")
-    top = trending.top_per_window(trending.current_counts(updates), min_count=1)
+    top = trending.top_per_window(trending.current_counts(updates))
     return top.select(
         F.unix_millis("window_end").alias("window_end_ms"), "query", "count", F.col("rank").cast("long").alias("rank")
     )
@@ -127,17 +127,40 @@ def stream_stage_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return ledger.settled_stages(updates).select("pipeline_id", "doc_id", "stage", "ts_ms")
 
 
-def finished_lists(updates: DataFrame) -> DataFrame:
-    """Drain a stream of live lists with the state store it needs."""
-    spark, name = updates.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+def with_timed_state(stream: DataFrame, mode: str) -> DataFrame:
+    """Drain a stream that needs the RocksDB state store."""
+    spark, name = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name)
     spark.conf.set(name, history.STATE_PROVIDER)
     try:
-        return history.current_lists(runner.run_to_end(updates, "update"))
+        return runner.run_to_end(stream, mode)
     finally:
         spark.conf.set(name, before)
 
 
+def finished_lists(updates: DataFrame) -> DataFrame:
+    return history.current_lists(with_timed_state(updates, "update"))
+
+
+@query(
+    "stream_counted_attribution",
+    covers="T2 J3",
+    sql=with_views("search_history", "clickstream", extra=f"""
+    keyed as (select event_id, trace_id, top_result_ids, timestamp_ms//60000 as slot, {NORMALIZED} as query from search_history
+              where page_tag='page:first' and trace_id<>'' and length({NORMALIZED}) between 1 and 160),
+    listed as (select event_id, query, trace_id, slot, unnest(top_result_ids) as doc_id, unnest(range(len(top_result_ids))) as pos from keyed),
+    placed as (select event_id, query, trace_id, slot, doc_id, max(pos) as rank from listed where doc_id is not null group by all),
+    shown as (select trace_id, doc_id, query, rank, count(*) as searches from placed group by all),
+    met as (select p.trace_id, p.doc_id, p.query, p.rank, count(*) as meetings from placed p
+            join clickstream c on c.trace_id=p.trace_id and c.doc_id=p.doc_id and abs(c.timestamp_ms//60000-p.slot)<=1440 group by all)""")
+    + "select trace_id, doc_id, query, rank, searches, meetings from shown join met using (trace_id, doc_id, query, rank)",
+)
+def stream_counted_attribution(spark: SparkSession, folder: str) -> DataFrame:
+    clicks = timed(stream_view(spark, folder, "clickstream"))
+    added = with_timed_state(attribution.counted_attribution(searches(spark, folder), clicks), "append")
+    return attribution.attribution_counts(added).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(
     "stream_recent_views",
     covers="T6 R10",

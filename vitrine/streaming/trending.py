@@ -92,15 +92,10 @@ def top_per_window(
     )
 
 
-def attributed_clicks(
-    searches: DataFrame, clicks: DataFrame, lateness: str = LATENESS, bound: str = "24 hours"
-) -> DataFrame:
-    """Clicks joined to the result position they hit, as both streams arrive.
+def listed_documents(searches: DataFrame, lateness: str) -> DataFrame:
+    """``(event_id, trace_id, query, ts, doc_id, rank)``: every document of every traced search once.
 
-    ``searches`` has event_id, trace_id, raw_query, top_result_ids, ts; ``clicks``
-    has event_id, trace_id, doc_id, ts. A search and a click may come in either
-    order at most ``bound`` apart; that bound lets Spark drop old state. A
-    document listed twice counts at its last position.
+    A document listed twice counts at its last position.
     """
     ids = F.col("top_result_ids")
     placed = F.transform(
@@ -109,19 +104,30 @@ def attributed_clicks(
             d.alias("doc_id"), (F.size(ids) - F.array_position(F.reverse(ids), d)).alias("rank")
         ),
     )
-    listed = (
+    return (
         searches.filter(F.coalesce("trace_id", F.lit("")) != "")
         .withWatermark("ts", lateness)
         .select(
-            F.col("event_id").alias("search_id"),
-            "trace_id",
-            normalize_query(F.col("raw_query")).alias("query"),
-            F.col("ts").alias("search_ts"),
-            F.explode(placed).alias("p"),
+            "event_id", "trace_id", normalize_query(F.col("raw_query")).alias("query"), "ts", F.explode(placed).alias("p")
         )
-        .select("search_id", "trace_id", "query", "search_ts", "p.doc_id", "p.rank")
+        .select("event_id", "trace_id", "query", "ts", "p.doc_id", "p.rank")
         .filter(F.col("query").isNotNull())
     )
+
+
+def attributed_clicks(
+    searches: DataFrame, clicks: DataFrame, lateness: str = LATENESS, bound: str = "24 hours"
+) -> DataFrame:
+    """Clicks joined to the result position they hit, as both streams arrive.
+
+    ``searches`` has event_id, trace_id, raw_query, top_result_ids, ts; ``clicks``
+    has event_id, trace_id, doc_id, ts. A search and a click may come in either
+    order at most ``bound`` apart; that bound lets Spark drop old state. A
+    document listed twice counts at its last position.
+    """
+    listed = listed_documents(searches, lateness).select(
+        F.col("event_id").alias("search_id"), "trace_id", "query", F.col("ts").alias("search_ts"), "doc_id", "rank"
+    )
     clicked = (
         clicks.filter((F.coalesce("trace_id", F.lit("")) != "") & F.col("doc_id").isNotNull())
         .withWatermark("ts", lateness)
