@@ -108,6 +108,52 @@ def test_reliabilities_are_found():
     assert strength[0] > strength[2] > strength[4]
 
 
+def test_reliabilities_leave_the_first_guess():
+    rng = np.random.RandomState(4)
+    truth = rng.rand(20000) < 0.5
+    sure = np.array([0.99] * 5 + [0.5])
+    votes = np.where((rng.rand(20000, 6) < sure) == truth[:, None], 1, -1)
+    patterns, counts = np.unique(votes, axis=0, return_counts=True)
+    right = expectation_maximisation(patterns, counts.astype(float)).right
+    assert (abs(right[:, :5] - 0.99) < 0.01).all() and (abs(right[:, 5] - 0.5) < 0.05).all()
+
+
+def valid_card(rng):
+    digits = "4" + "".join(str(rng.randint(10)) for _ in range(14))
+    return next(digits + str(d) for d in range(10) if luhn(digits + str(d)))
+
+
+def test_planted_looser_forms(spark):
+    """Precision and recall over forms that the strict expressions miss, among such that only look alike."""
+    rng = np.random.RandomState(6)
+    good, bad, rows = set(), set(), []
+
+    def plant(before, span, after, kind, personal):
+        i = len(rows)
+        rows.append((i, f"{before} {span} {after}"))
+        if personal is not None:
+            (good if personal else bad).add((i, kind, len(before) + 1, len(before) + 1 + len(span)))
+
+    for n in range(150):
+        phone = f"{rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+        plant("some words", f"+1 ({phone}", "and more", 3, None)
+        plant("some words", valid_card(rng), "and more", 2, None)
+        plant("some words", f"ann{n}@mail{n % 9}.example.com", "and more", 0, None)
+    for n in range(40):
+        plant("of the", valid_card(rng), f"{rng.randint(1000, 9999)} 77 items", 2, True)
+        plant("reach me by phone", f"({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}", "today", 3, True)
+        plant("please mail", f"bob{n} [at] site{n} [dot] com", "soon", 0, True)
+        plant("please mail", f"eve{n} at site{n} dot org", "soon", 0, True)
+        card = valid_card(rng)
+        plant("order number", "9" + card[1:], "ships", 2, False)
+        plant("part", f"123-{rng.randint(100, 999)}-{rng.randint(1000, 9999)}", "in stock", 3, False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    added = {(r.id, f.kind, f.start, f.stop) for r in personal_spans(docs).collect() for f in r.kept if not f.base}
+    assert len(added & good) >= 0.9 * len(good)
+    assert len(added & good) >= 0.95 * len(added)
+    assert not added & bad
+
+
 def test_nothing_to_learn(no_documents):
     assert accepted([], 0.9) == []
     assert personal_spans(no_documents).collect() == []

@@ -2,11 +2,13 @@
 
 Rules find spans of four kinds. The strict form of each kind is always kept.
 Looser forms (spelled-out addresses, local telephone numbers, other card and
-address formats) are candidates, and so are the strict ones: regular-expression,
-gazetteer and context labelers vote on each for, against or not at all.
-Expectation-maximisation over the vote patterns estimates how reliable each
-labeler is when it votes, and its posteriors train a logistic span classifier that decides on
-the looser candidates.
+address formats, parts of a number that is too long or fails its check digit)
+are candidates, and so are the strict ones: regular-expression, gazetteer and
+context labelers vote on each for, against or not at all, by the same rules for
+strict and looser forms. Expectation-maximisation over the vote patterns
+estimates how often each labeler votes each way on personal spans and on others,
+and its posteriors train a logistic span classifier, which alone decides on the
+looser candidates.
 
 A vote pattern has three values for each of six labelers, so the counts that
 reach the driver are at most 4 * 3^6 rows at any size; they are taken over all
@@ -25,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,7 +36,8 @@ from vitrine.session import settle
 
 KINDS = ("email", "ip", "card", "phone")
 THRESHOLD = 0.85
-PRIOR = 2.0
+# Candidates that the first guess of a labeler's votes counts for.
+PRIOR = 8.0
 NEAR = 40
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -45,12 +49,15 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOOSE = {
     "email": re.compile(
         r"\b[A-Za-z0-9._%+-]{1,64} ?[\[({] ?(?:at|@) ?[\])}] ?[A-Za-z0-9-]{1,63}"
-        r"(?: ?(?:[\[({] ?dot ?[\])}]|\.) ?[A-Za-z0-9-]{2,63}){1,5}",
+        r"(?: ?(?:[\[({] ?dot ?[\])}]|\.) ?[A-Za-z0-9-]{2,63}){1,5}"
+        r"|\b[A-Za-z0-9._%+-]{1,64} at [A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{2,63}){1,5}",
         re.IGNORECASE,
     ),
     "ip": re.compile(r"(?<![0-9A-Fa-f:.])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){7}(?![0-9A-Fa-f:.])"),
     "card": re.compile(r"(?<![0-9A-Za-z.+-])[0-9]{4}([ .-])[0-9]{4,6}\1[0-9]{4,5}(?:\1[0-9]{1,4})?(?![0-9A-Za-z.-])"),
-    "phone": re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z.-])"),
+    "phone": re.compile(
+        r"(?<![0-9A-Za-z+.-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])"
+    ),
 }
 CUES = {
     "email": ("mail", "contact", "write", "reach", "address"),
@@ -59,7 +66,15 @@ CUES = {
     "phone": ("phone", "tel", "call", "fax", "mobile", "contact"),
 }
 AGAINST = ("token", "password", "key", "isbn", "version", "order", "sku", "invoice")
-ENDINGS = frozenset("com org net edu gov io de fr es uk eu info".split())
+# Common top-level domains, leading digits of card issuers, first digits of country calling codes.
+ENDINGS = frozenset(
+    "com org net edu gov mil int io co me info biz app dev ai de fr es uk eu it nl be ch at se no dk fi pl pt cz gr ie "
+    "ru ua tr us ca mx br ar cl jp cn kr in au nz za il sg hk tw".split()
+)
+ISSUERS = re.compile(r"4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|6(?:011|5)|35(?:2[89]|[3-8])|62")
+CALLING = re.compile(r"1|7|2[0-79]|3[0-9]|4[0-9]|5[0-9]|6[0-9]|8[0-24-8]|9[0-9]")
+CARD_GROUPS = re.compile(r"[0-9]{13,19}|[0-9]{4}(?:([ .-])[0-9]{4}){3}(?:\1[0-9]{1,3})?|[0-9]{4}[ .-][0-9]{6}[ .-][0-9]{5}")
+AREA = re.compile(r"[2-9][0-9]{2}[2-9][0-9]{6}")
 N_LABELERS = 6
 
 SCHEMA = "id long, found array<struct<kind: int, start: int, stop: int, base: boolean, votes: int>>"
@@ -94,43 +109,87 @@ def strict_emails(text: str) -> Iterator[tuple[int, int]]:
             at = text.find("@", at + 1)
 
 
-def strict(text: str) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the strict forms."""
+def matched(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
+    """(kind, start, end) of the strict forms; (start, end) of the card matches that fail."""
     out = [(0, a, b) for a, b in strict_emails(text)]
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split(".")):
             out.append((1, *m.span()))
+    failed = []
     for m in CARD.finditer(text):
         digits = digits_of(m[0])
         if 16 <= len(digits) <= 19 and luhn(digits):
             out.append((2, *m.span()))
+        elif len(digits) >= 13:
+            failed.append(m.span())
     for m in PHONE.finditer(text):
         if 8 <= len(digits_of(m[0])) <= 15:
             out.append((3, *m.span()))
-    return out
+    return out, failed
 
 
-def votes(text: str, kind: int, start: int, end: int, base: bool, close: bool) -> tuple[int, ...]:
-    """+1 personal, -1 not, 0 no opinion: form, validity, gazetteer, context, counter-context, company."""
-    own = text[start:end]
-    before = text[max(0, start - NEAR) : start].lower()
-    around = before + " " + text[end : end + NEAR].lower()
+def strict(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the strict forms."""
+    return matched(text)[0]
+
+
+def card_parts(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Cards among whole groups of digits of a failed match, leftmost and longest first; if there
+    are none and the length is a card's, all of it."""
+    groups = [(start + m.start(), start + m.end()) for m in re.finditer(r"[0-9]+", text[start:end])]
+    i, any_part = 0, False
+    while i < len(groups):
+        size, best = 0, None
+        for j in range(i, len(groups)):
+            size += groups[j][1] - groups[j][0]
+            if size > 19:
+                break
+            if size >= 13 and luhn(digits_of(text[groups[i][0] : groups[j][1]])):
+                best = j
+        if best is None:
+            i += 1
+        else:
+            yield groups[i][0], groups[best][1]
+            i, any_part = best + 1, True
+    if not any_part and 13 <= sum(b - a for a, b in groups) <= 19:
+        yield start, end
+
+
+def form_votes(name: str, own: str) -> tuple[int, int, int]:
+    """What form, check and gazetteer say of a span's own characters, whichever rule found it."""
     digits = digits_of(own)
-    name = KINDS[kind]
-    valid = 0
+    if name == "email":
+        ending = re.split(r"[^A-Za-z0-9-]+", own.rstrip("]) }"))[-1].lower()
+        valid = len(ending) > 1 and ending.isalpha()
+        return 1 if "@" in own and " " not in own else 0, 1 if valid else -1, 1 if ending in ENDINGS else 0
+    if name == "ip" and ":" in own:
+        groups = own.split(":")
+        return -1 if max(map(len, groups)) < 3 else 1, 1, 1 if groups[0][0] in "23fF" else 0
+    if name == "ip":
+        parts = own.split(".")
+        plain = all(p == "0" or not p.startswith("0") for p in parts)
+        return 1, 1 if plain else -1, -1 if int(parts[0]) in (0, 127, 255) else 1
     if name == "card":
-        valid = 1 if 13 <= len(digits) <= 19 and luhn(digits) else -1
-    elif name == "phone":
-        valid = 1 if 10 <= len(digits) <= 15 and len(set(digits)) > 2 else -1
-    elif name == "email":
-        valid = 1 if own.rstrip("]) ").rsplit(".", 1)[-1].split()[-1].lower() in ENDINGS else 0
+        valid = 13 <= len(digits) <= 19 and luhn(digits)
+        grouped = CARD_GROUPS.fullmatch(own)
+        return 1 if grouped else -1, 1 if valid else -1, 1 if ISSUERS.match(digits) else -1
+    abroad = own.startswith("+")
+    known = CALLING.match(digits) if abroad else AREA.fullmatch(digits)
+    # A local number is checked by the rules of its numbering plan.
+    valid = 8 <= len(digits) <= 15 and len(set(digits)) > 2 and (abroad or known)
+    return 1 if own[0] in "+(" else 0, 1 if valid else -1, 1 if known else -1
+
+
+def votes(text: str, kind: int, start: int, end: int, close: bool) -> tuple[int, ...]:
+    """+1 personal, -1 not, 0 no opinion: form, check, gazetteer, context, counter-context, company."""
+    name = KINDS[kind]
+    before = text[max(0, start - NEAR) : start].lower()
+    around = before + " " + text[end : end + NEAR].lower()
     glued = (start > 0 and text[start - 1].isalnum()) or (end < len(text) and text[end].isalnum())
     words = set(re.findall(r"[a-z]+", around))
     return (
-        1 if base else 0,
-        valid,
+        *form_votes(name, text[start:end]),
         1 if words & set(CUES[name]) else 0,
-        1 if re.search(r"[:=] ?$", before) and words & set(CUES[name]) else 0,
         -1 if glued or words & set(AGAINST) else 0,
         1 if close else 0,
     )
@@ -153,24 +212,24 @@ def unpacked(pattern: int) -> np.ndarray:
 
 def spans_of(text: str) -> list[dict[str, object]]:
     """Strict and looser spans with their votes, by kind and start; looser ones overlap no other."""
-    base = strict(text)
+    base, failed = matched(text)
     taken = sorted((a, b) for _k, a, b in base)
     found = [(k, a, b, True) for k, a, b in base]
-    for kind, name in enumerate(KINDS):
-        for m in LOOSE[name].finditer(text):
-            a, b = m.span()
-            i = bisect.bisect_left(taken, (b, 0))
-            if i and taken[i - 1][1] > a:
-                continue
-            bisect.insort(taken, (a, b))
-            found.append((kind, a, b, False))
+    looser = [(2, a, b) for span in failed for a, b in card_parts(text, *span)]
+    looser += [(kind, *m.span()) for kind, name in enumerate(KINDS) for m in LOOSE[name].finditer(text)]
+    for kind, a, b in looser:
+        i = bisect.bisect_left(taken, (b, 0))
+        if i and taken[i - 1][1] > a:
+            continue
+        bisect.insort(taken, (a, b))
+        found.append((kind, a, b, False))
     places = sorted(a for _k, a, _b in base)
     out = []
     for kind, a, b, strict_form in sorted(found):
         low = bisect.bisect_left(places, a - 2 * NEAR)
         high = bisect.bisect_right(places, b + 2 * NEAR)
         close = high - low > (1 if strict_form else 0)
-        pattern = packed(votes(text, kind, a, b, strict_form, close))
+        pattern = packed(votes(text, kind, a, b, close))
         out.append({"kind": kind, "start": a, "stop": b, "base": strict_form, "votes": pattern})
     return out
 
@@ -185,8 +244,9 @@ FOUND = pa.list_(
 
 def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, offsets in text_slices(batches, "text"):
-        # Every form holds a digit, an at sign, a bracket or a colon.
+        # Every form holds a digit, an at sign, a bracket or a colon, or else the word "dot".
         marked = per_row(MARKED[data], offsets) > 0
+        marked |= pc.match_substring(rows.column("text"), " dot ", ignore_case=True).fill_null(False).to_numpy(False)
         texts = rows.column("text")
         found = [spans_of(texts[i].as_py()) if m else [] for i, m in enumerate(marked.tolist())]
         yield pa.RecordBatch.from_arrays([rows.column("id"), pa.array(found, FOUND)], ["id", "found"])
@@ -194,36 +254,41 @@ def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Reliability:
-    """How often each labeler, when it votes, is right: (not personal, personal) x labelers."""
+    """``votes[c, j, v]``: chance that labeler j votes v - 1 on a span of class c (0 not personal, 1 personal);
+    ``share``: how many spans are personal."""
+
+    votes: np.ndarray
+    share: float
 
-    right: np.ndarray
+    @property
+    def right(self) -> np.ndarray:
+        """How often each labeler, when it votes, is right: (not personal, personal) x labelers."""
+        cast = self.votes[:, :, 0] + self.votes[:, :, 2]
+        return np.stack([self.votes[0, :, 0], self.votes[1, :, 2]]) / cast
 
     def posterior(self, patterns: np.ndarray) -> np.ndarray:
-        """Chance of personal from even odds; a labeler without an opinion says nothing."""
-        wrong = 1 - self.right
-        for_it = np.log(self.right[1] / wrong[0])
-        against = np.log(wrong[1] / self.right[0])
-        log_odds = (patterns > 0) @ for_it + (patterns < 0) @ against
-        return 1 / (1 + np.exp(-log_odds))
+        """Chance of personal."""
+        said = np.log(self.votes[1] / self.votes[0])
+        log_odds = said[np.arange(patterns.shape[1]), patterns + 1].sum(1) + np.log(self.share / (1 - self.share))
+        return 1 / (1 + np.exp(-np.clip(log_odds, -50, 50)))
 
 
-def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 50) -> Reliability:
-    """Dawid-Skene over vote patterns with counts.
+def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> Reliability:
+    """Dawid-Skene over vote patterns with counts; keeping silent is one of three votes.
 
-    Many labelers only ever vote one way, so each is tied to a rightness of 3 in 4
-    by ``PRIOR`` times the votes it has cast; without that, one-sided votes would
-    explain themselves away.
+    Each labeler starts as one that is more often right than wrong, which counts
+    for ``PRIOR`` candidates and so fades as they grow; it names the two classes.
     """
-    model = Reliability(np.full((2, patterns.shape[1]), 0.75))
-    prior = PRIOR * ((patterns != 0) * counts[:, None]).sum(0) + 1
+    guess = PRIOR * np.array([[0.5, 0.4, 0.1], [0.1, 0.4, 0.5]])[:, None, :]
+    said = np.stack([patterns == v for v in (-1, 0, 1)], axis=2).astype(float)
+    good = 1 / (1 + np.exp(-patterns.sum(1, dtype=float)))
+    model = None
     for _ in range(rounds):
+        weight = np.stack([counts * (1 - good), counts * good])
+        votes = np.einsum("cn,njv->cjv", weight, said) + guess
+        share = (weight[1].sum() + 1) / (counts.sum() + 2)
+        model = Reliability(votes / votes.sum(2, keepdims=True), float(share))
         good = model.posterior(patterns)
-        right = np.empty_like(model.right)
-        for label, share, vote in ((1, good, 1), (0, 1 - good, -1)):
-            weight = (counts * share)[:, None]
-            agreed = ((patterns == vote) * weight).sum(0)
-            right[label] = (agreed + 0.75 * prior) / (((patterns != 0) * weight).sum(0) + prior)
-        model = Reliability(right)
     return model
 
 
@@ -254,8 +319,7 @@ def accepted(counted: list[tuple[int, int, int]], threshold: float) -> list[tupl
     x = features(kinds, patterns)
     # Rare patterns weigh by the root of their count, so that common forms do not drown them.
     p = 1 / (1 + np.exp(-x @ logistic(x, target, np.sqrt(counts))))
-    support = (patterns > 0).sum(1) - (patterns < 0).sum(1)
-    return [(k, v) for (k, v, _n), q, s in zip(counted, p, support) if q >= threshold and s >= 2]
+    return [(k, v) for (k, v, _n), q in zip(counted, p) if q >= threshold]
 
 
 def personal_spans(
