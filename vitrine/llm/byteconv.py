@@ -7,7 +7,7 @@ scored and a text takes the mean of its windows' probabilities.
 
 The network is fitted on a bounded sample of labelled windows: at most
 ``per_language`` texts a language and ``sample`` texts in all, the smallest by a
-hash of their id, two windows each. The bound is a parameter; everything else
+hash of their id and text, two windows each; repeated rows count once. The bound is a parameter; everything else
 covers all rows.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
@@ -190,13 +190,23 @@ def window_symbols(window: bytes) -> np.ndarray:
 
 
 def learned(docs: DataFrame, usable: Column, sample: int, per_language: int) -> Network | None:
-    """The network fitted on the bounded sample of the usable rows' windows."""
+    """The network fitted on the bounded sample of the usable rows' windows.
+
+    Each language's rows are counted first, so that little more than its part of
+    the sample is cut into windows and ranked, however many rows it has.
+    """
     rows = docs.filter(usable & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(
-        "text", "lang", F.xxhash64("id").alias("order")
+        "text", "lang", F.xxhash64("id", "text").alias("order")
     )
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    # Eight standard deviations more than wanted, as a share of all orders.
+    share = (per_language + 8 * per_language**0.5) / F.col("n")
+    near = rows.join(counts, "lang").filter(F.shiftrightunsigned("order", 11) < share * float(1 << 53))
     by_language = Window.partitionBy("lang").orderBy("order", "one")
     chosen = (
-        rows.mapInArrow(sampled_windows, "lang string, order long, one binary, two binary")
+        near.select("text", "lang", "order")
+        .mapInArrow(sampled_windows, "lang string, order long, one binary, two binary")
+        .distinct()
         .withColumn("rank", F.row_number().over(by_language))
         .filter(F.col("rank") <= per_language)
         .orderBy("rank", "lang")
