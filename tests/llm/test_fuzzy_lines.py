@@ -36,7 +36,7 @@ def brute(docs, marks, distance, min_words=5):
     for i, text, *_ in docs:
         for n, line in enumerate((text or "").split("\n")):
             w = WORD.findall(line.translate(LOWER))
-            if len(w) >= min_words:
+            if w:
                 form = " ".join(w)
                 places.append(((i, n), form))
                 forms.setdefault(form, (i, n))
@@ -52,6 +52,8 @@ def brute(docs, marks, distance, min_words=5):
         for b in range(a):
             x, y = names[a], names[b]
             v, w = x.split(), y.split()
+            if min(len(v), len(w)) < min_words:
+                continue
             near = (marks[x] ^ marks[y]).bit_count() <= distance
             if near and table_distance(v, w) <= 0.2 * max(len(v), len(w)) + 1e-9:
                 group[root(x)] = root(y)
@@ -108,3 +110,13 @@ def test_awkward_rows(documents, sample):
 
 def test_empty(no_documents):
     assert dedupe_lines(no_documents).collect() == []
+
+
+def test_equal_lines_of_any_length(spark):
+    """Short lines and long ones of unspaced scripts are kept once; lines without words stay."""
+    unspaced = "".join(chr(0x3042 + i % 40) for i in range(300))
+    rows = [(1, f"Yes\n---\n{unspaced}"), (2, f"no\nyes.\n---\n{unspaced}。"), (3, f"---\n\n{unspaced}\nYES")]
+    found = {r.doc_id: r for r in dedupe_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[1]._gone is None
+    assert found[2].text == f"no\n---\n{unspaced}。"
+    assert found[3].text == "---\n"

@@ -1,9 +1,9 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, one line per group.
 
 A line is normalised to its words (letters, digits and all non-ASCII; ASCII
-lower case) joined by single spaces. Lines of fewer than ``min_words`` words
-are no evidence of copying and are never touched. Equal normal forms are one
-row before any join. Fingerprints within ``distance`` bits agree in at least
+lower case) joined by single spaces. Equal normal forms are one row before any
+join, and of equal lines with at least one word one is kept at any length; only
+the search for similar lines leaves out those of fewer than ``min_words`` words. Fingerprints within ``distance`` bits agree in at least
 one of ``distance + 1`` blocks; a pair is looked at only in the first block in
 which it agrees. Of a line only its fingerprint travels until a partner within
 reach is known; then the text follows and the edit similarity, over words, is verified.
@@ -332,11 +332,12 @@ def repeated_lines(
         document_key(id_column, text).alias("key"),
         F.col(text).cast("string").alias("text"),
     )
-    lines = settle(keyed.mapInArrow(places(min_words), PLACE))
+    lines = settle(keyed.mapInArrow(places(1), PLACE))
     distinct = settle(
         lines.groupBy("hash").agg(F.min("mark").alias("mark"), F.min("size").alias("size"), F.count("*").alias("n"))
     )
-    groups = settle(line_groups(keyed, distinct, min_words, distance, similarity))
+    comparable = distinct.filter(F.col("size") >= min_words)
+    groups = settle(line_groups(keyed, comparable, min_words, distance, similarity))
     # Only lines that are repeated or grouped go on.
     named = (
         distinct.filter("n > 1")
