@@ -6,8 +6,8 @@ smallest hashed gram: equal windows choose the same place, and a whole stretch
 of neighbouring windows shares one position. Names stand for ranks: a name is a
 64-bit hash of the string, equal for equal strings.
 
-Round 1 sorts the sampled positions by the name of their gram; a position whose
-gram is unique takes its windows out. In the same sort the pair (gram, all bytes
+Round 1 counts the sampled positions by the name of their gram; a position whose
+gram is unique takes its windows out. Among the others the pair (gram, all bytes
 of the stretch's windows) decides: if it is repeated, all windows of the stretch
 are. Only stretches at the ends of matches stay undecided. Round 2 does the same
 for aligned blocks of 16 windows of those, with the bytes that all windows of
@@ -17,8 +17,9 @@ half), the doubling step from half the length to the whole: a window is repeated
 if its pair is next to an equal one. In rounds 2 and 3 one stretch or block of
 each repeated kind stands in for the others that undecided ones could meet.
 
-Sorted rows are compared with their neighbours only, so a string that a third
-of all documents share is streamed, never gathered.
+A string that a third of all documents share is counted before any shuffle and its
+rows are dealt out in joins; in round 3, where one window stands in for its equals,
+sorted rows are compared with their neighbours only.
 
 Defined results: null texts are empty; texts shorter than ``length`` keep every
 byte; rows that agree in id and text match each other; an empty table gives no
@@ -47,11 +48,10 @@ POSITION_BITS = np.uint64(30)
 # Aligned windows of one block of round 2.
 BLOCK = 16
 # Documents known by key on every node; beyond that their texts meet the keys in a shuffle.
-BROADCAST_KEYS = 1 << 20
+BROADCAST_KEYS = 1 << 18
 LONGEST = 1 << 12
 
 NAMED = "key long, gram long, whole long, place long"
-CLASSED = "key long, gram long, place long"
 SPANS = "key long, starts array<int>, stops array<int>"
 
 
@@ -156,20 +156,6 @@ def agreement(rows: pa.Table, keys: tuple[str, ...]) -> tuple[list[np.ndarray],
     return before, after
 
 
-def classified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose gram is repeated, with a state: 0 undecided, 1 the first of those
-    with the same bytes, 2 the others of them."""
-    for rows, (gram_before, whole_before), (gram_after, whole_after) in beside(batches, "gram", "whole"):
-        kept = gram_before | gram_after
-        state = np.where(whole_before, 2, np.where(whole_after, 1, 0))[kept]
-        rows = rows.filter(pa.array(kept))
-        place = rows.column("place").to_numpy() | state
-        yield pa.RecordBatch.from_arrays(
-            [rows.column("key").combine_chunks(), rows.column("gram").combine_chunks(), pa.array(place)],
-            ["key", "gram", "place"],
-        )
-
-
 def places_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """Row number and place of every entry of the rows' ``places``."""
     places = rows.column("places")
@@ -296,6 +282,26 @@ def cut_text(text: bytes, starts: list[int], stops: list[int]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
+def classified(named: DataFrame) -> DataFrame:
+    """Rows whose gram is repeated, with a state: 0 undecided, 1 the first of those
+    with the same bytes, 2 the others of them.
+
+    Grams and kinds are counted with map-side combine; rows meet the counts in joins,
+    where the many rows of one passage can be split over tasks.
+    """
+    named = settle(named)
+    grams = named.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    repeated = settle(named.join(grams, "gram", "left_semi"))
+    own = F.struct("key", "place")
+    kinds = (
+        repeated.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(own).alias("first")).filter("n > 1")
+    )
+    state = F.when(F.col("n").isNull(), 0).when(own == F.col("first"), 1).otherwise(2)
+    return repeated.join(kinds, ["gram", "whole"], "left").select(
+        "key", "gram", F.col("place").bitwiseOR(state.cast("long")).alias("place")
+    )
+
+
 def among(keyed: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``keyed`` rows whose key is in the distinct ``keys``, and the others.
 
@@ -336,9 +342,9 @@ def repeated_spans(keyed: DataFrame, length: int = LENGTH) -> DataFrame:
     if not BLOCK < length < LONGEST:
         raise ValueError(f"length must lie between {BLOCK} and {LONGEST}, not {length}")
     sampled = keyed.mapInArrow(stretches(length), NAMED)
-    first = settle(by_key(sampled, "gram", "whole").mapInArrow(classified, CLASSED))
+    first = settle(classified(sampled))
     blocks = named_again(keyed, first, aligned_blocks(length), NAMED)
-    second = settle(by_key(blocks, "gram", "whole").mapInArrow(classified, CLASSED))
+    second = settle(classified(blocks))
     windows = named_again(keyed, second, window_pairs(length), "key long, place long, left long, right long")
     single = by_key(windows, "left", "right").mapInArrow(repeated_windows, "key long, at long")
     at = F.col("at").cast("int")
