@@ -287,13 +287,14 @@ def classified(named: DataFrame) -> DataFrame:
     with the same bytes, 2 the others of them.
 
     Grams and kinds are counted with map-side combine; rows meet the counts in joins,
-    where the many rows of one passage can be split over tasks.
+    where the many rows of one passage can be split over tasks. The counts are written
+    first: a join that also aggregates is not split.
     """
     named = settle(named)
-    grams = named.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    grams = settle(named.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram"))
     repeated = settle(named.join(grams, "gram", "left_semi"))
     own = F.struct("key", "place")
-    kinds = (
+    kinds = settle(
         repeated.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(own).alias("first")).filter("n > 1")
     )
     state = F.when(F.col("n").isNull(), 0).when(own == F.col("first"), 1).otherwise(2)
