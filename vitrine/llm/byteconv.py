@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm.texts import text_slices
+from vitrine.session import settle
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -38,6 +39,8 @@ PER_LANGUAGE = 1536
 EPOCHS = 4
 BATCH = 64
 RATE = 0.01
+BROADCAST_NAMES = 100_000
+BROADCAST_BYTES = 16 << 20
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
 
@@ -198,7 +201,11 @@ def learned(docs: DataFrame, usable: Column, sample: int, per_language: int) ->
     rows = docs.filter(usable & F.col("lang").isNotNull() & (F.octet_length("text") > 0)).select(
         "text", "lang", F.xxhash64("id", "text").alias("order")
     )
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = settle(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    # Texts stay in place unless there are very many languages or very long names.
+    names, size = counts.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("lang")), F.lit(0))).first()
+    if names <= BROADCAST_NAMES and size <= BROADCAST_BYTES:
+        counts = F.broadcast(counts)
     # Eight standard deviations more than wanted, as a share of all orders.
     share = (per_language + 8 * per_language**0.5) / F.col("n")
     near = rows.join(counts, "lang").filter(F.shiftrightunsigned("order", 11) < share * float(1 << 53))
