@@ -5,6 +5,10 @@ columns of documents. Quality rules drop documents and take their hosts' boilerp
 others, line deduplication takes repeated lines out of texts, near-deduplication keeps one document of a group,
 decontamination drops documents that share a window with the benchmark, and the
 mix returns each taken document with the number of its copies.
+
+Defined results: a null text has no words, so the quality rules drop it, as they
+do empty ones; repeated rows and exact copies come down to one row in
+near-deduplication; an empty table gives no rows; further columns are passed on.
 """
 
 from __future__ import annotations
@@ -44,11 +48,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group within four fingerprint bits; null and wordless texts are one group."""
     ship_package(spark)
     return keep_one_of_each(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents without a window of the benchmark; null and wordless texts have none and stay."""
     return drop_contaminated(docs, table(spark, folder, "benchmark"))
 
 
