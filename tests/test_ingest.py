@@ -387,10 +387,10 @@ def test_ingest_end_to_end(spark, tmp_path):
         return url.encode()
 
     first = ingest_job.stage(rows, ["n"], 0, 2)
-    got = ingest_job.embed_and_index(table, first, fetch, embedding.hashed_bytes_encoder(8), "ns", 10)
+    got = ingest_job.embed_and_index(table, first, fetch, embedding.hashed_bytes_encoder(8), "ns", 10, str(tmp_path / "blobs"))
     assert {(r["id"], r["outcome"]) for r in got.collect()} == {("B0", "ok"), ("B1", "ok")}
     rest = ingest_job.stage(rows, ["n"], indexed=table.read())
-    got = ingest_job.embed_and_index(table, rest, fetch, embedding.hashed_bytes_encoder(8), "ns", 20)
+    got = ingest_job.embed_and_index(table, rest, fetch, embedding.hashed_bytes_encoder(8), "ns", 20, str(tmp_path / "blobs"))
     # B2 shares its micro-batch with the image that is gone.
     assert {r["outcome"] for r in got.collect()} <= {"ok", "retry"}
     stored = {r["id"]: r for r in table.read().collect()}

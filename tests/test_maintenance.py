@@ -145,22 +145,29 @@ def test_backfill_dry_run(spark):
     assert docs.filter("id = 'A1'").first()["image_blob"] is None
 
 
-def test_backfill_applies(spark):
-    docs, stats = backfill(documents(spark), "ns", lambda url: b"picture")
+def test_backfill_applies(spark, tmp_path):
+    folder = str(tmp_path / "blobs")
+    docs, stats = backfill(documents(spark), "ns", lambda url: b"picture", blob_folder=folder)
     wanted = "blob://ns/" + hashlib.sha256(b"picture").hexdigest()
     assert {r["id"]: r["image_blob"] for r in docs.collect()} == {"A1": wanted, "A2": DOCS[1][2], "A3": None}
     got = stats.first()
     assert (got["patched"], got["failed"], got["bytes_stored"]) == (1, 0, 7)
+    assert [bytes(r["content"]) for r in blobs.stored_blobs(spark, folder).collect()] == [b"picture"]
+
+
+def test_backfill_refuses_to_drop_bytes(spark):
+    with pytest.raises(ValueError, match="blob_folder"):
+        backfill(documents(spark), "ns", lambda url: b"picture")
 
 
 @pytest.mark.parametrize("answer", [b"", OSError("gone")])
-def test_backfill_failures(spark, answer):
+def test_backfill_failures(spark, tmp_path, answer):
     def fetch(url):
         if isinstance(answer, Exception):
             raise answer
         return answer
 
-    docs, stats = backfill(documents(spark), "ns", fetch)
+    docs, stats = backfill(documents(spark), "ns", fetch, blob_folder=str(tmp_path / "blobs"))
     got = stats.first()
     assert (got["attempted"], got["patched"], got["failed"], got["bytes_stored"]) == (1, 0, 1, 0)
     assert docs.filter("id = 'A1'").first()["image_blob"] is None

@@ -34,19 +34,20 @@ def backfill(
 ) -> tuple[DataFrame, DataFrame]:
     """``(documents, statistics)``. Without ``fetch`` this only reports.
 
-    With ``blob_folder`` the bytes are written there first, and only references
-    to bytes that it holds are patched in.
+    Fetched bytes are written to ``blob_folder`` first, and only references to
+    bytes that it holds are patched in; fetching without a folder is refused.
     """
+    if fetch is not None and blob_folder is None:
+        raise ValueError("fetched bytes need a blob_folder to be stored in")
     states = blobs.backfill_states(docs, inspected_ids(docs, ids, offset, max_docs))
     if fetch is None:
         return docs, blobs.backfill_statistics(states)
     fetched = settle(blobs.fetch_contents(blobs.backfill_candidates(states), fetch))
     contents = blobs.addressed(fetched, namespace)
-    if blob_folder is not None:
-        held = blobs.store_blobs(contents, blob_folder).select("sha")
-        contents = contents.join(held.withColumn("_held", F.lit(True)), "sha", "left").withColumn(
-            "ref", F.when(F.col("_held"), F.col("ref"))
-        )
+    held = blobs.store_blobs(contents, blob_folder).select("sha")
+    contents = contents.join(held.withColumn("_held", F.lit(True)), "sha", "left").withColumn(
+        "ref", F.when(F.col("_held"), F.col("ref"))
+    )
     stored = contents.select(
         "id", "ref", F.when(F.col("ref").isNotNull(), F.col("size")).alias("size")
     )

@@ -40,13 +40,13 @@ def embed_and_index(
     encoder: embedding.ImageEncoder,
     namespace: str,
     upserted_at_ms: int,
-    blob_folder: str | None = None,
+    blob_folder: str,
 ) -> DataFrame:
     """Fetch, embed and upsert staged chunks; returns the outcome of every id.
 
-    Of several chunks of one id the last in the source's order holds. The fetched images are settled once, so neither a retry nor the several uses
-    below fetch them again. With ``blob_folder`` their bytes are written there before
-    any reference to them.
+    Of several chunks of one id the last in the source's order holds. The fetched
+    images are settled once, so neither a retry nor the several uses below fetch
+    them again; their bytes are written to ``blob_folder`` before any reference to them.
     """
     chunks = settle(tables.one_per_key(chunks, version=tables.last_written(chunks)))
     claims = embedding.triage(chunks, chunks)
@@ -57,8 +57,7 @@ def embed_and_index(
     embedded = settle(embedding.embed_images(fetched, encoder))
     done = embedded.filter(F.col("outcome") == embedding.OK)
     refs = blobs.addressed(fetched.join(done.select("id"), "id", "left_semi"), namespace)
-    if blob_folder is not None:
-        refs = refs.join(blobs.store_blobs(refs, blob_folder).select("sha"), "sha", "left_semi")
+    refs = refs.join(blobs.store_blobs(refs, blob_folder).select("sha"), "sha", "left_semi")
     if not done.isEmpty():
         held = table.read() if table.exists() else chunks.select("id").limit(0)
         table.write(embedding.write_vectors(held, chunks, done, refs, upserted_at_ms))

@@ -285,6 +285,10 @@ def backfill_dry_run(spark: SparkSession, folder: str) -> DataFrame:
     return backfill(view(spark, folder, "products"), "products", ids=ids)[1]
 
 
+def new_blob_folder(spark: SparkSession) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/blobs-{uuid.uuid4()}"
+
+
 def stand_in_image(url: str) -> bytes:
     """Bytes of an image; items whose number ends in 7 cannot be fetched."""
     if url.endswith("7.jpg"):
@@ -302,7 +306,7 @@ def stand_in_image(url: str) -> bytes:
 )
 def backfill_applied(spark: SparkSession, folder: str) -> DataFrame:
     docs = view(spark, folder, "products")
-    return backfill(docs, "products", stand_in_image)[0].select("id", "image_blob")
+    return backfill(docs, "products", stand_in_image, blob_folder=new_blob_folder(spark))[0].select("id", "image_blob")
 
 
 @query(
@@ -315,7 +319,7 @@ def backfill_applied(spark: SparkSession, folder: str) -> DataFrame:
 def backfill_read_back(spark: SparkSession, folder: str) -> DataFrame:
     """Bytes written by a backfill, read through the references it patched in."""
     docs = view(spark, folder, "products")
-    kept = f"{ensure_checkpoint_dir(spark)}/blobs-{uuid.uuid4()}"
+    kept = new_blob_folder(spark)
     filled = backfill(docs, "products", stand_in_image, blob_folder=kept)[0]
     fresh = filled.join(docs.filter("image_blob is not null").select("id"), "id", "left_anti")
     refs = blobs.referenced(fresh).filter("sha is not null").select("id", "sha")
@@ -336,7 +340,8 @@ def backfill_read_back(spark: SparkSession, folder: str) -> DataFrame:
     (select cast(sum(length(image_url)) as bigint) from tried where good) as bytes_stored from states""",
 )
 def backfill_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    return backfill(view(spark, folder, "products"), "products", stand_in_image)[1]
+    docs = view(spark, folder, "products")
+    return backfill(docs, "products", stand_in_image, blob_folder=new_blob_folder(spark))[1]
 
 
 @query(
